@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions.calendar import date_features
 from panelrisk.functions.scalars import split_label, threshold_class
-from panelrisk.functions.text import expand_abbreviation, fold_accents, search_form
+from panelrisk.functions.text import expand_abbreviation, search_form
 from panelrisk.operators.features import day_before, history_at
 from panelrisk.operators.ranks import percentile_rank
 
@@ -74,10 +74,9 @@ def search(entities: DataFrame, text: str, limit: int = 12, code: str = "code",
         return entities.limit(0)
     plain = q.lower()
     by_code = F.upper(F.col(code)).startswith(q.upper())
-    folded = fold_accents(F.lit(plain))
-    # The abbreviation is expanded before spaces become hyphens.
+    # The abbreviation is expanded before spaces become hyphens. A prefix match is also a contained one.
     wanted = search_form(F.lit(expand_abbreviation(plain)))
-    by_name = search_form(name).contains(wanted) | fold_accents(name).contains(folded)
+    by_name = search_form(name).contains(wanted)
     rows = entities.withColumn("_code", by_code).withColumn("_name", by_name).filter("_code OR _name")
     any_code = rows.filter("_code").agg((F.count("*") > 0).alias("c"))
     hit = F.when(any_code.scalar(), F.col("_code")).otherwise(F.col("_name"))
@@ -94,7 +93,7 @@ def weather_export(measures: DataFrame, start: str, end: str, columns: Sequence[
 def model_allowed(year: int, bounds: tuple[int, int, int], model: str = "v3") -> str:
     """Period of a year; a model built on event history may only be shown on the test period.
 
-    ``bounds`` is (first train year, last train year, last validation year, ...) as in the split.
+    ``bounds`` is (first train year, last train year, last validation year).
     """
     first, train_end, val_end = bounds
     period = "before" if year < first else "train" if year <= train_end else "val" if year <= val_end else "test"
