@@ -2,8 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,5 +134,17 @@ def student_t_p(t: Column | str, dof: Column | str) -> Column:
     return F.greatest(F.lit(1.0) - area, F.lit(0.0))
 
 
-def total(cols: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
+def stop_if(bad: Column, message: Column | str) -> Column:
+    """0, or a failure of the job where ``bad`` holds.
+
+    The optimizer copies deterministic filters to the other side of an equi-join, where rows that the
+    join would drop could trigger the failure. An (empty) random suffix keeps the check in its place.
+    """
+    text = F.lit(message) if isinstance(message, str) else message
+    pinned = F.concat(text, F.substring(F.rand(0).cast("string"), 1, 0))
+    return F.when(bad, F.raise_error(pinned).cast("int")).otherwise(F.lit(0))
+
+
+def checked(df, bad: Column, message: Column | str):
+    """The same rows, guarded by :func:`stop_if`."""
+    return df.withColumn("_stop", stop_if(bad, message)).filter(F.col("_stop") == 0).drop("_stop")

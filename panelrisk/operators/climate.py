@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelrisk.functions.scalars import HIGH_DANGER, VERY_HIGH_DANGER, clip, interpolate, period_label
+from panelrisk.functions.scalars import HIGH_DANGER, VERY_HIGH_DANGER, checked, clip, interpolate, period_label
 from panelrisk.operators.geo import nearest_site
 
 
@@ -105,8 +105,8 @@ def delta_ratios(cells: DataFrame, maps: DataFrame, sites: DataFrame, historical
     future = maps.filter(F.col("scenario") != historical).select("site", "scenario", "horizon", "value")
     k = F.col("value") / F.col("past")
     bad = k.isNull() | F.isnan(k) | (F.abs(k) == float("inf"))
-    stop = F.when(bad, F.raise_error(F.lit("a climate ratio is not finite")).cast("double")).otherwise(k)
-    return near.join(future, "site").select("cell", "scenario", "horizon", stop.alias("k"), "dist_deg")
+    ratios = checked(near.join(future, "site"), bad, "a climate ratio is not finite")
+    return ratios.select("cell", "scenario", "horizon", k.alias("k"), "dist_deg")
 
 
 def days_over(measures: DataFrame, ratios: DataFrame, years: float, threshold: float = HIGH_DANGER, x: str = "fwi") -> DataFrame:

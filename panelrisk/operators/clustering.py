@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.functions.scalars import log1p0
+from panelrisk.functions.scalars import checked, log1p0
 from panelrisk.operators.climate import cell_climate
 
 # Number of clusters, and the weight of position against the other variables.
@@ -51,8 +51,7 @@ def fit_medians(train: DataFrame, columns: Sequence[str], split: str | None = No
     """
     rows = train
     if split is not None:
-        wrong = F.when(F.col(split) != "train", F.raise_error(F.lit("medians must be fitted on train")).cast("int"))
-        rows = train.withColumn("_g", F.coalesce(wrong, F.lit(0))).filter(F.col("_g") == 0)
+        rows = checked(train, F.col(split) != "train", "medians must be fitted on train")
     return rows.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns])
 
 

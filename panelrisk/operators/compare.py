@@ -8,8 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelrisk.functions.scalars import checked
 from panelrisk.operators.metrics import average_precision
-from panelrisk.operators.ranks import normalised_rank
+from panelrisk.operators.ranks import correlations, ordinal_rank
 
 REPLICAS = 200
 
@@ -58,8 +59,7 @@ def align_predictions(
             F.when(F.col("_left").isNull() | F.col("_right").isNull(), F.lit(f"{name}: keys differ from the reference"))
             .when(~F.col(y).eqNullSafe(F.col("_y")), F.lit(f"{name}: targets differ from the reference"))
         )
-        stop = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("int")).otherwise(F.lit(0))
-        out = both.withColumn("_ok", stop).filter(F.col("_ok") == 0).drop("_ok", "_y", "_left", "_right")
+        out = checked(both, wrong.isNotNull(), wrong).drop("_y", "_left", "_right")
     return out
 
 
@@ -132,13 +132,25 @@ def paired_bootstrap(
     return exact.join(spread, ["reference", "model"]).withColumn("significant", F.col("low") * F.col("high") > 0)
 
 
+def rank_table(aligned: DataFrame, models: Sequence[str], key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Normalised ordinal rank of every model per key, one column per model.
+
+    The scores are stacked and ranked within their model in one pass, then brought back side by side,
+    so the plan does not grow with each model.
+    """
+    stacked = long_scores(aligned, models, [key, *keep])
+    rows = aligned.agg(F.count("*").alias("c"))
+    ranked = ordinal_rank(stacked, "score", key, by=["model"], descending=False)
+    ranked = ranked.withColumn("rank", (F.col("ordinal") - 1) / rows.scalar())
+    sides = [F.max(F.when(F.col("model") == m, F.col("rank"))).alias(m) for m in models]
+    return ranked.groupBy(key, *keep).agg(*sides)
+
+
 def ensembles(aligned: DataFrame, models: Sequence[str], key: str, y: str = "y", sizes: Sequence[int] = (2, 3)) -> DataFrame:
     """Average precision of the mean normalised rank of every subset of models."""
-    ranked = aligned.select(key, y, *models)
-    for m in models:
-        ranked = normalised_rank(ranked, m, key, f"_r_{m}")
+    ranked = rank_table(aligned, models, key, [y])
     combos = [c for k in sizes for c in combinations(models, k)]
-    named = {" + ".join(c): reduce(lambda a, b: a + b, [F.col(f"_r_{m}") for m in c]) / len(c) for c in combos}
+    named = {" + ".join(c): reduce(lambda a, b: a + b, [F.col(m) for m in c]) / len(c) for c in combos}
     wide = ranked.select(y, *[e.alias(n) for n, e in named.items()])
     stacked = long_scores(wide, list(named), [y])
     groups = stacked.groupBy("model", "score").agg(F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("pos"))
@@ -148,13 +160,8 @@ def ensembles(aligned: DataFrame, models: Sequence[str], key: str, y: str = "y",
 
 def rank_diversity(aligned: DataFrame, models: Sequence[str], key: str) -> DataFrame:
     """Correlation of the normalised ranks of each pair of models."""
-    ranked = aligned.select(key, *models)
-    for m in models:
-        ranked = normalised_rank(ranked, m, key, f"_r_{m}")
-    pairs = list(combinations(models, 2))
-    row = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("rank_corr")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*items)).alias("p")).select("p.*")
+    pairs = correlations(rank_table(aligned, models, key), models)
+    return pairs.select(F.col("feature_a").alias("a"), F.col("feature_b").alias("b"), F.col("r").alias("rank_corr"))
 
 
 def difference(a: DataFrame, b: DataFrame, keys: Sequence[str], column: str, suffixes=("_a", "_b")) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions.calendar import date_features
-from panelrisk.functions.scalars import NO_EVENT_DAYS, log1p0, threshold_class
+from panelrisk.functions.scalars import NO_EVENT_DAYS, checked, log1p0, threshold_class
 
 # History horizons in days.
 HORIZONS = (7, 30, 90, 365)
@@ -119,11 +119,11 @@ def asof_vintage(
     return rows.join(asof_years(vintages, key, vintage, last_year).withColumnRenamed("year", year), [key, year], "left")
 
 
-def category_shares(areas: DataFrame, shares: dict[str, Column], key: Sequence[str]) -> DataFrame:
-    """Long (key, category, area) to one row with the total and one share per named condition."""
+def category_shares(areas: DataFrame, shares: dict[str, str], key: Sequence[str]) -> DataFrame:
+    """Long (key, category, area) to one row with the total and one share per named SQL condition."""
     total = F.sum("area")
     parts = {
-        name: F.coalesce(F.sum(F.when(cond, F.col("area"))), F.lit(0.0)) / F.nullif(total, F.lit(0.0))
+        name: F.coalesce(F.sum(F.when(F.expr(cond), F.col("area"))), F.lit(0.0)) / F.nullif(total, F.lit(0.0))
         for name, cond in shares.items()
     }
     return areas.groupBy(*key).agg(total.alias("area_total"), *[c.alias(n) for n, c in parts.items()])
@@ -198,7 +198,5 @@ def drop_guard(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     """Left join that cannot duplicate rows: a repeated key on the right stops the job."""
     w = Window.partitionBy(*keys)
     unique = right.withColumn("_copies", F.count("*").over(w))
-    checked = unique.withColumn(
-        "_copies", F.when(F.col("_copies") > 1, F.raise_error(F.lit("duplicate keys on the right side"))).otherwise(1)
-    )
-    return left.join(checked.filter(F.col("_copies") == 1).drop("_copies"), list(keys), "left")
+    guarded = checked(unique, F.col("_copies") > 1, "duplicate keys on the right side")
+    return left.join(guarded.drop("_copies"), list(keys), "left")

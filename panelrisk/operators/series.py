@@ -150,9 +150,10 @@ def deseasonalise(df: DataFrame, x: str, n: int = 4) -> DataFrame:
 
 def unit_root(df: DataFrame, x: str, order: str = "day", lags: int = 7) -> dict[str, float]:
     """t statistic of the level in the lagged-difference regression, with the 5 % critical value."""
+    # A national series has one row per calendar day (or year), so it fits one ordered partition.
     w = Window.partitionBy(F.lit(1)).orderBy(order)
-    d = df.select(order, F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    d = d.withColumn("_dx", F.col("_x") - F.lag("_x").over(w)).withColumn("level", F.lag("_x").over(w))
+    d = df.select(order, F.col(x).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
+    d = d.withColumn("_dx", F.col("_value") - F.lag("_value").over(w)).withColumn("level", F.lag("_value").over(w))
     d = d.withColumns({f"dx{i}": F.lag("_dx", i).over(w) for i in range(1, lags + 1)}).na.drop()
     features = ["level", *[f"dx{i}" for i in range(1, lags + 1)]]
     _, model = least_squares(d, features, "_dx")

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrisk.functions.scalars import checked
+
 # Pseudo-days pulling a cluster to the overall rate and an entity to its cluster.
 K0_CLUSTER = 20000
 K1_ENTITY = 2000
@@ -66,8 +68,7 @@ def apply_rates(matrix: DataFrame, rates: DataFrame, exclude_own_year: bool = Tr
     own = F.when(F.col("split") == "train", F.col("year")).otherwise(F.lit(0)) if exclude_own_year else F.lit(0)
     joined = matrix.withColumn("excluded_year", own).join(rates, ["entity", "excluded_year"], "left")
     orphan = F.concat(F.lit("no smoothed rate for entity "), F.col("entity").cast("string"))
-    guard = F.when(F.col("entity_rate").isNull(), F.raise_error(orphan).cast("double")).otherwise(F.col("entity_rate"))
-    return joined.withColumn("entity_rate", guard).drop("excluded_year")
+    return checked(joined, F.col("entity_rate").isNull(), orphan).drop("excluded_year")
 
 
 def smooth_rates_without(

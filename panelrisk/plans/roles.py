@@ -27,15 +27,15 @@ VINTAGES = (1995, 1997, 1999)
 CATEGORIES = ("STANDARD", "ECONOMY", "SMALL", "LARGE", "PROMO", "MEDIUM")
 INDICES = ("fwi", "ffmc", "dmc", "dc")
 SHARES = {
-    "share_standard": F.col("category") == "STANDARD",
-    "share_economy": F.col("category") == "ECONOMY",
-    "share_small": F.col("category") == "SMALL",
-    "share_large": F.col("category") == "LARGE",
-    "share_promo": F.col("category") == "PROMO",
-    "share_medium": F.col("category") == "MEDIUM",
-    "share_bulk": F.col("category").isin("LARGE", "MEDIUM"),
-    "share_s": F.col("category").like("S%"),
-    "share_not_s": ~F.col("category").like("S%"),
+    "share_standard": "category = 'STANDARD'",
+    "share_economy": "category = 'ECONOMY'",
+    "share_small": "category = 'SMALL'",
+    "share_large": "category = 'LARGE'",
+    "share_promo": "category = 'PROMO'",
+    "share_medium": "category = 'MEDIUM'",
+    "share_bulk": "category IN ('LARGE', 'MEDIUM')",
+    "share_s": "category LIKE 'S%'",
+    "share_not_s": "category NOT LIKE 'S%'",
 }
 SHARE_COLUMNS = tuple(SHARES)
 RULES = (("share_standard", 0.17, "standard"), ("share_economy", 0.168, "economy"), ("share_promo", 0.165, "promo"))
@@ -245,7 +245,7 @@ ROLE_SQL: dict[str, str] = {
         FROM entities e CROSS JOIN calendar c LEFT JOIN days d ON d.entity = e.entity AND d.day = c.day""",
     "panel_u": """
         SELECT *, (('0x' || substr(md5(entity || '|' || day), 1, 8))::BIGINT % 1000000)::DOUBLE / 1000000 AS u FROM panel""",
-    "sample": f"""
+    "train_sample": f"""
         SELECT * FROM panel_u WHERE day <= DATE '{TRAIN_STOP}' AND (y OR u < 0.00189)""",
     "classed": """
         SELECT p.*, m.fwi, CASE WHEN m.fwi < 5.2 THEN 1 WHEN m.fwi < 11.2 THEN 2 WHEN m.fwi < 21.3 THEN 3

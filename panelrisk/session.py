@@ -1,7 +1,9 @@
 """Session settings the library expects; a cluster keeps its own values for anything already set."""
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -23,12 +25,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
-def cut_lineage(df):
-    """Checkpoint an iterative result in the folder the cluster names; without one the plan stays lazy."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names; a temporary one only in local mode, where nothing is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local"):
+            return None
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelrisk-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame that is read several times to the checkpoint folder; without a folder it stays lazy."""
+    return df if checkpoint_folder(df.sparkSession) is None else df.checkpoint()
