@@ -1,12 +1,17 @@
 """Four reference predictors learnt on train and scored on validation, all from grouped counts."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import clip, threshold_class
 from panelrisk.operators.metrics import report
+from panelrisk.operators.panel import day_arrays, dense_panel, exposure
 from panelrisk.operators.smoothing import K_SINGLE, single_level
+from panelrisk.session import spread
 
 
 def entity_history(panel: DataFrame) -> DataFrame:
@@ -34,33 +39,48 @@ def class_history(classed: DataFrame) -> DataFrame:
     return out.withColumn("class_rate", F.col("train_pos") / F.nullif(F.col("train_n"), F.lit(0)))
 
 
-def with_class(panel: DataFrame, entities: DataFrame, measures: DataFrame) -> DataFrame:
-    """Attach the danger class of the entity's cell on that day."""
-    classed = measures.select("cell", "day", threshold_class("fwi").alias("danger_class"))
-    rows = panel if "cell" in panel.columns else panel.join(entities.select("entity", "cell"), "entity")
-    return rows.join(classed, ["cell", "day"])
+def sparse_history(days: DataFrame, entities: DataFrame, train: tuple[str, str], val: tuple[str, str]) -> DataFrame:
+    """The counts of :func:`entity_history` from event-days and period lengths, without the dense panel."""
+
+    def side(period: tuple[str, str], n: str, pos: str) -> DataFrame:
+        counts = exposure(days, entities, *period)
+        return counts.groupBy("entity").agg(F.sum("days").alias(n), F.sum("events").alias(pos))
+
+    return side(train, "train_n", "train_pos").join(side(val, "n", "pos"), "entity")
+
+
+def classed_panel(
+    entities: DataFrame, days: DataFrame, measures: DataFrame, start: str, end: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """The dense panel with the danger class of the entity's cell; days without a measure are dropped."""
+    arrays = day_arrays(measures, {"danger_class": threshold_class("fwi").cast("tinyint")}, start, end)
+    return dense_panel(entities, days, start, end, keep, arrays).filter(F.col("danger_class").isNotNull())
 
 
-def baselines(panel: DataFrame, entities: DataFrame, measures: DataFrame, k: float = K_SINGLE) -> DataFrame:
+def baselines(history: DataFrame, classed: DataFrame, k: float = K_SINGLE) -> DataFrame:
     """Constant, entity history, danger class, and their product clipped to [0, 1].
 
-    The dense panel is read for the class tables only; the entity tables are (entity)-sized and the
-    product needs (train history, class) groups, never rows.
+    ``history`` is (entity, train_n, train_pos, n, pos), ``classed`` the classed panel with its split.
+    The dense rows are read once, collapsed to (entity, class, split).
     """
-    history = entity_history(panel)
     base = history.agg((F.sum("train_pos") / F.sum("train_n")).alias("b"))
     constant = history.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).withColumn("score", base.scalar())
     spatial = history.filter((F.col("train_n") > 0) & (F.col("n") > 0)).withColumn(
         "score", single_level("train_pos", "train_n", base.scalar(), k)
     )
-    classed = with_class(panel, entities, measures)
-    per_class = class_history(classed)
+    y = F.col("y").cast("int")
+    counted = classed.filter(F.col("split") != "test").groupBy("entity", "danger_class", "split")
+    # The exchange below is shared by everything that follows.
+    cells = spread(counted.agg(F.count("*").alias("n"), F.sum(y).alias("pos")), "entity")
+    train, val = F.col("split") == "train", F.col("split") == "val"
+    per_class = cells.groupBy("danger_class").agg(
+        (F.sum(F.when(train, F.col("pos"))) / F.sum(F.when(train, F.col("n")))).alias("class_rate"),
+        F.sum(F.when(val, F.col("n"))).alias("n"),
+        F.sum(F.when(val, F.col("pos"))).alias("pos"),
+    )
     weather = per_class.withColumn("score", F.col("class_rate"))
 
-    y = F.col("y").cast("int")
-    val = classed.filter(F.col("split") == "val").groupBy("entity", "danger_class")
-    val = val.agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    crossed = val.join(history.select("entity", "train_n", "train_pos"), "entity")
+    crossed = cells.filter(val).join(history.select("entity", "train_n", "train_pos"), "entity")
     crossed = crossed.groupBy("train_pos", "train_n", "danger_class").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     crossed = crossed.join(per_class.select("danger_class", "class_rate"), "danger_class")
     product = single_level("train_pos", "train_n", base.scalar(), k) * F.col("class_rate") / base.scalar()
@@ -68,8 +88,8 @@ def baselines(panel: DataFrame, entities: DataFrame, measures: DataFrame, k: flo
 
     named = (("0 constant", constant), ("1 history", spatial), ("2 class", weather), ("3 product", product))
     parts = [d.select(F.lit(name).alias("predictor"), "score", "n", "pos") for name, d in named]
-    groups = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    merged = groups.filter(F.col("n") > 0).groupBy("predictor", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    groups = reduce(DataFrame.unionByName, parts).filter(F.col("n") > 0)
+    merged = groups.groupBy("predictor", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     # One rate for all: the share of positives of the whole validation period.
     rate = history.agg((F.sum("pos") / F.sum("n")).alias("r"))
     scored = report(merged, by=["predictor"]).drop("base_rate", "lift")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelrisk.functions.scalars import checked
 from panelrisk.operators.metrics import average_precision
 from panelrisk.operators.ranks import correlations, ordinal_rank
+from panelrisk.session import spread
 
 REPLICAS = 200
 
@@ -102,9 +103,14 @@ def bootstrap_scores(
     groups = stacked.groupBy(unit, "model", "score").agg(
         F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("pos")
     )
-    spread = groups.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica"))
-    w = poisson_weight(bootstrap_uniform(F.col(unit), F.col("replica"), seed))
-    weighted = spread.withColumn("w", w).filter(F.col("w") > 0)
+    # One array of weights per unit, drawn once; it is joined to the groups and opened there.
+    draw = F.transform(
+        F.sequence(F.lit(1), F.lit(replicas)), lambda r: poisson_weight(bootstrap_uniform(F.col(unit), r, seed)).cast("tinyint")
+    )
+    weights = aligned.select(unit).distinct().withColumn("_w", draw)
+    each = spread(groups.join(weights, unit), unit, "model", "score")
+    opened = each.select("model", "score", "n", "pos", F.posexplode("_w").alias("_at", "w")).filter(F.col("w") > 0)
+    weighted = opened.withColumn("replica", F.col("_at") + 1)
     scored = weighted.groupBy("replica", "model", "score").agg(
         F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos")
     )
@@ -125,11 +131,11 @@ def paired_bootstrap(
         gap = F.lit(100.0) * (F.col("m")[F.col("p.model")] / F.col("m")[F.col("p.reference")] - 1)
         return each.select(*keys, "p.reference", "p.model", gap.alias("gap"))
 
-    spread = per_pair(draws, ["replica"], "average_precision").groupBy("reference", "model").agg(
+    bounds = per_pair(draws, ["replica"], "average_precision").groupBy("reference", "model").agg(
         F.percentile("gap", 0.025).alias("low"), F.percentile("gap", 0.975).alias("high")
     )
     exact = per_pair(point, [], "ap").withColumnRenamed("gap", "gap_pct")
-    return exact.join(spread, ["reference", "model"]).withColumn("significant", F.col("low") * F.col("high") > 0)
+    return exact.join(bounds, ["reference", "model"]).withColumn("significant", F.col("low") * F.col("high") > 0)
 
 
 def rank_table(aligned: DataFrame, models: Sequence[str], key: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions.calendar import date_features
 from panelrisk.functions.scalars import NO_EVENT_DAYS, checked, log1p0, threshold_class
+from panelrisk.session import spread
 
 # History horizons in days.
 HORIZONS = (7, 30, 90, 365)
@@ -27,7 +28,7 @@ def event_lags(days: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame
     so a day never sees its own events. Keys (entity, day) spread a hot entity over all tasks.
     """
     lags = F.explode(F.sequence(F.lit(1), F.lit(max(horizons)))).alias("lag")
-    cast = days.select("entity", F.col("day").alias("_d"), "n", "size", lags)
+    cast = spread(days, "entity", "day").select("entity", F.col("day").alias("_d"), "n", "size", lags)
     return (
         cast.withColumn("day", F.date_add("_d", F.col("lag")))
         .groupBy("entity", "day")

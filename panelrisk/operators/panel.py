@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import split_label, uniform
+from panelrisk.session import spread
 
 # Fixed value: share of train negatives kept by the sample.
 NEGATIVE_SHARE = 0.00189
@@ -25,12 +26,27 @@ def event_days(events: DataFrame) -> DataFrame:
     )
 
 
+def day_arrays(measures: DataFrame, values: dict[str, Column], start: str, end: str, key: str = "cell") -> DataFrame:
+    """One row per cell with, for each value, an array holding one entry per day of [start, end].
+
+    A day without a measure is NULL. The arrays are as long as the calendar, whatever the data.
+    """
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    axis = measures.select(key).distinct().select(key, F.explode(F.sequence(lo, hi)).alias("day"))
+    filled = axis.join(measures.select(key, "day", *[c.alias(n) for n, c in values.items()]), [key, "day"], "left")
+    packed = filled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("day", *values))).alias("_a"))
+    return packed.select(key, *[F.col(f"_a.{n}").alias(n) for n in values])
+
+
 def dense_panel(
-    entities: DataFrame, days: DataFrame, start: str, end: str, keep: Sequence[str] = ()
+    entities: DataFrame, days: DataFrame, start: str, end: str, keep: Sequence[str] = (),
+    arrays: DataFrame | None = None, key: str = "cell",
 ) -> DataFrame:
     """Every entity on every day of [start, end] with y, n_events, size and the deterministic uniform u.
 
-    ``days`` is the output of :func:`event_days`; ``keep`` names entity columns to carry along.
+    ``days`` is the output of :func:`event_days`; ``keep`` names entity columns to carry along;
+    ``arrays`` is the output of :func:`day_arrays` over the same period, whose values are read by
+    position, so that attaching a cell's measures does not shuffle the dense side either.
     """
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     # At most one entry per calendar day, so a hot entity stays a bounded row.
@@ -39,8 +55,14 @@ def dense_panel(
         .groupBy("entity")
         .agg(F.map_from_entries(F.collect_list(F.struct("day", F.struct("n", "size")))).alias("_found"))
     )
-    rows = entities.select("entity", *keep).join(packed, "entity", "left")
+    rows = entities.select("entity", *dict.fromkeys([*keep, *([key] if arrays is not None else [])]))
+    if arrays is not None:
+        # Joined before spreading: a crowded cell is then dealt over all tasks with its arrays.
+        rows = rows.join(arrays, key)
+    rows = spread(rows, "entity").join(packed, "entity", "left")
     dense = rows.select("*", F.explode(F.sequence(lo, hi)).alias("day"))
+    at = F.datediff("day", lo)
+    along = [] if arrays is None else [F.get(c, at).alias(c) for c in arrays.columns if c != key]
     hit = F.col("_found")[F.col("day")]
     n = F.coalesce(hit["n"], F.lit(0))
     return dense.select(
@@ -52,6 +74,7 @@ def dense_panel(
         n.alias("n_events"),
         F.coalesce(hit["size"], F.lit(0.0)).alias("size"),
         uniform(F.col("entity"), F.col("day")).alias("u"),
+        *along,
     )
 
 

@@ -7,6 +7,7 @@ The result is exact whatever the range edges are; the edges only balance the wor
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +20,15 @@ def range_index(df: DataFrame, value: str, ranges: int = RANGES, name: str = "_r
     """Number of balanced edges below ``value``: monotone in it, and 0 for NULL."""
     probs = [i / ranges for i in range(1, ranges)]
     edges = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 1000).alias("e"))
-    below = F.aggregate(
-        "_edges", F.lit(0), lambda acc, e: acc + F.when(e < F.col(value), F.lit(1)).otherwise(F.lit(0))
-    )
-    return df.withColumn("_edges", edges.scalar()).withColumn(name, F.coalesce(below, F.lit(0))).drop("_edges")
+    # Two short searches instead of one long one: every `step`-th edge first, then the edges of that stretch.
+    step = math.isqrt(ranges) + 1
+    stops = F.filter("_edges", lambda e, i: (i + 1) % step == 0)
+    less = lambda e: e < F.col(value)
+    coarse = F.coalesce(F.size(F.filter("_stops", less)), F.lit(0))
+    fine = F.size(F.filter(F.slice("_edges", F.col("_coarse") * step + 1, F.lit(step)), less))
+    placed = df.withColumn("_edges", edges.scalar()).withColumn("_stops", stops).withColumn("_coarse", coarse)
+    index = F.coalesce(F.col("_coarse") * step + fine, F.lit(0))
+    return placed.withColumn(name, index).drop("_edges", "_stops", "_coarse")
 
 
 def running_totals(

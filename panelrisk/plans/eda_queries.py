@@ -4,23 +4,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import band_right_closed, threshold_class
-from panelrisk.operators import baselines, eda, reshape
+from panelrisk.operators import eda, reshape
 from panelrisk.plans.panel_queries import dominant
 from panelrisk.plans.registry import query
 from panelrisk.plans.roles import CATEGORIES, INDICES
 
 
-def classed(t, keep=("cell",)):
-    return baselines.with_class(t.panel(keep=keep), t.entities, t.measures)
-
-
 @query(
     "A6",
     "danger_class:i exposure:i events:i ha:f3",
     "SELECT danger_class, count(*) AS exposure, count(*) FILTER (y) AS events, sum(size) / 10000 AS ha FROM classed GROUP BY 1",
 )
 def rates_by_class(t):
-    return eda.rates_by(classed(t), ["danger_class"])
+    return eda.rates_by(t.classed(), ["danger_class"])
 
 
 @query(
@@ -40,7 +36,7 @@ def exposure_by_category(t):
        FROM classed c LEFT JOIN dominant d USING (dep) GROUP BY 1, 2""",
 )
 def rates_by_category_and_class(t):
-    rows = classed(t, ("cell", "dep")).groupBy("dep", "danger_class").agg(
+    rows = t.classed(("dep",)).groupBy("dep", "danger_class").agg(
         F.count("*").alias("x"), F.sum(F.col("y").cast("int")).alias("e")
     )
     rows = rows.join(dominant(t), "dep", "left").withColumn("category", F.coalesce("category", F.lit("mixed")))
@@ -432,7 +428,7 @@ def size_distribution(t):
        SELECT danger_class, sum(x) OVER w::DOUBLE / sum(x) OVER () AS exposure_at_or_above, sum(e) OVER w::DOUBLE / sum(e) OVER () AS events_at_or_above FROM c WINDOW w AS (ORDER BY danger_class DESC)""",
 )
 def reverse_cumulative(t):
-    return eda.reverse_cumulative_share(eda.rates_by(classed(t), ["danger_class"]), "danger_class", ("exposure", "events"))
+    return eda.reverse_cumulative_share(eda.rates_by(t.classed(), ["danger_class"]), "danger_class", ("exposure", "events"))
 
 
 @query(

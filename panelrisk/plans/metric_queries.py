@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from panelrisk.functions.scalars import logit, sigmoid
 from panelrisk.operators import baselines, compare, eda, metrics, ranks, smoothing
 from panelrisk.plans.registry import query
-from panelrisk.plans.roles import TRAIN_STOP
+from panelrisk.plans.roles import START, TRAIN_STOP
 
 AP = """(SELECT {by} sum(pos * cp::DOUBLE / cn) / sum(pos) AS average_precision, sum(n) AS rows, sum(pos) AS positives FROM (
     SELECT *, sum(pos) OVER ({part} ORDER BY score DESC) AS cp, sum(n) OVER ({part} ORDER BY score DESC) AS cn FROM {groups}) {group})"""
@@ -309,7 +309,7 @@ def entity_history(t):
        FROM classed GROUP BY 1""",
 )
 def class_history(t):
-    return baselines.class_history(baselines.with_class(t.panel(keep=("cell",)), t.entities, t.measures))
+    return baselines.class_history(t.classed())
 
 
 @query(
@@ -329,7 +329,8 @@ def class_history(t):
         SELECT predictor, average_precision, brier, average_precision / r AS lift FROM {ap_sql('g', 'predictor')} JOIN s USING (predictor), b""",
 )
 def baseline_report(t):
-    return baselines.baselines(t.panel(keep=("cell",)), t.entities, t.measures)
+    history = baselines.sparse_history(t.days, t.entities, (START, TRAIN_STOP), ("1999-01-01", "1999-12-31"))
+    return baselines.baselines(history, t.classed())
 
 
 # ---- calibration and ensembles -----------------------------------------------------------------
@@ -435,5 +436,4 @@ def measure_correlations(t):
               arg_max(e::DOUBLE / x, danger_class) / arg_min(e::DOUBLE / x, danger_class) AS gradient FROM c""",
 )
 def worst_class_shares(t):
-    rows = baselines.with_class(t.panel(keep=("cell",)), t.entities, t.measures)
-    return eda.worst_class_share(eda.rates_by(rows, ["danger_class"]))
+    return eda.worst_class_share(eda.rates_by(t.classed(), ["danger_class"]))

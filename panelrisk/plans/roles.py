@@ -16,6 +16,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelrisk.operators.baselines import classed_panel
 from panelrisk.operators.features import asof_years, category_shares, event_lags
 from panelrisk.operators.panel import dense_panel, downsample, event_days, exposure, with_split
 
@@ -132,6 +133,11 @@ class Roles:
     def panel(self, start: str = START, end: str = END, keep=()) -> DataFrame:
         return with_split(dense_panel(self.entities, self.days, start, end, keep), TRAIN_END, VAL_END)
 
+    def classed(self, keep=()) -> DataFrame:
+        """The whole panel with the danger class of each entity's cell and day."""
+        rows = classed_panel(self.entities, self.days, self.measures, START, END, keep)
+        return with_split(rows, TRAIN_END, VAL_END)
+
     @cached_property
     def sample(self) -> DataFrame:
         """Train rows of the sample: every positive and the drawn negatives."""

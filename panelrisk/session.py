@@ -39,3 +39,13 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame that is read several times to the checkpoint folder; without a folder it stays lazy."""
     return df if checkpoint_folder(df.sparkSession) is None else df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over every shuffle partition before a row is expanded into many.
+
+    Adaptive execution sizes partitions by their present bytes, and a table about to grow a thousandfold
+    still looks tiny, so the partition count is fixed here. A later grouping that contains ``keys``
+    reuses this partitioning.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
