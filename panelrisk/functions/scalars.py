@@ -11,6 +11,8 @@ HIGH_DANGER = 21.3
 VERY_HIGH_DANGER = 38.0
 # Sentinel for "no event inside the history horizon".
 NO_EVENT_DAYS = 9999
+# Horizon in days over which the burnt size is summed.
+SIZE_HORIZON = 30
 M2_PER_HA = 10000.0
 
 

@@ -104,12 +104,12 @@ def bootstrap_scores(
         F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("pos")
     )
     # One array of weights per unit, drawn once; it is joined to the groups and opened there.
-    draw = F.transform(
-        F.sequence(F.lit(1), F.lit(replicas)), lambda r: poisson_weight(bootstrap_uniform(F.col(unit), r, seed)).cast("tinyint")
-    )
+    # The uniforms are bound first, so each is hashed once and not at every step of its inversion.
+    uniforms = F.transform(F.sequence(F.lit(1), F.lit(replicas)), lambda r: bootstrap_uniform(F.col(unit), r, seed))
+    draw = F.transform(uniforms, lambda u: poisson_weight(u).cast("tinyint"))
     weights = aligned.select(unit).distinct().withColumn("_w", draw)
     each = spread(groups.join(weights, unit), unit, "model", "score")
-    opened = each.select("model", "score", "n", "pos", F.posexplode("_w").alias("_at", "w")).filter(F.col("w") > 0)
+    opened = each.select("model", "score", "n", "pos", F.posexplode_outer("_w").alias("_at", "w")).filter(F.col("w") > 0)
     weighted = opened.withColumn("replica", F.col("_at") + 1)
     scored = weighted.groupBy("replica", "model", "score").agg(
         F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos")

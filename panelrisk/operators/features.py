@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions.calendar import date_features
-from panelrisk.functions.scalars import NO_EVENT_DAYS, checked, log1p0, threshold_class
+from panelrisk.functions.scalars import NO_EVENT_DAYS, SIZE_HORIZON, checked, log1p0, threshold_class
+from panelrisk.operators.panel import history_names
 from panelrisk.session import spread
 
 # History horizons in days.
 HORIZONS = (7, 30, 90, 365)
-SIZE_HORIZON = 30
 
 
 def _history_columns(lag: Column, horizons: Sequence[int]) -> list[Column]:
@@ -134,7 +134,7 @@ def feature_matrix(
     panel: DataFrame,
     entities: DataFrame,
     measures: DataFrame,
-    lags: DataFrame,
+    lags: DataFrame | None,
     shares: DataFrame,
     indices: Sequence[str],
     share_key: str = "dep",
@@ -143,6 +143,7 @@ def feature_matrix(
     """The model matrix of the given panel rows.
 
     Pass a panel that is already bounded and sampled: the filters then run before every join.
+    ``lags`` is the sparse history table, or None when the panel already carries its history.
     Measures stay at cell grain; the day before is attached there, not by a second panel join.
     """
     static = entities.select(
@@ -160,9 +161,11 @@ def feature_matrix(
     )
     d1 = [c for c in indices if c in ("fwi", "ffmc")]
     weather = day_before(measures, d1).withColumn("danger_class", threshold_class("fwi"))
-    rows = panel.select("entity", "day", "year", "split", F.col("y").cast("int").alias("y"), "n_events", "size")
+    own = [] if lags is not None else history_names(HORIZONS)
+    rows = panel.select("entity", "day", "year", "split", F.col("y").cast("int").alias("y"), "n_events", "size", *own)
     rows = rows.join(static, "entity").join(weather, ["cell", "day"])
-    rows = fill_history(rows.join(lags, ["entity", "day"], "left"))
+    if lags is not None:
+        rows = fill_history(rows.join(lags, ["entity", "day"], "left"))
     rows = asof_vintage(rows, shares, share_key, last_year=last_year)
     out = date_features(rows).drop("holiday", "is_school_break")
     flags = ("is_weekend", "is_holiday", "is_july_14", "is_august_15")

@@ -10,11 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.functions.scalars import split_label, uniform
+from panelrisk.functions.scalars import NO_EVENT_DAYS, SIZE_HORIZON, split_label, uniform
 from panelrisk.session import spread
 
 # Fixed value: share of train negatives kept by the sample.
 NEGATIVE_SHARE = 0.00189
+PACKED = "array<struct<key: date, value: struct<n: bigint, size: double>>>"
 
 
 def event_days(events: DataFrame) -> DataFrame:
@@ -40,18 +41,20 @@ def day_arrays(measures: DataFrame, values: dict[str, Column], start: str, end:
 
 def dense_panel(
     entities: DataFrame, days: DataFrame, start: str, end: str, keep: Sequence[str] = (),
-    arrays: DataFrame | None = None, key: str = "cell",
+    arrays: DataFrame | None = None, key: str = "cell", horizons: Sequence[int] | None = None,
 ) -> DataFrame:
     """Every entity on every day of [start, end] with y, n_events, size and the deterministic uniform u.
 
     ``days`` is the output of :func:`event_days`; ``keep`` names entity columns to carry along;
     ``arrays`` is the output of :func:`day_arrays` over the same period, whose values are read by
-    position, so that attaching a cell's measures does not shuffle the dense side either.
+    position, so that attaching a cell's measures does not shuffle the dense side either. With
+    ``horizons`` each row also gets its strict-past event history, read from the packed event-days:
+    a filter on the panel then runs before the history is computed.
     """
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     # At most one entry per calendar day, so a hot entity stays a bounded row.
     packed = (
-        days.filter(F.col("day").between(lo, hi))
+        days.filter(F.col("day").between(F.date_sub(lo, max(horizons or [0])), hi))
         .groupBy("entity")
         .agg(F.map_from_entries(F.collect_list(F.struct("day", F.struct("n", "size")))).alias("_found"))
     )
@@ -65,6 +68,9 @@ def dense_panel(
     along = [] if arrays is None else [F.get(c, at).alias(c) for c in arrays.columns if c != key]
     hit = F.col("_found")[F.col("day")]
     n = F.coalesce(hit["n"], F.lit(0))
+    if horizons:
+        dense = dense.withColumn("_past", packed_history(F.col("_found"), F.col("day"), horizons))
+        along += [F.col(f"_past.{c}").alias(c) for c in history_names(horizons)]
     return dense.select(
         "entity",
         *keep,
@@ -78,6 +84,27 @@ def dense_panel(
     )
 
 
+def history_names(horizons: Sequence[int]) -> list[str]:
+    return [*[f"events_{h}d" for h in horizons], f"size_{SIZE_HORIZON}d", "days_since_event"]
+
+
+def packed_history(found: Column, day: Column, horizons: Sequence[int]) -> Column:
+    """Struct of the history columns at ``day`` from the packed event-days of the entity."""
+    first = F.date_sub(day, max(horizons))
+    past = F.filter(F.map_entries(found), lambda e: (e["key"] < day) & (e["key"] >= first))
+    names = history_names(horizons)
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in names[:-2]], F.lit(0.0).alias(names[-2]),
+                    F.lit(NO_EVENT_DAYS).alias(names[-1]))
+
+    def add(acc: Column, e: Column) -> Column:
+        lag = F.datediff(day, e["key"])
+        counts = [(acc[f"events_{h}d"] + F.when(lag <= h, e["value"]["n"]).otherwise(0)).alias(f"events_{h}d") for h in horizons]
+        size = acc[names[-2]] + F.when(lag <= SIZE_HORIZON, e["value"]["size"]).otherwise(0.0)
+        return F.struct(*counts, size.alias(names[-2]), F.least(acc[names[-1]], lag).alias(names[-1]))
+
+    return F.aggregate(F.coalesce(past, F.array().cast(PACKED)), zero, add)
+
+
 def with_split(panel: DataFrame, train_end: int, val_end: int) -> DataFrame:
     return panel.withColumn("split", split_label("year", train_end, val_end))
 

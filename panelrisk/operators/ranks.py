@@ -19,16 +19,17 @@ RANGES = 128
 def range_index(df: DataFrame, value: str, ranges: int = RANGES, name: str = "_range") -> DataFrame:
     """Number of balanced edges below ``value``: monotone in it, and 0 for NULL."""
     probs = [i / ranges for i in range(1, ranges)]
-    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 1000).alias("e"))
     # Two short searches instead of one long one: every `step`-th edge first, then the edges of that stretch.
     step = math.isqrt(ranges) + 1
-    stops = F.filter("_edges", lambda e, i: (i + 1) % step == 0)
+    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 1000).alias("e"))
+    stops = F.filter("e", lambda _, i: (i + 1) % step == 0)
+    found = edges.select(F.struct(F.col("e"), stops.alias("stops")).alias("s"))
     less = lambda e: e < F.col(value)
-    coarse = F.coalesce(F.size(F.filter("_stops", less)), F.lit(0))
-    fine = F.size(F.filter(F.slice("_edges", F.col("_coarse") * step + 1, F.lit(step)), less))
-    placed = df.withColumn("_edges", edges.scalar()).withColumn("_stops", stops).withColumn("_coarse", coarse)
+    coarse = F.coalesce(F.size(F.filter("_edges.stops", less)), F.lit(0))
+    fine = F.size(F.filter(F.slice("_edges.e", F.col("_coarse") * step + 1, F.lit(step)), less))
+    placed = df.withColumn("_edges", found.scalar()).withColumn("_coarse", coarse)
     index = F.coalesce(F.col("_coarse") * step + fine, F.lit(0))
-    return placed.withColumn(name, index).drop("_edges", "_stops", "_coarse")
+    return placed.withColumn(name, index).drop("_edges", "_coarse")
 
 
 def running_totals(

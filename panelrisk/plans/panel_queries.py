@@ -335,7 +335,8 @@ MATRIX = (
 
 
 def matrix(t):
-    return features.feature_matrix(t.sample, t.entities, t.measures, t.lags, t.shares, INDICES, last_year=int(END[:4]))
+    sample = panel.downsample(t.panel(START, TRAIN_STOP, horizons=features.HORIZONS))
+    return features.feature_matrix(sample, t.entities, t.measures, None, t.shares, INDICES, last_year=int(END[:4]))
 
 
 @query(

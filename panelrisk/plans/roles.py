@@ -130,8 +130,9 @@ class Roles:
     def lags(self) -> DataFrame:
         return event_lags(self.days)
 
-    def panel(self, start: str = START, end: str = END, keep=()) -> DataFrame:
-        return with_split(dense_panel(self.entities, self.days, start, end, keep), TRAIN_END, VAL_END)
+    def panel(self, start: str = START, end: str = END, keep=(), horizons=None) -> DataFrame:
+        rows = dense_panel(self.entities, self.days, start, end, keep, horizons=horizons)
+        return with_split(rows, TRAIN_END, VAL_END)
 
     def classed(self, keep=()) -> DataFrame:
         """The whole panel with the danger class of each entity's cell and day."""
