@@ -11,7 +11,7 @@ from panelrisk.functions.scalars import clip, threshold_class
 from panelrisk.operators.metrics import report
 from panelrisk.operators.panel import day_arrays, dense_panel, exposure
 from panelrisk.operators.smoothing import K_SINGLE, single_level
-from panelrisk.session import spread
+from panelrisk.session import cut_lineage
 
 
 def entity_history(panel: DataFrame) -> DataFrame:
@@ -70,8 +70,8 @@ def baselines(history: DataFrame, classed: DataFrame, k: float = K_SINGLE) -> Da
     )
     y = F.col("y").cast("int")
     counted = classed.filter(F.col("split") != "test").groupBy("entity", "danger_class", "split")
-    # The exchange below is shared by everything that follows.
-    cells = spread(counted.agg(F.count("*").alias("n"), F.sum(y).alias("pos")), "entity")
+    # Written once where the cluster names a checkpoint folder: several branches below read it.
+    cells = cut_lineage(counted.agg(F.count("*").alias("n"), F.sum(y).alias("pos")))
     train, val = F.col("split") == "train", F.col("split") == "val"
     per_class = cells.groupBy("danger_class").agg(
         (F.sum(F.when(train, F.col("pos"))) / F.sum(F.when(train, F.col("n")))).alias("class_rate"),
