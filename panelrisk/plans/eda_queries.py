@@ -470,3 +470,40 @@ def smoothed_season(t):
 )
 def season_excess(t):
     return eda.local_excess(dense_season(t), "doy", "events")
+
+
+@query(
+    "F1 F3 F4",
+    "entity:i digits:s number:i wrong:b short:s",
+    """SELECT c_custkey AS entity, regexp_extract(c_name, '#0*([0-9]+)$', 1) AS digits, TRY_CAST(split_part(c_name, '#', 2) AS BIGINT) AS number,
+              TRY_CAST(c_mktsegment AS BIGINT) IS NULL AS wrong, upper(substr(lower(c_mktsegment), 1, 3)) AS short FROM customer""",
+)
+def parsed_names(t):
+    """Pattern extraction and tolerant parsing of text keys."""
+    c = t.table("customer")
+    return c.select(
+        F.col("c_custkey").alias("entity"),
+        F.regexp_extract("c_name", r"#0*([0-9]+)$", 1).alias("digits"),
+        F.split_part("c_name", F.lit("#"), F.lit(2)).try_cast("bigint").alias("number"),
+        F.col("c_mktsegment").try_cast("bigint").isNull().alias("wrong"),
+        F.upper(F.substring(F.lower("c_mktsegment"), 1, 3)).alias("short"),
+    )
+
+
+@query(
+    "F10",
+    "vec_id:i length:i rounded_sum:f paired_sum:f",
+    """SELECT vec_id, len(embedding) AS length, list_sum([round(v::DOUBLE, 2) for v in embedding]) AS rounded_sum,
+              list_sum([(p[1]::DOUBLE) * (p[2]::DOUBLE) for p in list_zip(embedding, list_reverse(embedding))]) AS paired_sum FROM embeddings""",
+)
+def vertex_arrays(t):
+    """Rounding, zipping and length of arrays."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    values = F.transform("embedding", lambda v: v.cast("double"))
+    pairs = F.arrays_zip(values.alias("a"), F.reverse(values).alias("b"))
+    return t.table("embeddings").select(
+        "vec_id",
+        F.size("embedding").alias("length"),
+        total(F.transform(values, lambda v: F.round(v, 2))).alias("rounded_sum"),
+        total(F.transform(pairs, lambda p: p["a"] * p["b"])).alias("paired_sum"),
+    )
