@@ -21,6 +21,7 @@ from panelrisk.operators.clustering import fit_medians, fit_scaler, impute, stan
 from panelrisk.operators.features import feature_sets
 from panelrisk.operators.metrics import average_precision, regression_errors, roc_auc, score_groups
 from panelrisk.operators.smoothing import apply_rates, smooth_rates_without
+from panelrisk.session import cut_lineage
 
 # Fixed value: events larger than this (in ha) are "large".
 LARGE_HA = 5.0
@@ -159,7 +160,8 @@ def leave_region_out(
             continue
         out = regions.filter(F.col("reg") == region)
         rates = smooth_rates_without(counts, clusters, out)
-        matrix = apply_rates(base, rates, exclude_own_year=False)
+        # Read by three fits and three evaluations.
+        matrix = cut_lineage(apply_rates(base, rates, exclude_own_year=False))
         inside = F.col("reg") == region
         for name, columns in feature_sets(features(matrix)).items():
             model = train(matrix.filter(fit & ~inside), columns, "boosted", **params)

@@ -30,7 +30,8 @@ def judge_years():
 
 
 def profile(t):
-    return clustering.static_profile(t.entities, t.shares, t.measures, PROFILE_SHARES, 1995, START, TRAIN_STOP)
+    """One row per entity, written once: medians, scaler and every K-means pass read it."""
+    return cut_lineage(clustering.static_profile(t.entities, t.shares, t.measures, PROFILE_SHARES, 1995, START, TRAIN_STOP))
 
 
 def scaled_profile(t):
