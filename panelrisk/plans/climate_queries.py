@@ -350,13 +350,12 @@ def ranked_day(t):
     "entity:i year:i scenario:s variant:s observed:b fwi:f danger_class:i",
     f"""WITH {FACTORS_SQL}, v AS (SELECT cell, year, scenario, unnest(['centre', 'low', 'high']) AS variant, unnest([k, coalesce(k_low, k), coalesce(k_high, k)]) AS k FROM fa),
         w AS (SELECT e.entity, v.year, v.scenario, v.variant, v.year <= 2001 AS observed, c.fwi * v.k AS fwi FROM v JOIN clim c ON c.cell = v.cell AND c.doy = 227 JOIN entities e ON e.cell = v.cell
-              WHERE (v.year > 2001 OR variant = 'centre') AND e.segment = 'MACHINERY')
+              WHERE v.year > 2001 OR variant = 'centre')
         SELECT *, {CLASS_SQL.format(x="fwi")} AS danger_class FROM w""",
 )
 def entity_trajectories(t):
-    """Trajectories of one market segment's entities on 15 August."""
-    chosen = t.entities.filter("segment = 'MACHINERY'")
-    return serving.trajectory(chosen, climate.climatology(t.measures, INDICES), _factors(t), 227, ("fwi",), 2001)
+    """Trajectories of all entities on 15 August."""
+    return serving.trajectory(t.entities, climate.climatology(t.measures, INDICES), _factors(t), 227, ("fwi",), 2001)
 
 
 @query(
