@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,4 +13,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rated.filter(F.col(name)["kept"]).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of near-duplicates.
+
+    A row repeated with the same doc_id and text stays once; rows that share a doc_id but not the text each stand
+    for themselves. Rows without a doc_id can't be named by a group and stay.
+    """
+    near = simhash.near_duplicates(docs.select("doc_id", "text"))
+    stay = near.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup)]
