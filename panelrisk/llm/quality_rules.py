@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WordHashes, blocks, free_name
+from .common import BLANKS, blocks, free_name, hashed_words
 
 SYMBOLS = "#*$%&|<>"
 
-#: So many words are sorted at a time; a longer text is a block of its own.
-BLOCK_WORDS = 200_000
+#: Texts of so many characters are sorted at a time; a longer text is a block of its own.
+BLOCK_CHARS = 1_200_000
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -98,16 +98,17 @@ def suffix_array(words: np.ndarray, texts: np.ndarray, ends: np.ndarray) -> tupl
     return sa, shared
 
 
-def repetition(words: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: words in repeated 3-word windows, words in repeats of ``least`` words or more, longest repeat."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    windows, covered, longest = (np.zeros(len(words), np.int64) for _ in range(3))
-    n = int(lengths.sum())
+def repetition(words: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: words in repeated 3-word windows, words in repeats of ``least`` words or more, longest repeat.
+
+    ``words``: hashes of the words of all texts in a row; ``lengths``: the number of words of each text.
+    """
+    windows, covered, longest = (np.zeros(len(lengths), np.int64) for _ in range(3))
+    n = len(words)
     if not n:
         return windows, covered, longest
-    bounds = np.cumsum(lengths)
-    texts = np.repeat(np.arange(len(words)), lengths)
-    sa, shared = suffix_array(np.concatenate(words), texts, bounds[texts])
+    texts = np.repeat(np.arange(len(lengths)), lengths)
+    sa, shared = suffix_array(words, texts, np.cumsum(lengths)[texts])
     most = np.empty(n, np.int64)
     most[sa] = np.maximum(shared, np.r_[shared[1:], 0])
 
@@ -115,7 +116,7 @@ def repetition(words: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndar
         edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + sizes, -1)
-        return np.bincount(texts[np.cumsum(edge[:-1]) > 0], minlength=len(words))
+        return np.bincount(texts[np.cumsum(edge[:-1]) > 0], minlength=len(lengths))
 
     three = np.flatnonzero(most >= 3)
     windows += union(three, np.full(len(three), 3))
@@ -125,23 +126,19 @@ def repetition(words: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndar
     return windows, covered, longest
 
 
-def measure(texts: list[str | None], rules: Rules, hashes: WordHashes) -> pd.DataFrame:
+def measure(texts: list[str | None], rules: Rules) -> pd.DataFrame:
     """The columns of SCHEMA for whole texts; a null text counts as empty."""
-    rows, ids = [], []
+    texts = [text or "" for text in texts]
+    rows = []
     for text in texts:
-        text = text or ""
-        words = text.encode().split()
-        ids.append(hashes.of(words))
         lines = [line for line in text.split("\n") if line.strip(BLANKS)]
-        rows.append((
-            len(words),
-            len(text) - sum(map(text.count, BLANKS)),
-            sum(map(text.count, SYMBOLS)),
-            len(lines) - len(set(lines)),
-        ))
-    out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines"], dtype="int64")
-    parts = [repetition(ids[a:b], rules.least_words) for a, b in blocks(map(len, ids), BLOCK_WORDS)]
-    for k, name in enumerate(("n_repeat_words", "covered_words", "longest_repeat")):
+        rows.append((len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines))))
+    out = pd.DataFrame(rows, columns=["word_chars", "n_symbols", "n_dup_lines"], dtype="int64")
+    parts = []
+    for a, b in blocks(map(len, texts), BLOCK_CHARS):
+        words, lengths = hashed_words([text.encode() for text in texts[a:b]])
+        parts.append((lengths, *repetition(words, lengths, rules.least_words)))
+    for k, name in enumerate(("n_words", "n_repeat_words", "covered_words", "longest_repeat")):
         out[name] = np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64)
     out["base_failed"] = (out.n_words < rules.min_words) | (100 * out.n_repeat_words > rules.max_repeat_pct * out.n_words)
     repeats = out.longest_repeat >= rules.least_words
@@ -162,8 +159,7 @@ def with_quality(df: DataFrame, text: str = "text", rules: Rules = Rules(), into
 
     @F.pandas_udf(SCHEMA)
     def rule(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            yield measure(batch.tolist(), rules, hashes)
+            yield measure(batch.tolist(), rules)
 
     return df.withColumn(name, rule(F.col(f"`{text}`").cast("string"))), name

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import decontaminate, quality_rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", F.col(f"{name}.*"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that it contains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    searched, name = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return searched.select("doc_id", F.explode(name).alias("leak")).select("doc_id", F.col("leak.item").alias("item_id"), "leak.containment", "leak.shared", "leak.shingles")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: None of the ten can be written in DuckDB's SQL as a whole; tests/llm has brute-force versions.

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import decontaminate, quality_rules, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,4 +25,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality), ("near_dedup", near_dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    searched, name = decontaminate.with_leaks(docs, items)
+    return searched.filter(F.size(name) == 0).select(*docs.columns)
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontaminated)]
