@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, pii, quality_rules, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,4 +32,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return searched.filter(F.size(name) == 0).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontaminated)]
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars is counted anew."""
+    masked = pii.with_masked(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return masked.select(*docs.columns)
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontaminated), ("pii", private)]
