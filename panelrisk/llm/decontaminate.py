@@ -155,19 +155,20 @@ def with_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
     count once, and items that share an id but not the text are one entry each. Item ids are whole numbers or null.
     """
     name = free_name(df, into)
-    kind = "array<struct<item:long,containment:double,shared:long,shingles:long>>"
-    parts = []
-    for number, rows in enumerate(item_blocks(items, key, text="text")):
-        shared = df.sparkSession.sparkContext.broadcast(Items(rows))
-
-        @F.pandas_udf(kind)
-        def search(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            names = ("item", "containment", "shared", "shingles")
-            for batch in batches:
-                texts = batch.tolist()
-                found = [x for a, b in blocks((len(t or "") for t in texts), BLOCK_CHARS) for x in shared.value.find(texts[a:b])]
-                yield pd.Series([[dict(zip(names, leak)) for leak in leaks] for leaks in found], dtype=object)
-
-        parts.append(search(F.col(f"`{text}`").cast("string")))
-    found = parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
-    return df.withColumn(name, F.array_sort(found)), name
+    context = df.sparkSession.sparkContext
+    parts = [_search(context.broadcast(Items(rows)))(F.col(f"`{text}`").cast("string")) for rows in item_blocks(items, key, "text")]
+    return df.withColumn(name, F.array_sort(parts[0] if len(parts) == 1 else F.flatten(F.array(*parts)))), name
+
+
+def _search(shared):
+    """The search for one block of items as a function of a text column."""
+
+    @F.pandas_udf("array<struct<item:long,containment:double,shared:long,shingles:long>>")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = ("item", "containment", "shared", "shingles")
+        for batch in batches:
+            texts = batch.tolist()
+            found = [x for a, b in blocks((len(t or "") for t in texts), BLOCK_CHARS) for x in shared.value.find(texts[a:b])]
+            yield pd.Series([[dict(zip(names, leak)) for leak in leaks] for leaks in found], dtype=object)
+
+    return search
