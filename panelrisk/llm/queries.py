@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality_rules, simhash
+from . import bpe, decontaminate, pii, quality_rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_linked")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, name = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.default_vocabulary())
+    return tokens.select("doc_id", *bpe.digests(name))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_bpe": op2_bpe,
     "op6_pii": op6_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality_rules, simhash
+from . import bpe, decontaminate, pii, quality_rules, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,4 +40,16 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return masked.select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontaminated), ("pii", private)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    tokens, name = bpe.with_tokens(docs.select("doc_id", "text"), bpe.default_vocabulary())
+    return tokens.select("doc_id", *bpe.digests(name))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("pii", private),
+    ("bpe", encoded),
+]
