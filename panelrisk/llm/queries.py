@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality_rules, simhash
+from . import bpe, decontaminate, pii, quality_classifier, quality_rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", *bpe.digests(name))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    rated, name = quality_classifier.with_score(docs, model)
+    predicted = (F.col(name) >= quality_classifier.PREDICT_AT).cast("int").alias("predicted")
+    return rated.select("doc_id", quality_classifier.is_held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), predicted)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,6 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_pii": op6_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
