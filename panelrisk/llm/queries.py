@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality_classifier, quality_rules, simhash
+from . import bpe, decontaminate, html_extract, pii, quality_classifier, quality_rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", *bpe.digests(name))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted, name = html_extract.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extracted.select("page_id", "url", F.col(name).alias("text"), F.char_length(name).cast("long").alias("n_chars"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -61,6 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op3_html_extract": op3_html_extract,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_pii": op6_pii,
     "op9_quality_rules": op9_quality_rules,
