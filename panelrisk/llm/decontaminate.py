@@ -171,4 +171,5 @@ def _search(shared):
             found = [x for a, b in blocks((len(t or "") for t in texts), BLOCK_CHARS) for x in shared.value.find(texts[a:b])]
             yield pd.Series([[dict(zip(names, leak)) for leak in leaks] for leaks in found], dtype=object)
 
-    return search
+    # A filter or an explode over the result would otherwise be pushed below it and run the search a second time.
+    return search.asNondeterministic()
