@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, pii, quality_classifier, quality_rules, simhash, substring_dedup
+from . import bpe, decontaminate, html_extract, licenses, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", quality_classifier.is_held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), predicted)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each paragraph that gives a licence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned, name = licenses.with_licenses(docs, licenses.train(docs))
+    return scanned.select("doc_id", F.explode(name).alias("found")).select("doc_id", "found.*")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,6 +58,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col(name)).alias("spans"), disguised.alias("n_disguised"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a document's fields and of the lines of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted, name = token_counts.with_token_counts(docs, ["source", "lang", "text"], sectioned="text")
+    found = F.col(name)
+    return counted.select(
+        "doc_id", found["n_tokens"].alias("n_tokens"), found["source"].alias("source_tokens"), found["lang"].alias("lang_tokens"), found["text"].alias("text_tokens"),
+        F.size(found["sections"]).alias("n_sections"), found["sections"].alias("section_tokens"), found["crossing"].alias("n_crossing"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -72,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_html_extract": op3_html_extract,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_licenses": op5_licenses,
     "op6_pii": op6_pii,
+    "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
