@@ -131,14 +131,16 @@ def fit(corpus: list[str]) -> Model:
     templates = {family: [np.unique(p) for p in grams(list(texts))[0]] for family, texts in TEMPLATES.items()}
     every = [t for ts in templates.values() for t in ts]
     plain = [p for p, own in zip(corpus, grams(corpus)[0] if corpus else []) if not any(np.isin(t, own).mean() >= 0.4 for t in every)]
-    rows = [(0, text) for text in [*NEAR_MISSES, *plain]]
+    vocabulary = grams([t for ts in TEMPLATES.values() for t in ts] + list(NEAR_MISSES))[1]
+    known = np.unique(np.concatenate(vocabulary))
+    # Paragraphs without a known feature are all the same to the model: one stands for them.
+    plain = [p for p, own in zip(plain, grams(plain)[1] if plain else []) if np.isin(own, known).any()]
+    rows = [(0, text) for text in ["", *NEAR_MISSES, *plain]]
     for k, family in enumerate(FAMILIES[1:], 1):
         rows += [(k, v) for template in TEMPLATES[family] for v in variants(template, rng)]
     rng.shuffle(rows)
     labels = np.array([k for k, _ in rows])
     features = grams([text for _, text in rows])[1]
-    vocabulary = grams([t for ts in TEMPLATES.values() for t in ts] + list(NEAR_MISSES))[1]
-    known = np.unique(np.concatenate(vocabulary))
     model = Model(known, np.zeros((len(known), len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0, templates)
     x = np.zeros((len(rows), len(known)))
     for k, own in enumerate(features):
