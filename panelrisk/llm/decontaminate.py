@@ -4,7 +4,8 @@ Items are put into classes by length, each with an upper bound u of shingles. Fo
 overlapping windows of 2u shingles, a step of u apart, so an item's passage lies whole inside one window whose size is
 at most a fixed multiple of the item's: containment of the item then is bounded below as similarity to that window.
 Windows and items get one-permutation MinHash signatures (``BINS`` bins of one hash), and one equal bin makes an item a
-candidate. Candidates are verified by exact containment: the share of the item's distinct shingles that the whole
+candidate. Items of up to ``CLASS_LEAST`` shingles are too short for a signature to be sure to find them: each of their
+shingles is a bin of its own. Candidates are verified by exact containment: the share of the item's distinct shingles that the whole
 document has. Windows are made of the minima of two neighbouring steps, so a shingle is hashed once per document.
 
 The items, not the documents, travel: one block of at most ``ITEM_BYTES`` of item text at a time is sent to
@@ -72,14 +73,16 @@ class Items:
             self.ids.append(item)
             self.width.append(width)
             self.shingles.append(np.unique(shingles))
-            held.setdefault((width, class_bound(len(shingles))), []).append((signature(self.shingles[-1]), number))
+            bound = class_bound(len(shingles))
+            bins = self.shingles[-1] if bound == CLASS_LEAST else signature(self.shingles[-1])
+            held.setdefault((width, bound), []).append((bins, number))
         #: width -> class bound -> sorted bin values and the item of each; a value's bin shows in its upper bits.
         self.classes: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
         #: width -> which lower bits some bin value of that width has.
         self.seen: dict[int, np.ndarray] = {}
         for (width, bound), found in held.items():
             values = np.concatenate([s for s, _ in found])
-            numbers = np.repeat([n for _, n in found], BINS)
+            numbers = np.repeat([n for _, n in found], [len(s) for s, _ in found])
             some = values != _NONE
             by = np.argsort(values[some], kind="stable")
             self.classes.setdefault(width, {})[bound] = (values[some][by], numbers[some][by])
@@ -121,6 +124,8 @@ class Items:
         hit = np.flatnonzero(values[at] == hashes)
         if not len(hit):
             return numbers[:0]
+        if bound == CLASS_LEAST:
+            return Items._with_bins(np.unique(hashes[hit]), values, numbers)
         step = np.arange(len(hashes)) // bound
         near = np.unique(step[hit])
         near = np.unique(np.r_[near - 1, near, near + 1])
@@ -130,7 +135,11 @@ class Items:
         np.minimum.at(least, (step_used, (hashes[used] >> np.uint64(57)).astype(np.int64)), hashes[used])
         follow = np.flatnonzero(np.diff(slot) == 1)
         windows = np.concatenate([np.minimum(least[follow], least[follow + 1]), least[np.isin(slot, [0, step[-1]])]])
-        found = np.unique(windows)
+        return Items._with_bins(np.unique(windows), values, numbers)
+
+    @staticmethod
+    def _with_bins(found: np.ndarray, values: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Items that have one of the found values in a bin."""
         low, high = np.searchsorted(values, found), np.searchsorted(values, found, side="right")
         return np.concatenate([numbers[a:b] for a, b in zip(low, high) if a < b] or [numbers[:0]])
 
