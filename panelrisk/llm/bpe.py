@@ -31,14 +31,14 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, free_name, shared_folder
+from .common import blocks, free_name, shared_folder, written
 
 #: Size of the lexicon: at most so many words of at most so many bytes, a few MB whatever the corpus.
 LEXICON_WORDS, LEXICON_BYTES = 100_000, 64
 #: Words and pieces remembered by a task, and characters encoded at a time.
 CACHE_WORDS, BLOCK_CHARS = 300_000, 2_000_000
-#: Pieces of up to so many bytes are merged by looking at all pairs; for longer ones a queue holds the pairs.
-SHORT, _NO_RANK = 24, 1 << 60
+#: Pieces of up to so many bytes are merged as rows of an array, so many rows at a time; longer ones one by one.
+MATRIX_BYTES, MATRIX_ROWS, _NO_RANK = 32, 20_000, 1 << 40
 
 # Fixed value: how the vocabulary's words are split.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -64,6 +64,14 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         self.letters = byte_letters()
+        #: Ids of single bytes inside a piece and at its end.
+        self.inner = np.array([self.ids[c] for c in self.letters], np.int64)
+        self.outer = np.array([self.ids[c + WORD_END] for c in self.letters], np.int64)
+        #: Pairs of ids in order, with the rank and the id of what they merge to.
+        keys = np.array([(self.ids[a] << 20) | self.ids[b] for a, b in model["merges"]], np.int64)
+        by = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[by], by.astype(np.int64)
+        self.pair_ids = np.array([self.ids[a + b] for a, b in model["merges"]], np.int64)[by]
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     @staticmethod
@@ -88,24 +96,67 @@ class Vocabulary:
     def pieces(self, chunk: str) -> list[str]:
         return [chunk] if chunk in self.special else PIECE.findall(self.normal(chunk))
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of pairs of ids; _NO_RANK where they don't merge."""
+        keys = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        known = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
+        return np.where(known, self.pair_ranks[at], _NO_RANK), self.pair_ids[at]
+
+    def merge_many(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of many pieces: in each, the adjacent pair of lowest rank, the leftmost of equals, is joined until none
+        has a rank. Pieces of like length are rows of one array, and all rows take a step at a time."""
+        encoded = [p.encode() for p in pieces]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        out: list[list[int]] = [[]] * len(pieces)
+        low = 0
+        for high in (6, 10, 16, MATRIX_BYTES):
+            rows = np.flatnonzero((lengths > low) & (lengths <= high))
+            for part in np.array_split(rows, len(rows) // MATRIX_ROWS + 1):
+                if len(part):
+                    for k, ids in zip(part.tolist(), self._merge_rows([encoded[k] for k in part.tolist()], lengths[part])):
+                        out[k] = ids
+            low = high
+        for k in np.flatnonzero(lengths > low).tolist():
+            out[k] = self.merge(pieces[k])
+        return out
+
+    def _merge_rows(self, pieces: list[bytes], lengths: np.ndarray) -> list[list[int]]:
+        width = int(lengths.max())
+        data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        place = np.arange(width)
+        ids = np.where(place < lengths[:, None], self.inner[data], -1)
+        every = np.arange(len(pieces))
+        ids[every, lengths - 1] = self.outer[data[every, lengths - 1]]
+        ranks, merged = (self._pairs(ids[:, :-1], ids[:, 1:]) if width > 1 else (np.zeros((len(pieces), 0)),) * 2)
+        active = every if width > 1 else every[:0]
+        while len(active):
+            own, least = ids[active], ranks[active].argmin(axis=1)
+            some = ranks[active, least] < _NO_RANK
+            active, own, least = active[some], own[some], least[some]
+            if not len(active):
+                break
+            at = np.arange(len(active))
+            own[at, least] = merged[active, least]
+            source = np.minimum(place + (place > least[:, None]), width - 1)
+            own = np.take_along_axis(own, source, axis=1)
+            own[:, -1] = -1
+            pair_source = source[:, :-1].clip(max=width - 2)
+            new_ranks, new_merged = (np.take_along_axis(x[active], pair_source, axis=1) for x in (ranks, merged))
+            new_ranks[:, -1] = _NO_RANK
+            for shift in (-1, 0):  # only the pairs beside the new symbol are others than before
+                pair = least + shift
+                inside = np.flatnonzero((pair >= 0) & (pair < width - 1))
+                new_ranks[inside, pair[inside]], new_merged[inside, pair[inside]] = self._pairs(own[inside, pair[inside]], own[inside, pair[inside] + 1])
+            ids[active], ranks[active], merged[active] = own, new_ranks, new_merged
+        counts = (ids >= 0).sum(axis=1).tolist()
+        return [row[:n] for row, n in zip(ids.tolist(), counts)]
+
     def merge(self, piece: str) -> list[int]:
-        """Ids of a piece: the adjacent pair of lowest rank, the leftmost of equals, is joined until none has a rank."""
+        """The same for one piece of any length, with the pairs in a queue."""
         parts = [self.letters[b] for b in piece.encode()]
         parts[-1] += WORD_END
-        whole = "".join(parts)
-        if whole in self.ids and len(parts) == 1:
-            return [self.ids[whole]]
         n = len(parts)
-        if n <= SHORT:
-            ranks = self.ranks
-            while len(parts) > 1:
-                of_pairs = [ranks.get(pair, _NO_RANK) for pair in pairwise(parts)]
-                rank = min(of_pairs)
-                if rank == _NO_RANK:
-                    break
-                k = of_pairs.index(rank)
-                parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            return [self.ids[p] for p in parts]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(self.ranks[pair], k) for k, pair in enumerate(pairwise(parts)) if pair in self.ranks]
         heapq.heapify(queue)
@@ -182,50 +233,59 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             endings[state] = final[state] + sum(endings[c] for _, c in children[state])
         else:
             todo += [(state, True), *((c, False) for _, c in children[state])]
-    first, labels, targets, skips = array("I", [0]), bytearray(), array("I"), array("I")
+    edges, targets, skips = array("I"), array("I"), array("I")
     for state in order:
         passed = int(final[state])
         for byte, child in children[state]:
-            labels.append(byte)
+            edges.append(number[state] << 8 | byte)
             targets.append(number[child])
             skips.append(passed)
             passed += endings[child]
-        first.append(len(labels))
     ends = np.cumsum([0] + [len(entries[w]) for w in words]).astype(np.uint32)
     ids = np.fromiter(chain.from_iterable(entries[w] for w in words), np.uint32)
-    parts = [first.tobytes(), targets.tobytes(), skips.tobytes(), ends.tobytes(), ids.tobytes(), bytes(final[s] for s in order), bytes(labels)]
+    parts = [edges.tobytes(), targets.tobytes(), skips.tobytes(), ends.tobytes(), ids.tobytes(), bytes(final[s] for s in order)]
     return np.array([len(p) for p in parts], np.uint64).tobytes() + b"".join(parts)
 
 
-_BYTES = [bytes([b]) for b in range(256)]
-
-
 class Lexicon:
-    """A compiled lexicon over any buffer, such as a mapped file."""
+    """A compiled lexicon over any buffer, such as a mapped file: edges (state and byte, in order), where each leads and
+    how many words it passes; the end of each word's ids, the ids, and which states are final."""
 
     def __init__(self, buffer) -> None:
-        self.buffer, view = buffer, memoryview(buffer)
-        sizes = np.frombuffer(view[:56], np.uint64).tolist()
-        ends = np.cumsum([56, *sizes]).tolist()
-        parts = [view[a:z] for a, z in pairwise(ends)]
-        self.first, self.targets, self.skips, self.ends, self.ids = (p.cast("I") for p in parts[:5])
-        self.final, self.labels_at = parts[5], ends[6]
+        sizes = np.frombuffer(buffer, np.uint64, 6)
+        ends = np.cumsum([48, *sizes.tolist()]).tolist()
+        parts = [np.frombuffer(buffer, np.uint8 if k == 5 else np.uint32, (z - a) // (1 if k == 5 else 4), a) for k, (a, z) in enumerate(pairwise(ends))]
+        self.edges, self.targets, self.skips, self.ends, self.ids, self.final = parts
 
     @staticmethod
     def mapped(path: str) -> "Lexicon":
         with open(path, "rb") as file:
             return Lexicon(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: bytes) -> list[int] | None:
-        state = number = 0
-        first, targets, skips, find, at = self.first, self.targets, self.skips, self.buffer.find, self.labels_at
-        for byte in word:
-            edge = find(_BYTES[byte], at + first[state], at + first[state + 1]) - at
-            if edge < 0:
-                return None
-            number += skips[edge]
-            state = targets[edge]
-        return self.ids[self.ends[number] : self.ends[number + 1]].tolist() if self.final[state] else None
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """Ids of the words that the lexicon has, None for others; all words follow their edges together."""
+        out: list[list[int] | None] = [None] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        active = np.flatnonzero((lengths <= LEXICON_BYTES) & (lengths > 0)) if len(self.edges) else np.zeros(0, np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        state, number = (np.zeros(len(words), np.int64) for _ in range(2))
+        step = 0
+        while len(active):
+            key = state[active] << 8 | data[starts[active] + step]
+            edge = np.minimum(np.searchsorted(self.edges, key.astype(np.uint32)), len(self.edges) - 1)
+            there = self.edges[edge] == key
+            active, edge = active[there], edge[there]
+            number[active] += self.skips[edge]
+            state[active] = self.targets[edge]
+            step += 1
+            done = lengths[active] == step
+            words_done = active[done][self.final[state[active[done]]] == 1]
+            bounds = self.ends[number[words_done]].tolist(), self.ends[number[words_done] + 1].tolist()
+            for k, a, z in zip(words_done.tolist(), *bounds):
+                out[k] = self.ids[a:z].tolist()
+            active = active[~done]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -233,32 +293,39 @@ def _vocabulary(content: str) -> Vocabulary:
     return Vocabulary(content)
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of what stands between white space, remembered, as are the ids of pieces; both in bounded number."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon) -> None:
-        super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, list[int]] = {}
-
-    def __missing__(self, chunk: str) -> list[int]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[chunk] = list(chain.from_iterable(map(self.piece, self.vocabulary.pieces(chunk))))
-        return ids
-
-    def piece(self, piece: str) -> list[int]:
-        """From the lexicon, or else by merging."""
-        ids = self.known.get(piece)
-        if ids is None:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            special = self.vocabulary.special.get(piece)
-            ids = self.known[piece] = [special] if special is not None else self.lexicon.get(piece.encode()) or self.vocabulary.merge(piece)
-        return ids
+        self.chunks: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces: of special tokens, else from the lexicon, else by merging."""
+        special = self.vocabulary.special
+        self.pieces.update((p, [special[p]]) for p in pieces if p in special)
+        pieces = [p for p in pieces if p not in special]
+        known = self.lexicon.get_many([p.encode() for p in pieces])
+        self.pieces.update((p, ids) for p, ids in zip(pieces, known) if ids is not None)
+        unseen = [p for p, ids in zip(pieces, known) if ids is None]
+        self.pieces.update(zip(unseen, self.vocabulary.merge_many(unseen)))
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        if len(self.chunks) > CACHE_WORDS:
+            self.chunks.clear()
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        parts = [self.vocabulary.chunks(t) for t in texts]
+        new = {c: self.vocabulary.pieces(c) for c in set(chain.from_iterable(parts)).difference(self.chunks)}
+        self._learn(list(set(chain.from_iterable(new.values())).difference(self.pieces)))
+        of_piece = self.pieces.__getitem__
+        self.chunks.update((c, of_piece(p[0]) if len(p) == 1 else list(chain.from_iterable(map(of_piece, p)))) for c, p in new.items())
+        of_chunk = self.chunks.__getitem__
+        return [list(chain.from_iterable(map(of_chunk, own))) for own in parts]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.vocabulary.chunks(text))))
+        return self.encode_many([text])[0]
 
 
 def read_vocabulary(path: str) -> str:
@@ -284,7 +351,8 @@ def digests(name: str) -> list[Column]:
 
 
 def frequent_pieces(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
-    """(piece, n): the lexicon's words, counted over all texts; of equal counts the first in order."""
+    """(piece, n): the most frequent pieces, counted over all texts; as many as have at least the count from which on
+    LEXICON_WORDS are not exceeded. Pieces that occur once are not worth a place."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,7 +370,16 @@ def frequent_pieces(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
             yield pd.DataFrame(kept, columns=["piece", "n"]).astype({"piece": object, "n": "int64"})
 
     counts = df.select(F.col(f"`{text}`").cast("string").alias("text")).mapInPandas(count, "piece string, n long")
-    return counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(LEXICON_WORDS)
+    counts = written(counts.groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1"), "pieces")
+    # Counts are rounded to two binary digits, so their histogram has a few hundred rows at most.
+    rounded = F.floor(2 * F.log2("n")).cast("int")
+    least, total = 1 << 30, 0
+    for row in sorted(counts.groupBy(rounded.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += row["words"]
+        if total > LEXICON_WORDS:
+            break
+        least = row["size"]
+    return counts.filter(rounded >= least)
 
 
 def publish(spark: SparkSession, content: bytes) -> str:
@@ -326,8 +403,8 @@ def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: s
     name = free_name(df, into)
     content = read_vocabulary(vocabulary_path)
     own = _vocabulary(content)
-    frequent = [row["piece"] for row in frequent_pieces(df, text, content).collect()]
-    file = publish(spark, compile_lexicon({p.encode(): own.merge(p) for p in frequent}))
+    frequent = [row["piece"] for row in frequent_pieces(df, text, content).select("piece").collect()]
+    file = publish(spark, compile_lexicon(dict(zip([p.encode() for p in frequent], own.merge_many(frequent)))))
     shared = spark.sparkContext.broadcast(content)
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
@@ -337,7 +414,7 @@ def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: s
         for batch in batches:
             lengths = pa.compute.fill_null(pa.compute.binary_length(batch), 0).to_pylist()
             for a, b in blocks(lengths, BLOCK_CHARS):
-                ids = [encoder.encode(t or "") for t in batch[a:b].to_pylist()]
+                ids = encoder.encode_many([t or "" for t in batch[a:b].to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, count=int(ends[-1])))
                 decoded = pa.array(list(map(vocabulary.decode, ids)), pa.string())

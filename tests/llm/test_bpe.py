@@ -43,16 +43,16 @@ def test_lexicon_has_its_words_and_no_others():
     lexicon = bpe.Lexicon(bpe.compile_lexicon(ids))
     for _ in range(3000):
         word = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 8))).encode()
-        assert lexicon.get(word) == ids.get(word)
-    assert all(lexicon.get(w) == i for w, i in ids.items())
-    assert bpe.Lexicon(bpe.compile_lexicon({})).get(b"a") is None
+        assert lexicon.get_many([word]) == [ids.get(word)]
+    assert lexicon.get_many(list(ids)) == list(ids.values())
+    assert bpe.Lexicon(bpe.compile_lexicon({})).get_many([b"a", b""]) == [None, None]
 
 
 def test_equal_suffixes_are_one_state():
     words = [f"{c}ational" for c in "abcdefgh"]
     compiled = bpe.Lexicon(bpe.compile_lexicon({w.encode(): [k] for k, w in enumerate(words)}))
     assert len(compiled.final) == len("ational") + 2  # the start, and one chain for all
-    assert [compiled.get(w.encode()) for w in words] == [[k] for k in range(8)]
+    assert compiled.get_many([w.encode() for w in words]) == [[k] for k in range(8)]
 
 
 def test_table_against_the_library(spark, sf_dir):
@@ -69,3 +69,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = {r.doc_id: r[name] for r in tokens.collect() if r.doc_id in (3, 4, 5)}
     assert all(list(g.ids) == [] and g.decoded == "" for g in got.values())
     assert bpe.with_tokens(no_docs, PATH)[0].count() == 0
+
+
+def test_rows_merge_like_single_pieces():
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice("aehinorstthé日") for _ in range(rng.randint(1, 20))) for _ in range(2000)] + ["a" * 40, "x"]
+    assert VOCABULARY.merge_many(pieces) == [VOCABULARY.merge(p) for p in pieces]
