@@ -21,7 +21,7 @@ from .common import blocks, by_text, free_name, hashed_words, shingle_hashes
 
 UNKNOWN = "unknown"
 #: Least calibrated probability, least share of a template's word pairs, and documents sampled for "unknown".
-LEAST_PROBABILITY, LEAST_TEMPLATE, SAMPLE_DOCS = 0.6, 0.6, 200
+LEAST_PROBABILITY, LEAST_TEMPLATE, SAMPLE_DOCS = 0.6, 0.7, 200
 VARIANTS, STEPS, RATE, DECAY, SEED = 24, 300, 2.0, 1e-4, 23
 BLOCK_CHARS = 1_000_000
 
