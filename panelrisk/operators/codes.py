@@ -10,7 +10,6 @@ from panelrisk.session import cut_lineage
 MERGE_KINDS = ("31", "32", "33", "34", "35", "41", "50")
 AMBIGUOUS_KINDS = ("21",)
 FULL_ENTITY = "COM"
-MAX_HOPS = 10
 
 
 def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -29,19 +28,20 @@ def latest_moves(moves: DataFrame) -> DataFrame:
     return last.groupBy("source").agg(F.max_by("target", "effective").alias("target"))
 
 
-def resolve_codes(moves: DataFrame, live: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(source, target, hops) for every dead code that reaches a live one within ``max_hops``.
+def _followed(moves: DataFrame, live: DataFrame) -> DataFrame:
+    """(source, target, hops, done) after following every chain to its end.
 
-    Pointer doubling: each round joins the table with itself, so 10 hops take 4 joins. Cycles and
-    dead ends never reach a live code and drop out.
+    Pointer doubling: each round joins the table with itself and doubles the hops behind a pointer. The codes along
+    a chain are sources too, so as long as some chain is unfinished each round finishes at least one code:
+    the first round that finishes none is the last, and what is left are cycles and dead ends.
     """
     alive = live.select(F.col("code").alias("target")).distinct().withColumn("_live", F.lit(True))
     hop = latest_moves(moves).join(alive.withColumnRenamed("target", "source"), "source", "left_anti")
-    step = hop.join(alive, "target", "left").select(
-        "source", "target", F.lit(1).alias("hops"), F.coalesce("_live", F.lit(False)).alias("done")
+    step = cut_lineage(
+        hop.join(alive, "target", "left").select("source", "target", F.lit(1).alias("hops"), F.coalesce("_live", F.lit(False)).alias("done"))
     )
-    reach = 1
-    while reach < max_hops:
+    finished, before = step.filter("done").count(), -1
+    while finished > before:
         nxt = step.select(
             F.col("source").alias("target"), F.col("target").alias("_t"), F.col("hops").alias("_h"), F.col("done").alias("_d")
         )
@@ -53,8 +53,18 @@ def resolve_codes(moves: DataFrame, live: DataFrame, max_hops: int = MAX_HOPS) -
             F.when(moved, F.col("_d")).otherwise(F.col("done")).alias("done"),
         )
         step = cut_lineage(step)
-        reach *= 2
-    return step.filter(F.col("done") & (F.col("hops") <= max_hops)).select("source", "target", "hops")
+        finished, before = step.filter("done").count(), finished
+    return step
+
+
+def resolve_codes(moves: DataFrame, live: DataFrame) -> DataFrame:
+    """(source, target, hops) for every dead code that reaches a live one, over a chain of any length."""
+    return _followed(moves, live).filter("done").select("source", "target", "hops")
+
+
+def unresolved_codes(moves: DataFrame, live: DataFrame) -> DataFrame:
+    """Moved codes whose chain ends in a cycle or at a code that is neither live nor moved."""
+    return _followed(moves, live).filter(~F.col("done")).select("source")
 
 
 def ambiguous_codes(moves: DataFrame) -> DataFrame:

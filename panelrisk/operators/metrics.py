@@ -138,14 +138,6 @@ def budget_table(df: DataFrame, score: str, y: str, key: str, budgets: Sequence[
     )
 
 
-def log_budgets(n: int, points: int = 200, smallest: float = 2e-4) -> list[int]:
-    """Distinct row counts on a logarithmic grid from ``smallest`` to the whole table."""
-    lo = math.log10(smallest)
-    # Python's round() is half-to-even, the same rule as numpy's.
-    raw = (round(10 ** (lo - lo * i / (points - 1)) * n) for i in range(points))
-    return sorted({min(max(int(v), 1), n) for v in raw})
-
-
 def budget_curve(df: DataFrame, score: str, y: str, key: str, points: int = 200, smallest: float = 2e-4) -> DataFrame:
     """Positives captured at each budget of a logarithmic grid; the grid is built from the row count."""
     lo = math.log10(smallest)

@@ -75,7 +75,7 @@ def train(
 
 def score(model: Model, df: DataFrame, keys: Sequence[str], name: str = "score") -> DataFrame:
     """Lazy scoring that keeps the keys; nothing but keys and score is written downstream."""
-    same_features(model.features, [c for c in model.features if c in df.columns])
+    same_features(model.features, [c for c in df.columns if c in set(model.features)])
     out = model.learner.transform(model.prepare(df))
     if "probability" in out.columns:
         return out.select(*keys, vector_to_array("probability")[1].alias(name))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.functions.scalars import NO_EVENT_DAYS, SIZE_HORIZON, split_label, uniform
+from panelrisk.functions.scalars import NO_EVENT_DAYS, SIZE_HORIZON, checked, split_label, uniform
 from panelrisk.session import spread
 
 # Fixed value: share of train negatives kept by the sample.
@@ -30,12 +30,14 @@ def event_days(events: DataFrame) -> DataFrame:
 def day_arrays(measures: DataFrame, values: dict[str, Column], start: str, end: str, key: str = "cell") -> DataFrame:
     """One row per cell with, for each value, an array holding one entry per day of [start, end].
 
-    A day without a measure is NULL. The arrays are as long as the calendar, whatever the data.
+    A day without a measure is NULL. The arrays are as long as the calendar: a day that a cell has twice would shift
+    all days after it, so it stops the job; aggregate such measures first.
     """
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     axis = measures.select(key).distinct().select(key, F.explode(F.sequence(lo, hi)).alias("day"))
     filled = axis.join(measures.select(key, "day", *[c.alias(n) for n, c in values.items()]), [key, "day"], "left")
     packed = filled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("day", *values))).alias("_a"))
+    packed = checked(packed, F.size("_a") != F.datediff(hi, lo) + 1, "a cell has several measures of one day")
     return packed.select(key, *[F.col(f"_a.{n}").alias(n) for n in values])
 
 

@@ -13,15 +13,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 128
+from panelrisk.session import shuffle_width
 
 
-def range_index(df: DataFrame, value: str, ranges: int = RANGES, name: str = "_range") -> DataFrame:
-    """Number of balanced edges below ``value``: monotone in it, and 0 for NULL."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which NULL keys meet; the keys come from the left side."""
+    own = right.select(*[F.col(c).alias(f"_key_{i}") for i, c in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [left[c].eqNullSafe(own[f"_key_{i}"]) for i, c in enumerate(keys)]
+    return left.join(own, same, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
+def range_index(df: DataFrame, value: str, ranges: int | None = None, name: str = "_range") -> DataFrame:
+    """Number of balanced edges below ``value``: monotone in it, and 0 for NULL.
+
+    There are as many ranges as the session has shuffle partitions, two at least.
+    """
+    ranges = ranges or max(2, shuffle_width(df))
     probs = [i / ranges for i in range(1, ranges)]
     # Two short searches instead of one long one: every `step`-th edge first, then the edges of that stretch.
     step = math.isqrt(ranges) + 1
-    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 1000).alias("e"))
+    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, max(1000, 10 * ranges)).alias("e"))
     stops = F.filter("e", lambda _, i: (i + 1) % step == 0)
     found = edges.select(F.struct(F.col("e"), stops.alias("stops")).alias("s"))
     less = lambda e: e < F.col(value)
@@ -39,7 +50,7 @@ def running_totals(
     by: Sequence[str] = (),
     ties: Sequence[str] = (),
     descending: bool = True,
-    ranges: int = RANGES,
+    ranges: int | None = None,
     prefix: str = "cum_",
 ) -> DataFrame:
     """Add inclusive running sums ``cum_<value>`` along ``order`` (then ``ties`` ascending) within ``by``.
@@ -60,14 +71,14 @@ def running_totals(
     offsets = totals.select(
         *keys, "_range", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before_{v}") for v in values]
     )
-    out = within.join(offsets, [*keys, "_range"])
+    out = join_null_safe(within, offsets, [*keys, "_range"])
     out = out.withColumns({f"{prefix}{v}": F.col(f"{prefix}{v}") + F.col(f"_before_{v}") for v in values})
     return out.drop("_range", *[f"_before_{v}" for v in values])
 
 
 def tie_ranks(df: DataFrame, score: str, by: Sequence[str] = (), descending: bool = True) -> DataFrame:
-    """One row per distinct score: ``n`` rows at it, ``min_rank`` and ``avg_rank`` of those rows."""
-    groups = df.groupBy(*by, score).agg(F.count("*").alias("n"))
+    """One row per distinct score: ``n`` rows at it, ``min_rank`` and ``avg_rank`` of those rows. NULL has no rank."""
+    groups = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"))
     cum = running_totals(groups, score, ["n"], by=by, descending=descending)
     return cum.select(
         *by,
@@ -79,13 +90,13 @@ def tie_ranks(df: DataFrame, score: str, by: Sequence[str] = (), descending: boo
 
 
 def with_ranks(df: DataFrame, score: str, by: Sequence[str] = (), descending: bool = True) -> DataFrame:
-    """Attach ``min_rank`` and ``avg_rank`` to every row by an equi-join on the score."""
-    return df.join(tie_ranks(df, score, by, descending), [*by, score])
+    """Attach ``n``, ``min_rank`` and ``avg_rank`` to every row by an equi-join on the score; NULL where it is NULL."""
+    return join_null_safe(df, tie_ranks(df, score, by, descending), [*by, score], "left")
 
 
 def percentile_rank(df: DataFrame, score: str, name: str = "rank_pct") -> DataFrame:
-    """Average rank of equal scores divided by the number of rows (ascending)."""
-    rows = df.agg(F.count("*").alias("c"))
+    """Average rank of equal scores divided by the number of rows that have one (ascending); NULL stays NULL."""
+    rows = df.agg(F.count(score).alias("c"))
     ranked = with_ranks(df, score, descending=False)
     return ranked.withColumn(name, F.col("avg_rank") / rows.scalar()).drop("n", "min_rank", "avg_rank")
 
@@ -97,33 +108,34 @@ def ordinal_rank(
     by: Sequence[str] = (),
     descending: bool = True,
     name: str = "ordinal",
-    ranges: int = RANGES,
-    tie_ranges: int = 64,
+    ranges: int | None = None,
+    tie_ranges: int | None = None,
 ) -> DataFrame:
-    """Row number along (score, key). ``key`` is a unique number; equal scores go by ascending key.
+    """Row number along (score, key). ``key`` is a unique number; equal scores go by ascending key. Rows whose
+    score is NULL stay, with a NULL number.
 
     A score shared by many rows is split by key range, so no task holds a whole tie.
     """
     keyed = range_index(df, key, tie_ranges, "_key_range")
     cell = [*by, score, "_key_range"]
-    groups = keyed.groupBy(*cell).agg(F.count("*").alias("n"))
+    groups = keyed.filter(F.col(score).isNotNull()).groupBy(*cell).agg(F.count("*").alias("n"))
     cum = running_totals(groups, score, ["n"], by=by, ties=["_key_range"], descending=descending, ranges=ranges)
     offsets = cum.select(*cell, (F.col("cum_n") - F.col("n")).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy(key))
-    numbered = keyed.withColumn("_in", inside).join(offsets, cell)
+    numbered = join_null_safe(keyed.withColumn("_in", inside), offsets, cell, "left")
     return numbered.withColumn(name, F.col("_start") + F.col("_in")).drop("_start", "_in", "_key_range")
 
 
 def normalised_rank(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
-    """Ordinal rank scaled to [0, 1): 0 for the smallest score."""
-    rows = df.agg(F.count("*").alias("c"))
+    """Ordinal rank scaled to [0, 1): 0 for the smallest score; NULL stays NULL."""
+    rows = df.agg(F.count(score).alias("c"))
     ranked = ordinal_rank(df, score, key, descending=False, name="_ordinal")
     return ranked.withColumn(name, (F.col("_ordinal") - 1) / rows.scalar()).drop("_ordinal")
 
 
 def top_fraction(df: DataFrame, score: str, key: str, share: float) -> DataFrame:
-    """The ``floor(rows * share)`` best rows."""
-    rows = df.agg(F.count("*").alias("c"))
+    """The ``floor(rows * share)`` best rows; rows without a score are neither counted nor taken."""
+    rows = df.agg(F.count(score).alias("c"))
     ranked = ordinal_rank(df, score, key)
     return ranked.filter(F.col("ordinal") <= F.floor(rows.scalar() * F.lit(share))).drop("ordinal")
 
@@ -146,7 +158,7 @@ def average_rank_columns(df: DataFrame, cols: Sequence[str], key: str) -> DataFr
     out = df.select(key, *cols)
     for c in cols:
         ranks = tie_ranks(df.select(c), c, descending=False).select(c, F.col("avg_rank").alias(f"_{c}"))
-        out = out.join(ranks, c).drop(c).withColumnRenamed(f"_{c}", c)
+        out = out.join(ranks, c, "left").drop(c).withColumnRenamed(f"_{c}", c)
     return out.select(key, *cols)
 
 

@@ -296,11 +296,11 @@ ROLE_SQL: dict[str, str] = {
             WHERE kind IN ('31', '32', '33', '34', '35', '41', '50') AND target_type = 'COM' AND source <> target
             GROUP BY 1, 2) GROUP BY 1""",
     "passage": """
-        WITH RECURSIVE walk(source, here, hops) AS (
-            SELECT source, target, 1 FROM hops WHERE source NOT IN (SELECT code FROM live)
+        WITH RECURSIVE walk(source, here, hops, seen) AS (
+            SELECT source, target, 1, [source, target] FROM hops WHERE source NOT IN (SELECT code FROM live)
             UNION ALL
-            SELECT w.source, h.target, w.hops + 1 FROM walk w JOIN hops h ON h.source = w.here
-            WHERE w.hops < 10 AND w.here NOT IN (SELECT code FROM live))
+            SELECT w.source, h.target, w.hops + 1, list_append(w.seen, h.target) FROM walk w JOIN hops h ON h.source = w.here
+            WHERE w.here NOT IN (SELECT code FROM live) AND NOT list_contains(w.seen, h.target))
         SELECT source, here AS target, hops FROM walk WHERE here IN (SELECT code FROM live)""",
     "daily": f"""
         SELECT c.day, c.doy, c.year, c.month, coalesce(e.events, 0)::DOUBLE AS events, w.fwi, w.danger_share

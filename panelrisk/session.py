@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and the benchmark. On a cluster use the session you are given."""
+    scratch = tempfile.mkdtemp(prefix="panelrisk-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
+        .config("spark.checkpoint.dir", f"{scratch}/checkpoints")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .appName("panelrisk")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
@@ -25,20 +29,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names; a temporary one only in local mode, where nothing is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; beside the warehouse where it names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if named is None and not context.master.startswith("local"):
-            return None
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelrisk-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a frame that is read several times to the checkpoint folder; without a folder it stays lazy."""
-    return df if checkpoint_folder(df.sparkSession) is None else df.checkpoint()
+    """Write a frame that is read several times to the checkpoint folder, on every kind of cluster alike."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """The number of shuffle partitions the session is set to: how many tasks work side by side."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -48,4 +56,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     still looks tiny, so the partition count is fixed here. A later grouping that contains ``keys``
     reuses this partitioning.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(shuffle_width(df), *keys)

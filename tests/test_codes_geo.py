@@ -46,11 +46,13 @@ def test_resolution(moves, live, rows):
     assert got == {("a", "c", 2), ("b", "c", 1), ("g", "l", 1), ("48022", "48050", 1)}
 
 
-def test_chains_longer_than_the_limit_are_dropped(spark, rows):
-    chain = [("32", "2010-01-01", "COM", str(i), str(i + 1)) for i in range(12)]
-    df = spark.createDataFrame(chain, "kind string, effective string, target_type string, source string, target string")
-    got = rows(codes.resolve_codes(df, spark.createDataFrame([("12",)], "code string")), "source", "hops")
-    assert got == {(str(i), 12 - i) for i in range(2, 12)}
+def test_chains_of_any_length_resolve_and_cycles_are_reported(spark, rows):
+    chain = [("32", "2010-01-01", "COM", str(i), str(i + 1)) for i in range(37)]
+    cycle = [("32", "2010-01-01", "COM", a, b) for a, b in (("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("v", "gone"))]
+    df = spark.createDataFrame(chain + cycle, "kind string, effective string, target_type string, source string, target string")
+    live = spark.createDataFrame([("37",)], "code string")
+    assert rows(codes.resolve_codes(df, live), "source", "target", "hops") == {(str(i), "37", 37 - i) for i in range(37)}
+    assert rows(codes.unresolved_codes(df, live)) == {("x",), ("y",), ("z",), ("w",), ("v",)}
 
 
 def test_remap_is_idempotent_and_splits_stay(spark, moves, live, rows):

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from panelrisk.functions.calendar import calendar, easter_doy
+from panelrisk.functions.calendar import calendar, easter_sunday
 from panelrisk.functions.scalars import interpolate, student_t_p, threshold_class
 from panelrisk.operators import checks, features, panel
 
@@ -133,8 +133,9 @@ def test_leaking_columns_are_never_features(spark):
 
 
 def test_holidays(spark):
-    # Easter Sundays: 2019-04-21, 2024-03-31.
-    assert easter_doy(2019) == dt.date(2019, 4, 21).timetuple().tm_yday and easter_doy(2024) == dt.date(2024, 3, 31).timetuple().tm_yday
+    known = {1818: "03-22", 1943: "04-25", 1981: "04-19", 2000: "04-23", 2019: "04-21", 2024: "03-31", 2285: "03-22", 3000: "04-13"}
+    years = spark.createDataFrame([(y,) for y in known], "y int")
+    assert {r.y: str(r.e)[5:] for r in years.select("y", easter_sunday(F.col("y")).alias("e")).collect()} == known
     found = {str(r.day): r.holiday for r in calendar(spark, "2024-01-01", "2024-12-31").filter("is_holiday").collect()}
     assert len(found) == 11 and found["2024-04-01"] == "easter_monday" and found["2024-05-09"] == "ascension" and found["2024-05-20"] == "whit_monday"
 

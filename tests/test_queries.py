@@ -1,4 +1,4 @@
-"""Registered queries against DuckDB on the smallest tables. PANELRISK_ALL=1 runs every one of them."""
+"""Every registered query that has SQL against DuckDB, on the smallest tables."""
 import math
 import os
 
@@ -12,13 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-CORE = (
-    "calendar_features sampled_train panel_volumes event_history feature_matrix asof_vintages neighbour_pairs nearest_sites "
-    "code_passage average_precision budget_curve reliability_table rank_ensembles bootstrap_replicas smoothed_rates "
-    "rates_without_region baseline_report rates_by_class climatology level_factors decorrelation_times check_rectangular "
-    "check_pairs serving_table entity_trajectories"
-).split()
-NAMES = [n for n, q in REGISTRY.items() if q.sql] if os.environ.get("PANELRISK_ALL") else CORE
+NAMES = [n for n, q in REGISTRY.items() if q.sql]
 
 
 @pytest.fixture(scope="module")

@@ -41,6 +41,27 @@ def test_floating_headers(spark, archives):
     assert marked.count() == 9 and marked.filter("suspect").count() == 9
 
 
+def test_wide_and_blank_headers(spark, tmp_path):
+    """More than 64 columns, and a blank header field, neither cut nor shift a record."""
+    extra = [f"X{i}" for i in range(70)]
+    with zipfile.ZipFile(tmp_path / "w.zip", "w") as z:
+        names = HEADER.split(";")
+        head = [*names[:2], "", *extra, *names[2:]]
+        values = ["2010", "7", "blank", *("x" for _ in extra), "2A", "2A004", "Ajaccio", "2010-07-01 12:30:00", "100", "50", "", "3", "lightning"]
+        z.writestr("a/INCENDIES.CSV", "\n".join([";".join(head), ";".join(values), ""]))
+    events, meta = readers.read_event_exports(spark, str(tmp_path / "w.zip"))
+    r = events.first()
+    assert (r.number, r.dep, r.source_code, r.size, r.forest_size, r.scrub_size, r.stand_type, r.cause) == ("7", "2A", "2A004", 100.0, 50.0, None, "3", "lightning")
+    assert meta.first().rows == 1
+
+
+def test_an_archive_without_an_export_is_named(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("other.csv", "x")
+    with pytest.raises(Exception, match="holds no incendies.csv"):
+        readers.archive_lines(spark, str(tmp_path / "none.zip")).count()
+
+
 def test_entities(spark, tmp_path):
     head = ",".join(readers.ENTITY_COLUMNS)
     lines = [head, "01001,Un,01,84,46.1,4.9,15.2,800.0,52.6,242.0,180.0,300.0,6.0", "2A001,Deux,2A,94,41.9,8.7,10,5,0.5,500,9589,400,7", "97101,Loin,971,01,16,-61,1,1,1,1,1,2,1", "02001,Sans,02,32,,,1,1,1,1,1,2,1"]
@@ -110,6 +131,8 @@ def test_sinks_and_incremental_loads(spark, tmp_path):
     incremental.backfill(spark, df, fill)
     assert spark.read.parquet(fill).count() == 40
 
+    assert incremental.years_present(spark, fill) == [2006, 2007, 2008, 2009] and incremental.years_present(spark, fill + "-absent") == []
+
     table = str(tmp_path / "table")
     tables.append_by_name(df, table, ["entity", "v"])
     tables.append_by_name(df, table, ["entity", "v"])
