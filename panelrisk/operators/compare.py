@@ -1,17 +1,19 @@
 """Keyed alignment of prediction sets, model comparison, ensembles and the entity bootstrap."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import checked
 from panelrisk.operators.metrics import average_precision
-from panelrisk.operators.ranks import correlations, ordinal_rank
-from panelrisk.session import spread
+from panelrisk.operators.ranks import correlations, ordinal_rank, range_index
+from panelrisk.session import cut_lineage, spread
 
 REPLICAS = 200
 
@@ -90,31 +92,112 @@ def bootstrap_uniform(unit: Column, replica: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _slices(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Runs of rows with the same keys, in order."""
+    new = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+    starts = np.flatnonzero(new)
+    for a, z in zip(starts, [*starts[1:], len(batch)]):
+        yield tuple(batch[keys].iloc[a]), batch.iloc[a:z]
+
+
+def _weighted(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positives of each row in each replica."""
+    weights = np.stack(part["_w"].to_numpy()).astype(np.int64)
+    return weights * part["n"].to_numpy()[:, None], weights * part["pos"].to_numpy()[:, None]
+
+
+def _range_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per (model, range): rows and positives in each replica."""
+    totals: dict[tuple, list[np.ndarray]] = {}
+    for batch in batches:
+        for key, part in _slices(batch, ["model", "_range"]):
+            sums = [x.sum(axis=0) for x in _weighted(part)]
+            totals[key] = [a + b for a, b in zip(totals[key], sums)] if key in totals else sums
+    yield pd.DataFrame([(*key, n, pos) for key, (n, pos) in totals.items()], columns=["model", "_range", "n", "pos"])
+
+
+def _before(totals: pd.DataFrame) -> pd.DataFrame:
+    """For each range of a model what the ranges of higher scores have, in each replica."""
+    totals = totals.sort_values("_range", ascending=False)
+    out = totals[["model", "_range"]].copy()
+    for column in ("n", "pos"):
+        sums = np.cumsum(np.stack(totals[column].to_numpy()), axis=0)
+        out[column] = list(np.vstack([np.zeros_like(sums[:1]), sums[:-1]]))
+    return out
+
+
+def _range_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sum of positives times precision over the score groups of each (model, range), in each replica.
+
+    Rows come by key; first the one with what stands before the range, then the scores from high to low. A score
+    group may go on in the next batch, so the last one waits.
+    """
+    key = None
+    for batch in batches:
+        for this, part in _slices(batch, ["model", "_range"]):
+            if this != key:
+                if key is not None:
+                    yield _part_rows(key, part_sum + _contribution(n_sum, pos_sum, *waiting)[0])
+                key, first, part = this, part.iloc[0], part.iloc[1:]
+                n_sum, pos_sum, score = first["n_before"].astype(np.int64), first["pos_before"].astype(np.int64), None
+                part_sum, waiting = np.zeros(len(n_sum)), (np.zeros((0, len(n_sum)), np.int64),) * 2
+            if not len(part):
+                continue
+            scores = part["score"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+            n, pos = (np.add.reduceat(x, starts, axis=0) for x in _weighted(part))
+            if len(waiting[0]) and scores[0] == score:
+                n[0] += waiting[0][0]
+                pos[0] += waiting[1][0]
+            elif len(waiting[0]):
+                n, pos = np.vstack([waiting[0], n]), np.vstack([waiting[1], pos])
+            added, n_sum, pos_sum = _contribution(n_sum, pos_sum, n[:-1], pos[:-1])
+            part_sum, waiting, score = part_sum + added, (n[-1:], pos[-1:]), scores[-1]
+    if key is not None:
+        yield _part_rows(key, part_sum + _contribution(n_sum, pos_sum, *waiting)[0])
+
+
+def _contribution(n_sum: np.ndarray, pos_sum: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positives times precision at the end of each score group, summed; and the sums after the last group."""
+    n_after, pos_after = n_sum + np.cumsum(n, axis=0), pos_sum + np.cumsum(pos, axis=0)
+    added = (pos * pos_after / np.maximum(n_after, 1)).sum(axis=0)
+    return (added, n_after[-1], pos_after[-1]) if len(n) else (added, n_sum, pos_sum)
+
+
+def _part_rows(key: tuple, parts: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"model": key[0], "replica": np.arange(1, len(parts) + 1), "part": parts})
+
+
 def bootstrap_scores(
     aligned: DataFrame, models: Sequence[str], unit: str, replicas: int = REPLICAS, seed: int = 42, y: str = "y"
 ) -> DataFrame:
     """(replica, model, average_precision) when whole units are resampled.
 
     The multiplicity of a unit comes from a hash of (seed, replica, unit): every model sees the same
-    weights, a retried task draws the same ones, and no draw has to be stored. Rows are first
-    collapsed to (unit, model, score), and a weight of zero is dropped before the shuffle.
+    weights, a retried task draws the same ones, and no draw has to be stored. Rows are collapsed to
+    (unit, model, score) and dealt once by score range, each with the array of its unit's weights; all
+    replicas are summed side by side in those arrays, so the rows do not multiply with the replicas.
     """
-    stacked = long_scores(aligned, models, [unit, y])
+    stacked = long_scores(aligned, models, [unit, y]).filter(F.col("score").isNotNull())
     groups = stacked.groupBy(unit, "model", "score").agg(
         F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("pos")
     )
-    # One array of weights per unit, drawn once; it is joined to the groups and opened there.
     # The uniforms are bound first, so each is hashed once and not at every step of its inversion.
     uniforms = F.transform(F.sequence(F.lit(1), F.lit(replicas)), lambda r: bootstrap_uniform(F.col(unit), r, seed))
     draw = F.transform(uniforms, lambda u: poisson_weight(u).cast("tinyint"))
-    weights = aligned.select(unit).distinct().withColumn("_w", draw)
-    each = spread(groups.join(weights, unit), unit, "model", "score")
-    opened = each.select("model", "score", "n", "pos", F.posexplode_outer("_w").alias("_at", "w")).filter(F.col("w") > 0)
-    weighted = opened.withColumn("replica", F.col("_at") + 1)
-    scored = weighted.groupBy("replica", "model", "score").agg(
-        F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos")
-    )
-    return average_precision(scored, by=["replica", "model"]).select("replica", "model", "average_precision")
+    weights = spread(aligned.select(unit).distinct(), unit).withColumn("_w", draw)
+    ranged = range_index(groups, "score").join(weights, unit).select("model", "_range", "score", "n", "pos", "_w")
+    rows = cut_lineage(ranged.repartition("model", "_range").sortWithinPartitions("model", "_range", F.desc("score")))
+
+    arrays = "model string, _range int, n array<long>, pos array<long>"
+    totals = cut_lineage(rows.mapInPandas(_range_totals, arrays))
+    before = totals.groupBy("model").applyInPandas(_before, arrays)
+    first = before.select("model", "_range", F.lit(0).alias("_kind"), F.col("n").alias("n_before"), F.col("pos").alias("pos_before"))
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(first, allowMissingColumns=True)
+    dealt = both.repartition("model", "_range").sortWithinPartitions("model", "_range", "_kind", F.desc("score"))
+    parts = dealt.mapInPandas(_range_parts, "model string, replica int, part double").groupBy("replica", "model").agg(F.sum("part").alias("part"))
+    positives = totals.select("model", F.posexplode("pos").alias("_at", "pos")).groupBy((F.col("_at") + 1).alias("replica"), "model").agg(F.sum("pos").alias("pos"))
+    return parts.join(positives, ["replica", "model"]).select("replica", "model", (F.col("part") / F.nullif(F.col("pos"), F.lit(0))).alias("average_precision"))
 
 
 def paired_bootstrap(

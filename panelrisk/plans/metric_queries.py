@@ -151,28 +151,37 @@ def top_fraction(t):
     return ranks.top_fraction(t.predictions, "score_b", "event_id", 0.05)
 
 
-@query(
-    "M17 M9",
-    "replica:i model:s average_precision:f",
-    f"""WITH u AS (SELECT DISTINCT entity FROM predictions),
+#: Average precision of both models in 200 replicas, from the definition: every row once for each replica it is in.
+REPLICAS_SQL = f"""u AS (SELECT DISTINCT entity FROM predictions),
         w AS (SELECT entity, replica, ('0x' || substr(md5('42|' || replica || '|' || entity), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-              FROM u, (SELECT unnest(range(1, 21)) AS replica)),
+              FROM u, (SELECT unnest(range(1, 201)) AS replica)),
         m AS (SELECT entity, replica, (u >= 0.367879441171)::INT + (u >= 0.735758882343)::INT + (u >= 0.919698602929)::INT + (u >= 0.981011843124)::INT
                      + (u >= 0.996340153173)::INT + (u >= 0.999405815182)::INT + (u >= 0.999916758851)::INT + (u >= 0.999989750803)::INT + (u >= 0.999998874797)::INT AS w FROM w),
         l AS (SELECT entity, y, 'a' AS model, score_a AS score FROM predictions UNION ALL SELECT entity, y, 'b', score_b FROM predictions),
         g0 AS (SELECT replica, model, score, sum(w) AS n, sum(w * y) AS pos FROM l JOIN m USING (entity) WHERE w > 0 GROUP BY 1, 2, 3),
-        g AS (SELECT {{'r': replica, 'm': model}} AS k, score, n, pos FROM g0)
-        SELECT k.r AS replica, k.m AS model, average_precision FROM {ap_sql('g', 'k')}""",
-)
+        g AS (SELECT {{'r': replica, 'm': model}} AS k, score, n, pos FROM g0),
+        draws AS (SELECT k.r AS replica, k.m AS model, average_precision FROM {ap_sql('g', 'k')})"""
+
+
+@query("M17 M9", "replica:i model:s average_precision:f", f"WITH {REPLICAS_SQL} SELECT * FROM draws")
 def bootstrap_replicas(t):
     aligned = t.predictions.withColumns({"a": F.col("score_a"), "b": F.col("score_b")})
-    return compare.bootstrap_scores(aligned, ["a", "b"], "entity", replicas=20)
+    return compare.bootstrap_scores(aligned, ["a", "b"], "entity")
 
 
-@query("M17", "reference:s model:s gap:f low:f high:f significant:b")
+@query(
+    "M17",
+    "reference:s model:s gap:f low:f high:f significant:b",
+    f"""WITH {REPLICAS_SQL}, whole AS (SELECT model, score, count(*) AS n, sum(y) AS pos FROM l GROUP BY 1, 2),
+        points AS (SELECT * FROM {ap_sql('whole', 'model')}),
+        gaps AS (SELECT 100.0::DOUBLE * (max(average_precision) FILTER (model = 'b') / max(average_precision) FILTER (model = 'a') - 1) AS gap FROM draws GROUP BY replica),
+        bounds AS (SELECT quantile_cont(gap, 0.025) AS low, quantile_cont(gap, 0.975) AS high FROM gaps)
+        SELECT 'a' AS reference, 'b' AS model, 100.0::DOUBLE * (max(average_precision) FILTER (model = 'b') / max(average_precision) FILTER (model = 'a') - 1) AS gap,
+               any_value(low) AS low, any_value(high) AS high, any_value(low) * any_value(high) > 0 AS significant FROM points, bounds""",
+)
 def paired_bootstrap(t):
     aligned = t.predictions.withColumns({"a": F.col("score_a"), "b": F.col("score_b")})
-    return compare.paired_bootstrap(aligned, ["a", "b"], "entity", replicas=50).withColumnRenamed("gap_pct", "gap")
+    return compare.paired_bootstrap(aligned, ["a", "b"], "entity").withColumnRenamed("gap_pct", "gap")
 
 
 @query(

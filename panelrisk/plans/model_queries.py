@@ -14,6 +14,8 @@ from panelrisk.plans.registry import query
 from panelrisk.plans.roles import FIT_END, JUDGE_YEAR, START, TRAIN_STOP
 from panelrisk.session import cut_lineage
 
+#: Clusters of entities, and the positives of the judged years below which a region is not judged at this size.
+CLUSTERS, LEAST_POSITIVES = 30, 2
 LIGHT = {"maxIter": 5, "maxDepth": 3}
 PROFILE_SHARES = ("share_standard", "share_economy", "share_promo")
 PROFILE_COLUMNS = (
@@ -77,7 +79,7 @@ def standardised_profile(t):
 
 @query("L4", "cluster:i entities:i")
 def entity_clusters(t):
-    labelled, _ = clustering.cluster(scaled_profile(t), PROFILE_COLUMNS, k=10)
+    labelled, _ = clustering.cluster(scaled_profile(t), PROFILE_COLUMNS, k=CLUSTERS)
     return labelled.groupBy("cluster").agg(F.count("*").alias("entities"))
 
 
@@ -99,7 +101,7 @@ def shifted_clusters(t):
     medians = clustering.fit_medians(raw, PROFILE_COLUMNS)
     filled = clustering.impute(raw, medians, PROFILE_COLUMNS)
     scaler = clustering.fit_scaler(filled, PROFILE_COLUMNS)
-    labelled, model = clustering.cluster(clustering.standardise(filled, PROFILE_COLUMNS, scaler), PROFILE_COLUMNS, k=10)
+    labelled, model = clustering.cluster(clustering.standardise(filled, PROFILE_COLUMNS, scaler), PROFILE_COLUMNS, k=CLUSTERS)
     present = clustering.centre_distance(labelled, PROFILE_COLUMNS, model, "cluster", "distance")
     past = t.measures.filter(F.col("day") <= F.lit(TRAIN_STOP).cast("date"))
     ratios = _ratios(t).drop("dist_deg")
@@ -151,7 +153,7 @@ def cluster_configurations(t):
         return cut_lineage(smoothing.apply_rates(base, smoothing.smooth_rates(t.counts, full)))
 
     base = cut_lineage(matrix(t))
-    builds = {"none": lambda: base, "k=5": lambda: with_clusters(5), "k=10": lambda: with_clusters(10)}
+    builds = {"none": lambda: base} | {f"k={k}": lambda k=k: with_clusters(k) for k in (10, 30, 60, 120)}
     return models.compare_configurations(builds, feature_columns, fit_years(), judge_years())
 
 
@@ -180,9 +182,10 @@ def neural_model(t):
 def region_transfer(t):
     base = cut_lineage(matrix(t).join(t.entities.select("entity", "reg"), "entity"))
     clusters = smoothing.with_fallback_cluster(t.counts, t.clusters)
+    regions = [r["reg"] for r in t.entities.select("reg").distinct().orderBy("reg").collect()]  # a handful
     results = models.leave_region_out(
         base, t.counts, clusters, t.entities.select("entity", "reg"),
-        lambda df: [c for c in feature_columns(df) if c != "reg"], (0, 1), fit_years(), judge_years(), least=2, **LIGHT,
+        lambda df: [c for c in feature_columns(df) if c != "reg"], regions, fit_years(), judge_years(), least=LEAST_POSITIVES, **LIGHT,
     )
     return eda.fold_summary(results, "feature_set", "average_precision")
 

@@ -115,7 +115,9 @@ class Roles:
     @cached_property
     def areas(self) -> DataFrame:
         p = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category"))
-        rows = self.lines.withColumn("vintage", F.year("l_shipdate")).filter(F.col("vintage").isin(*VINTAGES))
+        # Each line belongs to the vintage in force when it was shipped; lines before the first vintage belong to that.
+        in_force = F.coalesce(*[F.when(F.year("l_shipdate") >= v, F.lit(v)) for v in sorted(VINTAGES, reverse=True)], F.lit(min(VINTAGES)))
+        rows = self.lines.withColumn("vintage", in_force)
         return rows.join(p, "l_partkey").groupBy("dep", "vintage", "category").agg(F.sum("l_quantity").alias("area"))
 
     @cached_property
@@ -219,9 +221,9 @@ ROLE_SQL: dict[str, str] = {
                (sum(l_quantity::BIGINT * l_linenumber) % 800)::DOUBLE AS dc
         FROM lines GROUP BY 1, 2""",
     "areas": """
-        SELECT dep, year(l_shipdate)::INT AS vintage, p_type AS category, sum(l_quantity) AS area
-        FROM lines JOIN part ON l_partkey = p_partkey
-        WHERE year(l_shipdate) IN (1995, 1997, 1999) GROUP BY 1, 2, 3""",
+        SELECT dep, greatest(1995, (SELECT max(v) FROM (SELECT unnest([1995, 1997, 1999]) AS v) WHERE v <= greatest(1995, year(l_shipdate))))::INT AS vintage,
+               p_type AS category, sum(l_quantity) AS area
+        FROM lines JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""",
     "shares": """
         SELECT dep, vintage, sum(area) AS area_total,
                coalesce(sum(area) FILTER (category = 'STANDARD'), 0) / nullif(sum(area), 0) AS share_standard,
