@@ -94,6 +94,9 @@ class Vocabulary:
         return text.split()
 
     def pieces(self, chunk: str) -> list[str]:
+        # Letters only, in normal form before and after: one piece, as the pattern would find.
+        if chunk.isalpha() and "Σ" not in chunk and (lower := chunk.lower()).isalpha() and (lower.isascii() or unicodedata.is_normalized("NFC", chunk)):
+            return [lower]
         return [chunk] if chunk in self.special else PIECE.findall(self.normal(chunk))
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
