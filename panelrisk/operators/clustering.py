@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import checked, log1p0
 from panelrisk.operators.climate import cell_climate
+from panelrisk.operators.ranks import exact_quantiles
 
 # Number of clusters, and the weight of position against the other variables.
 CLUSTERS = 30
@@ -111,5 +112,5 @@ def centre_distance(scaled: DataFrame, columns: Sequence[str], model: KMeansMode
 
 def out_of_analogy(present: DataFrame, shifted: DataFrame, distance: str, quantile: float = 0.95) -> DataFrame:
     """Flag shifted profiles further from their centre than the present 95th percentile."""
-    limit = present.agg(F.percentile(distance, quantile).alias("q"))
+    limit = exact_quantiles(present, distance, [quantile]).select(F.col("quantiles")[0])
     return shifted.withColumn("reliable", F.col(distance) <= limit.scalar())

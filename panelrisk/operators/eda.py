@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import M2_PER_HA, safe_ratio
-from panelrisk.operators.ranks import running_totals
+from panelrisk.operators.ranks import exact_quantiles, join_null_safe, running_totals
 
 
 def rates_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -174,7 +174,8 @@ def vintage_stability(areas: DataFrame, key: str) -> DataFrame:
     """Spread of the total area of a key across vintages: median and 99th percentile of max - min."""
     total = areas.groupBy(key, "vintage").agg(F.sum("area").alias("t"))
     span = total.groupBy(key).agg((F.max("t") - F.min("t")).alias("span"))
-    return span.agg(F.median("span").alias("median_span"), F.percentile("span", 0.99).alias("p99_span"))
+    found = exact_quantiles(span, "span", [0.5, 0.99])
+    return found.select(F.col("quantiles")[0].alias("median_span"), F.col("quantiles")[1].alias("p99_span"))
 
 
 def revision_diff(original: DataFrame, revised: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
@@ -255,9 +256,7 @@ def contribution_shift(contributions: DataFrame) -> DataFrame:
 
 def quantile_bin(df: DataFrame, x: str, bins: int, name: str) -> DataFrame:
     """Index of the quantile bin of ``x`` (exact edges, equal edges merged, last bin closed)."""
-    edges = df.agg(
-        F.array_sort(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)])))).alias("e")
-    )
+    edges = exact_quantiles(df, x, [i / bins for i in range(bins + 1)]).select(F.array_sort(F.array_distinct("quantiles")).alias("e"))
     last = F.size(F.filter("_e", lambda e: e <= F.col(x))) - 1
     index = F.least(F.greatest(last, F.lit(0)), F.greatest(F.size("_e") - 2, F.lit(0)))
     return df.withColumn("_e", edges.scalar()).withColumn(name, index).drop("_e")
@@ -265,15 +264,19 @@ def quantile_bin(df: DataFrame, x: str, bins: int, name: str) -> DataFrame:
 
 def median_by_bin(df: DataFrame, x: str, value: str, bins: int = 24) -> DataFrame:
     binned = quantile_bin(df, x, bins, "bin")
-    return binned.groupBy("bin").agg(
-        F.median(x).alias("x"), F.median(value).alias("value"), F.count("*").alias("rows")
-    )
+    out = binned.groupBy("bin").agg(F.count("*").alias("rows"))
+    for c, name in ((x, "x"), (value, "value")):
+        middle = exact_quantiles(binned, c, [0.5], by=["bin"]).select("bin", F.col("quantiles")[0].alias(name))
+        out = join_null_safe(out, middle, ["bin"], "left")
+    return out.select("bin", "x", "value", "rows")
 
 
 def median_grid(df: DataFrame, x: str, z: str, value: str, bins: int, least: int = 20) -> DataFrame:
     """Conditional medians on a 2-D quantile grid; cells under ``least`` rows are blank."""
     binned = quantile_bin(quantile_bin(df, x, bins, "bin_x"), z, bins, "bin_z")
-    out = binned.groupBy("bin_x", "bin_z").agg(F.median(value).alias("value"), F.count("*").alias("rows"))
+    cell = ["bin_x", "bin_z"]
+    middle = exact_quantiles(binned, value, [0.5], by=cell).select(*cell, F.col("quantiles")[0].alias("value"))
+    out = join_null_safe(binned.groupBy(*cell).agg(F.count("*").alias("rows")), middle, cell, "left")
     return out.withColumn("value", F.when(F.col("rows") >= least, F.col("value")))
 
 
@@ -353,8 +356,8 @@ def spatial_mean(measures: DataFrame, used: DataFrame, x: str = "fwi") -> DataFr
 
 
 def distribution(df: DataFrame, x: str) -> DataFrame:
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)]))
-    out = df.agg(q.alias("q"), F.max(x).alias("max"), F.avg((F.col(x) == 0).cast("double")).alias("zero_share"))
+    out = df.agg(F.max(x).alias("max"), F.avg((F.col(x) == 0).cast("double")).alias("zero_share"))
+    out = out.withColumn("q", exact_quantiles(df, x, (0.5, 0.9, 0.95, 0.99)).scalar())
     return out.select(
         *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))], "max", "zero_share"
     )
@@ -401,8 +404,9 @@ def local_excess(dense: DataFrame, order: str, value: str, half: int = 10) -> Da
 def display_weights(scored: DataFrame) -> DataFrame:
     """Map weights: score over its maximum, score per km2 over its 99th percentile, index over 50."""
     per_area = F.col("score") / F.greatest(F.col("area_km2"), F.lit(0.5))
-    top = scored.agg(F.struct(F.max("score").alias("m"), F.percentile(per_area, 0.99).alias("q")).alias("t"))
-    out = scored.withColumn("_t", top.scalar())
+    high = exact_quantiles(scored.select(per_area.alias("d")), "d", [0.99]).select(F.col("quantiles")[0])
+    top = F.struct(scored.agg(F.max("score")).scalar().alias("m"), high.scalar().alias("q"))
+    out = scored.withColumn("_t", top)
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     return out.withColumns(
         {

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.operators.ranks import ordinal_rank, running_totals, tie_ranks
+from panelrisk.operators.ranks import exact_quantiles, ordinal_rank, running_totals, tie_ranks
 
 # Watched shares of the ranking.
 BUDGETS = (0.001, 0.005, 0.01, 0.05, 0.10)
@@ -79,9 +79,7 @@ def reliability(df: DataFrame, p: str, y: str, bins: int = 15) -> DataFrame:
     """Reliability by quantile bins; equal edges are merged and a value on an edge opens the next bin."""
     probs = [i / bins for i in range(bins + 1)]
     groups = df.groupBy(F.col(p).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("pos"))
-    edges = groups.agg(
-        F.array_sort(F.array_distinct(F.percentile("score", F.array(*[F.lit(q) for q in probs]), F.col("n")))).alias("e")
-    )
+    edges = exact_quantiles(groups, "score", probs, count="n").select(F.array_sort(F.array_distinct("quantiles")).alias("e"))
     placed = groups.withColumn("_e", edges.scalar())
     last = F.size(F.filter("_e", lambda e: e <= F.col("score"))) - 1
     index = F.least(F.greatest(last, F.lit(0)), F.size("_e") - 2)

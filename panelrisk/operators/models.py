@@ -20,6 +20,7 @@ from panelrisk.operators.checks import same_features
 from panelrisk.operators.clustering import fit_medians, fit_scaler, impute, standardise
 from panelrisk.operators.features import feature_sets
 from panelrisk.operators.metrics import average_precision, regression_errors, roc_auc, score_groups
+from panelrisk.operators.ranks import exact_quantiles
 from panelrisk.operators.smoothing import apply_rates, smooth_rates_without
 from panelrisk.session import cut_lineage
 
@@ -180,7 +181,7 @@ def size_stage(df: DataFrame, features: Sequence[str], fit: Column, judge: Colum
     a, b = events.filter(fit), events.filter(judge)
     reg = train(a, features, "size", label="log_size", **params)
     errors = regression_errors(score(reg, b, ["log_size"], "predicted"), "predicted", "log_size")
-    median = a.agg(F.median("log_size").alias("m"))
+    median = exact_quantiles(a, "log_size", [0.5]).select(F.col("quantiles")[0])
     naive = regression_errors(b.withColumn("predicted", median.scalar()), "predicted", "log_size")
     clf = train(a, features, "boosted", label="large", **params)
     scored = score(clf, b, ["large"], "score")

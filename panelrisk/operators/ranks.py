@@ -76,6 +76,34 @@ def running_totals(
     return out.drop("_range", *[f"_before_{v}" for v in values])
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """(by..., quantiles): the exact quantiles of ``value``, interpolated between neighbouring ranks, as an array.
+
+    Rows are counted by value, and prefix sums of the counts place each value; no task holds all values of a
+    group. ``count`` names a column with the rows each row stands for. NULL is left out; a group without values has
+    no row, except that without ``by`` there is always one.
+    """
+    rows = F.count("*") if count is None else F.sum(count)
+    groups = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("n")).filter("n > 0")
+    cum = running_totals(groups, value, ["n"], by=by, descending=False)
+    total = groups.groupBy(*by).agg(F.sum("n").alias("_rows"))
+    placed = join_null_safe(cum, total, by) if by else cum.withColumn("_rows", total.scalar())
+    found = []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("_rows") - 1)
+        for side, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            inside = (F.col("cum_n") - F.col("n") <= at) & (at < F.col("cum_n"))
+            found.append(F.max(F.when(inside, F.col(value).cast("double"))).alias(f"_{side}{i}"))
+    out = placed.groupBy(*by).agg(F.max("_rows").alias("_rows"), *found)
+    values = []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("_rows") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        between = (high - place) * F.col(f"_low{i}") + (place - low) * F.col(f"_high{i}")
+        values.append(F.when((low == high) | (F.col(f"_low{i}") == F.col(f"_high{i}")), F.col(f"_low{i}")).otherwise(between))
+    return out.select(*by, F.array(*values).alias("quantiles"))
+
+
 def tie_ranks(df: DataFrame, score: str, by: Sequence[str] = (), descending: bool = True) -> DataFrame:
     """One row per distinct score: ``n`` rows at it, ``min_rank`` and ``avg_rank`` of those rows. NULL has no rank."""
     groups = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"))

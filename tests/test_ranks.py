@@ -38,3 +38,16 @@ def test_a_day_given_twice_stops_the_job(spark):
     assert arrays.first().fwi == [1.0, 2.0, None]
     with pytest.raises(Exception, match="several measures of one day"):
         panel.day_arrays(measures, {"fwi": F.col("fwi")}, "2020-01-01", "2020-01-03").collect()
+
+
+def test_exact_quantiles_are_those_of_the_built_in_function(spark, rows):
+    df = spark.range(701).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.col("id") * 37 % 101 / 7).alias("v"))
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    want = df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
+    got = {r.g: r.quantiles for r in ranks.exact_quantiles(df, "v", probs, by=["g"]).collect()}
+    assert got == {r.g: r.q for r in want.collect()}
+    whole = df.agg(F.percentile("v", F.array(*map(F.lit, probs)))).first()[0]
+    assert ranks.exact_quantiles(df, "v", probs).first().quantiles == whole
+    counted = df.groupBy("v").agg(F.count("*").alias("k"))
+    assert ranks.exact_quantiles(counted, "v", probs, count="k").first().quantiles == whole
+    assert ranks.exact_quantiles(df.limit(0), "v", [0.5]).first().quantiles == [None]
