@@ -5,6 +5,7 @@ regression over licence families and "unknown" is trained by gradient descent on
 on near misses and on paragraphs of the corpus (a bounded sample of documents). A temperature
 fitted on variants kept from training calibrates the probabilities. A family is reported if its calibrated
 probability is high enough and one of its templates is contained in the paragraph; all else is unknown.
+A paragraph is a line, or a run of neighbouring lines over which a template is wrapped.
 """
 from __future__ import annotations
 
@@ -180,26 +181,84 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     return fit(sorted(r["p"] for r in paragraphs.collect()))
 
 
+def wrapped(lines: list[str], owners: list[int], model: Model) -> list[tuple[int, int]]:
+    """Ranges of lines, two or more each, that together hold LEAST_TEMPLATE of a template's word pairs.
+
+    ``owners``: a number for each line, the same for neighbouring lines that may belong together. Lines without a
+    word, as in a block of comments, part what stands above and below them.
+    """
+    words, counts = hashed_words([line.lower().encode() for line in lines], _PLAIN)
+    line_of = np.repeat(np.arange(len(lines)), counts)
+    if len(words) < 2:
+        return []
+    block = np.cumsum(np.r_[True, (np.diff(owners) != 0) | (counts[1:] == 0) | (counts[:-1] == 0)])[line_of]
+    pairs = shingle_hashes(words, np.array([len(words)]), 2)[0]
+    known = [t for templates in model.templates.values() for t in templates]
+    every = np.unique(np.concatenate(known))
+    at = np.minimum(np.searchsorted(every, pairs), len(every) - 1)
+    hits = np.flatnonzero((every[at] == pairs) & (block[1:] == block[:-1]))
+    has = np.stack([np.isin(every, t) for t in known])
+    needed = np.array([LEAST_TEMPLATE * len(t) for t in known])
+    found = set()
+    for own in np.split(hits, np.flatnonzero(np.diff(block[hits])) + 1):
+        if len(own) < needed.min() or line_of[own[0]] == line_of[own[-1] + 1]:
+            continue
+        for k in np.flatnonzero(has[:, np.unique(at[own])].sum(axis=1) >= needed):
+            places = own[has[k, at[own]]]
+            i = 0
+            while i < len(places):
+                # The least stretch from here on that has the best share within twice the template's length.
+                near = places[i : np.searchsorted(places, places[i] + 2 * len(known[k]))]
+                first = np.sort(np.unique(at[near], return_index=True)[1])
+                if len(first) < needed[k]:
+                    i += 1
+                    continue
+                near = near[: first[-1] + 1]
+                last = np.unique(at[near[::-1]], return_index=True)[1]
+                a, z = int(line_of[near[len(near) - 1 - last.max()]]), int(line_of[near[-1] + 1])
+                if a < z:
+                    found.add((a, z + 1))
+                i += int(first[-1]) + 1
+    return sorted(found)
+
+
 def scan(texts: list[str | None], model: Model) -> list[list[tuple[str, int, int, int, float, float]]]:
-    """(family, paragraph, start, end, probability, template share) of the licence paragraphs of each text."""
+    """(family, paragraph, start, end, probability, template share) of the licence paragraphs of each text; the number
+    of a paragraph of several lines is that of its first line. Of overlapping ones the best confirmed stays."""
     out: list[list[tuple]] = [[] for _ in texts]
-    paragraphs, owners = [], []
+    paragraphs, owners, groups = [], [], []
     for k, text in enumerate(texts):
         start = 0
         for n, line in enumerate((text or "").split("\n")):
             if stripped := line.strip():
                 begin = start + line.index(stripped)
+                together = owners and owners[-1][0] == k and owners[-1][1] == n - 1
+                groups.append(groups[-1] if together else len(groups))
                 paragraphs.append(stripped)
                 owners.append((k, n, begin, begin + len(stripped)))
             start += len(line) + 1
-    for (k, n, a, z), (family, probability, shared) in zip(owners, model.classify(paragraphs)):
-        if family != UNKNOWN:
+    ranges = wrapped(paragraphs, groups, model)
+    spans = [(k, n, a, z, n) for k, n, a, z in owners] + [(*owners[i][:3], owners[j - 1][3], owners[j - 1][1]) for i, j in ranges]
+    judged = model.classify(paragraphs) + model.classify([" ".join(paragraphs[i:j]) for i, j in ranges])
+    several: list[list[tuple]] = [[] for _ in texts]
+    for (k, n, a, z, last), (family, probability, shared) in zip(spans, judged):
+        if family == UNKNOWN:
+            continue
+        if n == last:
             out[k].append((family, n, a, z, probability, shared))
+        else:
+            several[k].append((family, n, a, z, probability, shared))
+    for k, longer in enumerate(several):
+        for one in sorted(longer, key=lambda f: (-f[5], -f[4], f[3] - f[2])):
+            over = [f for f in out[k] if f[2] < one[3] and one[2] < f[3]]
+            if all((one[5], one[4]) > (f[5], f[4]) for f in over):
+                out[k] = sorted([f for f in out[k] if f not in over] + [one], key=lambda f: f[2])
     return out
 
 
 def with_licenses(df: DataFrame, model: Model, text: str = "text", into: str = "licenses") -> tuple[DataFrame, str]:
-    """Add an array of (family, paragraph, start, end, probability, template) for the lines that give a licence.
+    """Add an array of (family, paragraph, start, end, probability, template) for the lines, and runs of lines over
+    which a notice is wrapped, that give a licence.
 
     Offsets are code points of the whole text; null, empty and blank texts have none; every row stays.
     """

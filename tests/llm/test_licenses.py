@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from panelrisk.llm import licenses
@@ -43,3 +45,32 @@ def test_odd_rows(spark, odd_docs, no_docs):
     scanned, name = licenses.with_licenses(odd_docs, licenses.train(odd_docs))
     assert name == "licenses_" and scanned.count() == odd_docs.count() and all(r[name] == [] for r in scanned.collect())
     assert licenses.with_licenses(no_docs, licenses.train(no_docs))[0].count() == 0
+
+
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+)
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+    "either version 3 of the License, or (at your option) any later version."
+)
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+
+
+@pytest.mark.parametrize("width", [40, 72, 80])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+@pytest.mark.parametrize(("notice", "family"), [(MIT, "MIT"), (BSD, "BSD"), (GPL, "GPL-3.0"), (APACHE, "Apache-2.0")])
+def test_wrapped_notices(model, notice, family, mark, width):
+    lines = textwrap.wrap(notice, width)
+    text = "\n".join(["Ünder", "", "the first line of the program", *(mark + line for line in lines), "and the next of it", "", "end"])
+    (found, paragraph, start, end, probability, template), = licenses.scan([text], model)[0]
+    assert found == family and 2 <= paragraph <= 3 and probability >= licenses.LEAST_PROBABILITY and template >= licenses.LEAST_TEMPLATE
+    assert text[start:end].startswith((mark.strip() + " " + lines[0]).strip() if paragraph == 3 else "the first") and end <= text.index("\n\nend")
+
+
+def test_notices_of_one_block(model):
+    text = "\n".join([*textwrap.wrap(MIT, 60), *textwrap.wrap(BSD, 60), "Licensed under CC BY-NC 4.0.", *textwrap.wrap(MIT, 75)])
+    assert [f[0] for f in licenses.scan([text], model)[0]] == ["MIT", "BSD", "CC-BY-NC", "MIT"]
+    assert licenses.scan([BSD[:60] + "\n\n" + BSD[60:]], model) == [[]]
