@@ -6,12 +6,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.operators import calibration, climate, clustering, eda, metrics, models, smoothing
+from panelrisk.operators import calibration, climate, clustering, eda, features, metrics, models, smoothing
 from panelrisk.operators.features import day_before, feature_columns, measure_lags
 from panelrisk.plans.climate_queries import _ratios
-from panelrisk.plans.panel_queries import matrix
+from panelrisk.plans.panel_queries import INDICES, matrix
 from panelrisk.plans.registry import query
-from panelrisk.plans.roles import FIT_END, JUDGE_YEAR, START, TRAIN_STOP
+from panelrisk.plans.roles import END, FIT_END, JUDGE_YEAR, START, TRAIN_STOP, VAL_END
 from panelrisk.session import cut_lineage
 
 #: Clusters of entities, and the positives of the judged years below which a region is not judged at this size.
@@ -51,6 +51,20 @@ def train_matrix(t):
     return cut_lineage(smoothing.apply_rates(matrix(t), rates))
 
 
+def split_matrix(t, year):
+    """The matrix of every entity and day of a year after the train years, unsampled and lazy.
+
+    Days on which a cell has no measures stay, with NULL indices. The rates are those of all train years.
+    """
+    start, stop = f"{year}-01-01", f"{year}-12-31"
+    days = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(stop).cast("date"))).alias("day")
+    cells = t.entities.select("cell").distinct().select("cell", days)
+    measures = cells.join(t.measures, ["cell", "day"], "left").unionByName(t.measures.filter(F.col("day") < F.lit(start).cast("date")))
+    rows = features.feature_matrix(t.panel(start, stop, horizons=features.HORIZONS), t.entities, measures, None, t.shares, INDICES, last_year=int(END[:4]))
+    rates = smoothing.smooth_rates(t.counts, smoothing.with_fallback_cluster(t.counts, t.clusters))
+    return smoothing.apply_rates(rows, rates)
+
+
 @query(
     "L1 L2",
     "entity:i share_standard:f alt_mean:f alt_range:f log_density:f fwi_mean:f fwi_p90:f days_high:f",
@@ -134,8 +148,9 @@ def forest_model(t):
 
 @query("ML2 ML3 S20", "entity:i day:d y:i score:f")
 def boosted_scores(t):
-    model, rows = _fit_and_judge(t, "boosted", **LIGHT)
-    return models.score(model, rows.filter(judge_years()), ["entity", "day", "y"])
+    """The whole validation year, a row for each entity and day."""
+    model, _ = _fit_and_judge(t, "boosted", **LIGHT)
+    return models.score(model, split_matrix(t, VAL_END), ["entity", "day", "y"])
 
 
 @query("ML4", "setting:s average_precision:f rows:i positives:i")
@@ -165,10 +180,11 @@ def learning_curve(t):
 
 @query("ML7", "trees:i average_precision:f")
 def early_stopping(t):
+    """Stopped on the sampled judged year, evaluated on the whole validation year."""
     rows = models.with_validation(train_matrix(t), judge_years())
     columns = feature_columns(rows)
     model = models.train(rows, columns, "boosted", maxIter=10, maxDepth=3, validationIndicatorCol="is_validation", validationTol=0.01)
-    ap = models.evaluate(models.score(model, rows.filter(judge_years()), ["y"]))
+    ap = models.evaluate(models.score(model, split_matrix(t, VAL_END), ["y"]))
     return ap.select(F.lit(model.learner.getNumTrees).alias("trees"), "average_precision")
 
 

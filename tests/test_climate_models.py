@@ -138,3 +138,21 @@ def test_wide_bands(spark):
     out = {r.band: (r.entities, r.events, r.ha) for r in eda.equal_width_bands(e, days, "alt", 0, 600, 12).collect()}
     assert out == {0: (1, 0, 0.0), 1: (1, 2, 1.0), 12: (1, 0, 0.0), 13: (1, 0, 0.0)}
     assert math.isclose(eda.distribution(days, "size").first().p50, 10000.0)
+
+
+def test_a_whole_split_is_scored(spark):
+    """A row for each entity and day of the validation year, with the positives that the events give."""
+    import duckdb
+
+    from panelrisk.plans.catalogue import REGISTRY
+    from panelrisk.plans.roles import VAL_END
+
+    folder = "/root/testdata/sf0.001"
+    got = REGISTRY["boosted_scores"].run(spark, folder).toPandas()
+    want = duckdb.sql(
+        f"""SELECT c_custkey, d::DATE, count(o_orderkey) > 0 FROM '{folder}/customer.parquet', generate_series(DATE '{VAL_END}-01-01', DATE '{VAL_END}-12-31', INTERVAL 1 DAY) g(d)
+        LEFT JOIN (FROM '{folder}/orders.parquet' WHERE o_orderpriority = '1-URGENT') ON o_custkey = c_custkey AND o_orderdate::DATE = d::DATE GROUP BY 1, 2"""
+    ).fetchall()
+    assert len(got) == len(want) and got.score.notna().all()
+    assert {(r.entity, str(r.day)[:10]) for r in got.itertuples()} == {(e, str(d)) for e, d, _ in want}
+    assert int(got.y.sum()) == sum(y for *_, y in want)
