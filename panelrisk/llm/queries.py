@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, licenses, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from . import bpe, decontaminate, html_extract, licenses, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_alignment, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched.select("doc_id", F.explode(name).alias("leak")).select("doc_id", F.col("leak.item").alias("item_id"), "leak.containment", "leak.shared", "leak.shingles")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.alignments(table(spark, sf_dir, "documents"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: None of the ten can be written in DuckDB's SQL as a whole; tests/llm has brute-force versions.
