@@ -16,22 +16,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, free_name, written
 
-#: Characters of text that share a list of links.
-BLOCK_BYTES = 1 << 23
-#: Characters of chunks whose groups a task keeps.
-KEPT_BYTES = 1 << 25
+#: Bytes of text that share a list of links.
+BLOCK_BYTES = 1 << 22
+#: Chunks whose groups a task keeps, and their characters.
+KEPT = 150_000
+KEPT_CHARS = 1 << 24
 #: Tokens on each side of a middle that are tried one by one.
 NEAR = 16
 #: What stands for a space in B's pieces.
@@ -57,6 +61,8 @@ class Tokenizers:
 
     def __init__(self, a_file: bytes, b_file: bytes) -> None:
         import sentencepiece
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_file.decode())
@@ -208,7 +214,7 @@ class Groups:
 
 
 class Chunks:
-    """Chunks seen so far and what is known of their groups; emptied when it has grown to KEPT_BYTES."""
+    """Chunks seen so far and what is known of their groups; emptied between blocks when it has grown to KEPT."""
 
     def __init__(self, tokenizers: Tokenizers) -> None:
         self.tokenizers = tokenizers
@@ -223,7 +229,7 @@ class Chunks:
 
     def look_up(self, chunks: list[str]) -> np.ndarray:
         """The place of each of several different chunks; new ones are encoded and cut into groups."""
-        if self.size > KEPT_BYTES:
+        if len(self.places) > KEPT or self.size > KEPT_CHARS:
             self._clear()
         new = [c for c in chunks if c not in self.places]
         if new:
@@ -238,10 +244,6 @@ class Chunks:
         return np.fromiter((self.places[c] for c in chunks), np.int64, len(chunks))
 
 
-def _text_slices(texts: list[str]) -> list[tuple[int, int]]:
-    return blocks((len(t) + 1 for t in texts), BLOCK_BYTES)
-
-
 def with_groups(df: DataFrame, text: str = "text", paths: tuple[str, str] | None = None, into: str = "groups") -> tuple[DataFrame, str]:
     """Add the groups of each text: an array of structs with the ids of A and of B, in order.
 
@@ -255,7 +257,7 @@ def with_groups(df: DataFrame, text: str = "text", paths: tuple[str, str] | None
         tokenizers = _tokenizers(*shared.value)
         for batch in batches:
             texts, out = batch.fillna("").tolist(), []
-            for i, j in _text_slices(texts):
+            for i, j in blocks((len(t) + 1 for t in texts), BLOCK_BYTES):
                 out += Groups(tokenizers, *tokenizers.encode(texts[i:j])).lists()
             yield pd.Series(out, dtype=object)
 
@@ -271,7 +273,13 @@ def _shared(df: DataFrame, paths: tuple[str, str] | None):
     return df.sparkSession.sparkContext.broadcast(tuple(contents))
 
 
-_ALIGNED = (
+_ALIGNED = pa.schema(
+    [("id", pa.string())]
+    + [(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]
+    + [("groups_sha256", pa.string()), ("block", pa.int64())]
+    + [(c, pa.list_(kind)) for c, kind in (("at", pa.int32()), ("times", pa.int32()), ("pairs", pa.int64()), ("counts", pa.int64()), ("chunk_links", pa.int32()), ("chunk_stops", pa.int32()))]
+)
+_ALIGNED_ROWS = (
     "id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, block long, at array<int>, times array<int>, "
     "pairs array<long>, counts array<long>, chunk_links array<int>, chunk_stops array<int>"
 )
@@ -282,25 +290,24 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
-def _aligned_block(kept: Chunks, ids: np.ndarray, texts: list[str], block: int) -> pd.DataFrame:
+def _aligned_block(kept: Chunks, ids: pa.Array, texts: list[str], block: int) -> dict:
     """The documents of a block with their figures, and their chunks as places in the block's list of chunks.
 
     Its lists stand in the first row: the different links, how many of each kind the block has, and the places of the
     links of each chunk.
     """
-    parts = [kept.tokenizers.chunks(t) for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
     seen: dict[str, int] = {}
-    codes = np.array([seen.setdefault(w, len(seen)) for p in parts for w in p], np.int64)
+    coded = [np.array([seen.setdefault(w, len(seen)) for w in kept.tokenizers.chunks(t)], np.int32) for t in texts]
+    sizes, codes = np.array([len(c) for c in coded], np.int64), np.concatenate(coded)
     different = list(seen)
     places = kept.look_up(different)
+    del coded, seen
     owner = np.repeat(np.arange(len(texts)), sizes)
     # A text that one of its chunks makes invalid has no tokens.
     valid = np.bincount(owner, weights=kept.figures[places, 0][codes] == 0, minlength=len(texts)) == 0
     figures = np.zeros((len(texts), 4), np.int64)
-    each = kept.figures[places, 1:][codes]
     for k in range(4):
-        figures[:, k] = np.bincount(owner, weights=each[:, k], minlength=len(texts)) * valid
+        figures[:, k] = np.bincount(owner, weights=kept.figures[places, 1 + k][codes], minlength=len(texts)) * valid
     rendered, stops = kept.texts[places[codes]], np.cumsum(sizes)
     digests = [hashlib.sha256(";".join(rendered[i:j]).encode()).hexdigest() if ok else "" for i, j, ok in zip(stops - sizes, stops, valid)]
 
@@ -312,23 +319,24 @@ def _aligned_block(kept: Chunks, ids: np.ndarray, texts: list[str], block: int)
     pairs, at = np.unique(links, return_inverse=True)
     counts = np.bincount(at, weights=np.repeat(np.bincount(codes[taken], minlength=len(different)), n_links), minlength=len(pairs)).astype(np.int64)
     rest = [None] * (len(texts) - 1)
-    return pd.DataFrame({
-        "id": ids, "n_a": figures[:, 0], "n_b": figures[:, 1], "n_groups": figures[:, 2], "n_links": figures[:, 3], "groups_sha256": digests, "block": block,
+    return {
+        "id": ids, "n_a": figures[:, 0], "n_b": figures[:, 1], "n_groups": figures[:, 2], "n_links": figures[:, 3], "groups_sha256": digests, "block": np.full(len(texts), block),
         "at": np.split((both & 0xFFFFFFFF).astype(np.int32), cuts), "times": np.split(times.astype(np.int32), cuts), "pairs": [pairs, *rest], "counts": [counts, *rest],
         "chunk_links": [at.astype(np.int32), *rest], "chunk_stops": [np.cumsum(n_links).astype(np.int32), *rest],
-    })
+    }
 
 
 def _aligned_blocks(shared):
     """Reads (id, text) and writes the documents of each block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Chunks(_tokenizers(*shared.value))
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts, ids = batch["text"].fillna("").tolist(), batch["id"].to_numpy()
-            for i, j in _text_slices(texts):
-                yield _aligned_block(kept, ids[i:j], texts[i:j], block)
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0)
+            for i, j in blocks((n + 1 for n in sizes.to_pylist()), BLOCK_BYTES):
+                ids, texts = (batch.column(c).slice(i, j - i) for c in ("id", "text"))
+                yield from pa.Table.from_pydict(_aligned_block(kept, ids, pc.fill_null(texts, "").to_pylist(), block), _ALIGNED).to_batches()
                 block += 1
 
     return run
@@ -359,7 +367,7 @@ def alignments(df: DataFrame, id_column: str = "doc_id", text: str = "text", pat
     kind = df.schema[id_column].dataType
     # As text, ids keep every digit beside nulls.
     rows = df.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    aligned = written(rows.mapInPandas(_aligned_blocks(_shared(df, paths)), _ALIGNED), "alignment")
+    aligned = written(rows.mapInArrow(_aligned_blocks(_shared(df, paths)), _ALIGNED_ROWS), "alignment")
 
     listed = aligned.filter(F.col("pairs").isNotNull()).select(F.explode(F.arrays_zip("pairs", "counts")).alias("l"))
     totals = written(listed.groupBy(F.col("l.pairs").alias("pair")).agg(F.sum("l.counts").alias("total")), "links")

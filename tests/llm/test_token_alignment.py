@@ -152,7 +152,7 @@ def test_chunks_are_encoded_as_in_the_whole(tokenizers, seed):
 
 
 def test_kept_chunks_are_emptied(tokenizers, monkeypatch):
-    monkeypatch.setattr(t, "KEPT_BYTES", 10)
+    monkeypatch.setattr(t, "KEPT", 2)
     kept = t.Chunks(tokenizers)
     for words in (["alpha", "beta gamma", "alphabet"], ["delta", "alpha"], ["alpha", "delta", "epsilon"]):
         places = kept.look_up(words)
