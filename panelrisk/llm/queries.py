@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, licenses, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_alignment, token_counts
+from . import bpe, decontaminate, hard_negatives, html_extract, licenses, multi_index, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_alignment, token_counts
+from .vectors import is_usable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched.select("doc_id", F.explode(name).alias("leak")).select("doc_id", F.col("leak.item").alias("item_id"), "leak.containment", "leak.shared", "leak.shingles")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(is_usable("embedding")).select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("vector"),
+    )
+    return hard_negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = token_alignment.alignments(table(spark, sf_dir, "documents"))
     return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -101,8 +116,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_multi_index": op12_multi_index,
     "op13_token_alignment": op13_token_alignment,
 }
 
-#: None of the ten can be written in DuckDB's SQL as a whole; tests/llm has brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+#: Hard negatives can be written as joins and windows; the others can't as a whole, tests/llm has brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH vecs AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, r.label = a.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+    FROM vecs a JOIN vecs r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), windows AS (
+    SELECT p.anchor_id, p.positive_id, n.other_id AS negative_id, p.positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS place
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM windows WHERE place <= 10
+""",
+}
