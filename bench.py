@@ -44,14 +44,22 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, memory="16g")
     # Start-up (class loading, first codegen) is not part of any query.
     REGISTRY["danger_classes"].run(spark, folder).write.format("noop").mode("overwrite").save()
-    seconds = {}
+    seconds, failed = {}, []
     for name in names:
         start = time.perf_counter()
-        REGISTRY[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+        try:
+            REGISTRY[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+        except Exception as error:  # one query's failure must not lose the others' figures
+            failed.append(name)
+            print(f"{name}: {str(error)[:2000]}", file=sys.stderr, flush=True)
+            continue
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": scale}))
+    line = {"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": scale}
+    print(json.dumps(line | ({"failed": failed} if failed else {})))
+    sys.exit(bool(failed))
 
 
 if __name__ == "__main__":

@@ -100,10 +100,45 @@ def _slices(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.Da
         yield tuple(batch[keys].iloc[a]), batch.iloc[a:z]
 
 
+#: Rows of one score in a batch from which their weights are added up before they are dealt.
+TIED = 16
+_DEALT = "model string, _range int, score double, n long, pos long, _w array<tinyint>, _n array<long>, _pos array<long>"
+
+
 def _weighted(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and positives of each row in each replica."""
-    weights = np.stack(part["_w"].to_numpy()).astype(np.int64)
-    return weights * part["n"].to_numpy()[:, None], weights * part["pos"].to_numpy()[:, None]
+    """Rows and positives of each row in each replica, as whole numbers; added-up rows bring theirs along."""
+    added = part["_w"].map(len).to_numpy() == 0
+    if added.all():
+        return tuple(np.stack(part[c].to_numpy()).astype(np.int64) for c in ("_n", "_pos"))
+    weights = np.stack(part["_w"].to_numpy()[~added]).astype(np.int64)
+    out = []
+    for own, sums in (("n", "_n"), ("pos", "_pos")):
+        values = np.empty((len(part), weights.shape[1]), np.int64)
+        values[~added] = weights * part[own].to_numpy(np.int64)[~added, None]
+        if added.any():
+            values[added] = np.stack(part[sums].to_numpy()[added])
+        out.append(values)
+    return tuple(out)
+
+
+def _tied_added_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a batch that share model and score become one with an array of sums, where there are many of them.
+
+    So a score that very many rows share, a constant model's, is a few rows for each task when it is dealt.
+    """
+    for batch in batches:
+        place = batch.groupby(["model", "score"], sort=False).ngroup().to_numpy()
+        many = np.bincount(place, minlength=1)[place] >= TIED if len(batch) else np.zeros(0, bool)
+        none = [np.zeros(0, np.int64)] * len(batch)
+        single = batch[~many].assign(_n=none[: int((~many).sum())], _pos=none[: int((~many).sum())])
+        yield single
+        rows = batch[many].sort_values(["model", "score"], kind="stable")
+        if not len(rows):
+            continue
+        starts = np.flatnonzero((rows[["model", "score"]] != rows[["model", "score"]].shift()).any(axis=1).to_numpy())
+        n, pos = (np.add.reduceat(x, starts, axis=0) for x in _weighted(rows.assign(_n=None, _pos=None)))
+        first = rows.iloc[starts][["model", "_range", "score"]]
+        yield first.assign(n=0, pos=0, _w=[np.zeros(0, np.int8)] * len(first), _n=list(n), _pos=list(pos))
 
 
 def _range_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,45 +151,47 @@ def _range_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(*key, n, pos) for key, (n, pos) in totals.items()], columns=["model", "_range", "n", "pos"])
 
 
-def _before(totals: pd.DataFrame) -> pd.DataFrame:
-    """For each range of a model what the ranges of higher scores have, in each replica."""
-    totals = totals.sort_values("_range", ascending=False)
-    out = totals[["model", "_range"]].copy()
-    for column in ("n", "pos"):
-        sums = np.cumsum(np.stack(totals[column].to_numpy()), axis=0)
-        out[column] = list(np.vstack([np.zeros_like(sums[:1]), sums[:-1]]))
-    return out
+def _before(totals: pd.DataFrame) -> tuple[dict[tuple, tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
+    """For each range of a model what the ranges of higher scores have in each replica; and each model's positives."""
+    before, positives = {}, {}
+    for row in totals.sort_values(["model", "_range"], ascending=False).itertuples(index=False):
+        model, place, n, pos = row
+        n_sum, pos_sum = positives.get(model, (np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)))
+        before[model, place] = n_sum, pos_sum
+        positives[model] = n_sum + np.asarray(n), pos_sum + np.asarray(pos)
+    return before, {model: sums[1] for model, sums in positives.items()}
 
 
-def _range_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _range_parts(before: dict[tuple, tuple[np.ndarray, np.ndarray]]):
     """Sum of positives times precision over the score groups of each (model, range), in each replica.
 
-    Rows come by key; first the one with what stands before the range, then the scores from high to low. A score
-    group may go on in the next batch, so the last one waits.
+    Rows come by key, the scores from high to low. A score group may go on in the next batch, so the last one waits.
     """
-    key = None
-    for batch in batches:
-        for this, part in _slices(batch, ["model", "_range"]):
-            if this != key:
-                if key is not None:
-                    yield _part_rows(key, part_sum + _contribution(n_sum, pos_sum, *waiting)[0])
-                key, first, part = this, part.iloc[0], part.iloc[1:]
-                n_sum, pos_sum, score = first["n_before"].astype(np.int64), first["pos_before"].astype(np.int64), None
-                part_sum, waiting = np.zeros(len(n_sum)), (np.zeros((0, len(n_sum)), np.int64),) * 2
-            if not len(part):
-                continue
-            scores = part["score"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
-            n, pos = (np.add.reduceat(x, starts, axis=0) for x in _weighted(part))
-            if len(waiting[0]) and scores[0] == score:
-                n[0] += waiting[0][0]
-                pos[0] += waiting[1][0]
-            elif len(waiting[0]):
-                n, pos = np.vstack([waiting[0], n]), np.vstack([waiting[1], pos])
-            added, n_sum, pos_sum = _contribution(n_sum, pos_sum, n[:-1], pos[:-1])
-            part_sum, waiting, score = part_sum + added, (n[-1:], pos[-1:]), scores[-1]
-    if key is not None:
-        yield _part_rows(key, part_sum + _contribution(n_sum, pos_sum, *waiting)[0])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+        for batch in batches:
+            for this, part in _slices(batch, ["model", "_range"]):
+                if this != key:
+                    if key is not None:
+                        yield _part_rows(key, part_sum + _contribution(n_sum, pos_sum, *waiting)[0])
+                    key = this
+                    n_sum, pos_sum = before[this]
+                    part_sum, waiting, score = np.zeros(len(n_sum)), (np.zeros((0, len(n_sum)), np.int64),) * 2, None
+                scores = part["score"].to_numpy()
+                starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+                n, pos = (np.add.reduceat(x, starts, axis=0) for x in _weighted(part))
+                if len(waiting[0]) and scores[0] == score:
+                    n[0] += waiting[0][0]
+                    pos[0] += waiting[1][0]
+                elif len(waiting[0]):
+                    n, pos = np.vstack([waiting[0], n]), np.vstack([waiting[1], pos])
+                added, n_sum, pos_sum = _contribution(n_sum, pos_sum, n[:-1], pos[:-1])
+                part_sum, waiting, score = part_sum + added, (n[-1:], pos[-1:]), scores[-1]
+        if key is not None:
+            yield _part_rows(key, part_sum + _contribution(n_sum, pos_sum, *waiting)[0])
+
+    return run
 
 
 def _contribution(n_sum: np.ndarray, pos_sum: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,27 +214,29 @@ def bootstrap_scores(
     weights, a retried task draws the same ones, and no draw has to be stored. Rows are collapsed to
     (unit, model, score) and dealt once by score range, each with the array of its unit's weights; all
     replicas are summed side by side in those arrays, so the rows do not multiply with the replicas.
+    A range's totals are models x ranges x replicas numbers whatever the data; what stands before each
+    range follows from them and goes to the tasks, so the rows stay where they were dealt.
     """
+    spark = aligned.sparkSession
     stacked = long_scores(aligned, models, [unit, y]).filter(F.col("score").isNotNull())
     groups = stacked.groupBy(unit, "model", "score").agg(
         F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("pos")
     )
     # The uniforms are bound first, so each is hashed once and not at every step of its inversion.
-    uniforms = F.transform(F.sequence(F.lit(1), F.lit(replicas)), lambda r: bootstrap_uniform(F.col(unit), r, seed))
+    uniforms = F.transform(F.sequence(F.lit(1), F.lit(replicas)), lambda r: bootstrap_uniform(F.col("_unit"), r, seed))
     draw = F.transform(uniforms, lambda u: poisson_weight(u).cast("tinyint"))
-    weights = spread(aligned.select(unit).distinct(), unit).withColumn("_w", draw)
-    ranged = range_index(groups, "score").join(weights, unit).select("model", "_range", "score", "n", "pos", "_w")
-    rows = cut_lineage(ranged.repartition("model", "_range").sortWithinPartitions("model", "_range", F.desc("score")))
-
-    arrays = "model string, _range int, n array<long>, pos array<long>"
-    totals = cut_lineage(rows.mapInPandas(_range_totals, arrays))
-    before = totals.groupBy("model").applyInPandas(_before, arrays)
-    first = before.select("model", "_range", F.lit(0).alias("_kind"), F.col("n").alias("n_before"), F.col("pos").alias("pos_before"))
-    both = rows.withColumn("_kind", F.lit(1)).unionByName(first, allowMissingColumns=True)
-    dealt = both.repartition("model", "_range").sortWithinPartitions("model", "_range", "_kind", F.desc("score"))
-    parts = dealt.mapInPandas(_range_parts, "model string, replica int, part double").groupBy("replica", "model").agg(F.sum("part").alias("part"))
-    positives = totals.select("model", F.posexplode("pos").alias("_at", "pos")).groupBy((F.col("_at") + 1).alias("replica"), "model").agg(F.sum("pos").alias("pos"))
-    return parts.join(positives, ["replica", "model"]).select("replica", "model", (F.col("part") / F.nullif(F.col("pos"), F.lit(0))).alias("average_precision"))
+    weights = spread(aligned.select(F.col(unit).alias("_unit")).distinct(), "_unit").withColumn("_w", draw)
+    ranged = range_index(groups, "score").join(weights, F.col(unit) == F.col("_unit"))
+    ranged = ranged.select("model", F.col("_range").cast("int").alias("_range"), "score", "n", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), "_w")
+    added = ranged.mapInPandas(_tied_added_up, _DEALT)
+    rows = cut_lineage(added.repartition("model", "_range").sortWithinPartitions("model", "_range", F.desc("score")))
+
+    totals = rows.mapInPandas(_range_totals, "model string, _range int, n array<long>, pos array<long>").toPandas()
+    before, positives = _before(totals)
+    parts = rows.mapInPandas(_range_parts(before), "model string, replica int, part double").groupBy("replica", "model").agg(F.sum("part").alias("part"))
+    given = [(model, replica, int(n)) for model, sums in positives.items() for replica, n in enumerate(sums, 1)]
+    total = spark.createDataFrame(given, "model string, replica int, pos long")
+    return parts.join(total, ["replica", "model"]).select("replica", "model", (F.col("part") / F.nullif(F.col("pos"), F.lit(0))).alias("average_precision"))
 
 
 def paired_bootstrap(
