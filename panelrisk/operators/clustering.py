@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import checked, log1p0
 from panelrisk.operators.climate import cell_climate
-from panelrisk.operators.ranks import exact_quantiles
+from panelrisk.operators.ranks import column_quantiles, exact_quantiles
 
 # Number of clusters, and the weight of position against the other variables.
 CLUSTERS = 30
@@ -53,7 +53,7 @@ def fit_medians(train: DataFrame, columns: Sequence[str], split: str | None = No
     rows = train
     if split is not None:
         rows = checked(train, F.col(split) != "train", "medians must be fitted on train")
-    return rows.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns])
+    return column_quantiles(rows, columns, 0.5)
 
 
 def impute(df: DataFrame, medians: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -148,9 +148,10 @@ def normalised_rates(summary: DataFrame, key: str, fuel_share: str) -> DataFrame
 
 
 def size_per_year(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.year("day").alias("year")).agg(
-        F.median("size").alias("median_size"), F.percentile("size", 0.9).alias("p90_size"), F.count("*").alias("events")
-    )
+    dated = events.select(F.year("day").alias("year"), "size")
+    sizes = exact_quantiles(dated, "size", [0.5, 0.9], by=["year"])
+    counted = join_null_safe(dated.groupBy("year").agg(F.count("*").alias("events")), sizes, ["year"], "left")
+    return counted.select("year", F.get("quantiles", F.lit(0)).alias("median_size"), F.get("quantiles", F.lit(1)).alias("p90_size"), "events")
 
 
 def log_histogram(df: DataFrame, x: str, per_decade: int = 4) -> DataFrame:

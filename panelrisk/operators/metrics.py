@@ -214,14 +214,18 @@ def regression_errors(df: DataFrame, predicted: str, actual: str, by: Sequence[s
 
 
 def positives_rank_summary(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Median rank of the positives and the share of them inside the best 1 %."""
+    """Median rank of the positives and the share of them inside the best 1 %; one without a score has no rank."""
     rows = df.agg(F.count("*").alias("c"))
-    ranks = tie_ranks(df, score).select(score, "min_rank")
-    pos = df.filter(F.col(y).cast("int") == 1).join(ranks, score)
-    top = (F.col("min_rank") <= F.col("_c") * F.lit(0.01)).cast("double")
-    return pos.withColumn("_c", rows.scalar()).agg(
-        F.median("min_rank").alias("median_rank"), F.avg(top).alias("share_in_top_1pct"), F.count("*").alias("positives")
-    )
+    positive = df.filter(F.col(y).cast("int") == 1)
+    # Positives are counted by score before they meet the ranks, so a score that very many share is one row.
+    counted = positive.groupBy(score).agg(F.count("*").alias("_n"))
+    ranked = counted.join(tie_ranks(df, score).select(score, "min_rank"), score, "left")
+    top = F.when(F.col("min_rank") <= F.col("_c") * F.lit(0.01), F.col("_n")).otherwise(0)
+    summed = ranked.withColumn("_c", rows.scalar()).agg(
+        (F.sum(top) / F.nullif(F.sum("_n"), F.lit(0))).alias("share_in_top_1pct"), F.coalesce(F.sum("_n"), F.lit(0)).alias("positives")
+    )
+    median = exact_quantiles(ranked, "min_rank", [0.5], count="_n")
+    return summed.withColumn("median_rank", median.select(F.get("quantiles", F.lit(0))).scalar()).select("median_rank", "share_in_top_1pct", "positives")
 
 
 def suspicion(ap: DataFrame, limit: float = SUSPICIOUS_AP) -> DataFrame:

@@ -104,6 +104,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     return out.select(*by, F.array(*values).alias("quantiles"))
 
 
+def column_quantiles(df: DataFrame, columns: Sequence[str], p: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., columns...): the exact quantile of each column, all of them in one pass over the stacked values.
+
+    A row of ``df`` is read once; what is sorted are the distinct values of each column with their counts, in ranges.
+    Without ``by`` there is always one row; a column without values is NULL.
+    """
+    items = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    stacked = df.select(*by, F.explode(items).alias("_s")).select(*by, "_s._c", "_s._v")
+    found = exact_quantiles(stacked, "_v", [p], by=[*by, "_c"])
+    value = F.get("quantiles", F.lit(0))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == i, value)).alias(c) for i, c in enumerate(columns)])
+
+
 def tie_ranks(df: DataFrame, score: str, by: Sequence[str] = (), descending: bool = True) -> DataFrame:
     """One row per distinct score: ``n`` rows at it, ``min_rank`` and ``avg_rank`` of those rows. NULL has no rank."""
     groups = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"))

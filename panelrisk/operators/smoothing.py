@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import checked
+from panelrisk.operators.ranks import column_quantiles
 
 # Pseudo-days pulling a cluster to the overall rate and an entity to its cluster.
 K0_CLUSTER = 20000
@@ -104,9 +105,10 @@ def silent_report(counts: DataFrame, rates: DataFrame) -> DataFrame:
     totals = counts.groupBy("entity").agg(F.sum("events").alias("events"))
     full = rates.filter(F.col("excluded_year") == 0).select("entity", "entity_rate")
     quiet = F.when(F.col("events") == 0, F.col("entity_rate"))
-    return totals.join(full, "entity", "left").agg(
+    rated = totals.join(full, "entity", "left").withColumn("_quiet", quiet)
+    median = column_quantiles(rated, ["_quiet"], 0.5).select("_quiet")
+    return rated.agg(
         F.avg((F.col("events") == 0).cast("double")).alias("silent_share"),
-        F.min(quiet).alias("min_rate"),
-        F.median(quiet).alias("median_rate"),
-        F.max(quiet).alias("max_rate"),
-    )
+        F.min("_quiet").alias("min_rate"),
+        F.max("_quiet").alias("max_rate"),
+    ).withColumn("median_rate", median.scalar())

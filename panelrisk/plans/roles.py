@@ -65,8 +65,8 @@ class Roles:
             F.col("c_nationkey").alias("dep"),
             F.col("n_regionkey").alias("reg"),
             F.col("n_regionkey").alias("cell"),
-            (F.lit(41.35) + (k * 7919 % 1000) / 1000.0 * 9.95).alias("lat"),
-            (F.lit(-5.1) + (k * 104729 % 1000) / 1000.0 * 14.5).alias("lon"),
+            (F.lit(41.35) + (k * 7919 % 1000003) / 1000003.0 * 9.95).alias("lat"),
+            (F.lit(-5.1) + (k * 104729 % 1000003) / 1000003.0 * 14.5).alias("lon"),
             area.cast("double").alias("area_km2"),
             people.alias("population"),
             (people / area).alias("density"),
@@ -192,8 +192,8 @@ ROLE_SQL: dict[str, str] = {
     "entities": """
         SELECT c_custkey AS entity, c_name AS name, c_mktsegment AS segment, c_nationkey AS dep,
                n_regionkey AS reg, n_regionkey AS cell,
-               41.35::DOUBLE + (c_custkey * 7919 % 1000) / 1000.0::DOUBLE * 9.95::DOUBLE AS lat,
-               -5.1::DOUBLE + (c_custkey * 104729 % 1000) / 1000.0::DOUBLE * 14.5::DOUBLE AS lon,
+               41.35::DOUBLE + (c_custkey * 7919 % 1000003) / 1000003.0::DOUBLE * 9.95::DOUBLE AS lat,
+               -5.1::DOUBLE + (c_custkey * 104729 % 1000003) / 1000003.0::DOUBLE * 14.5::DOUBLE AS lon,
                (1 + c_custkey % 97)::DOUBLE AS area_km2,
                CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal)::BIGINT END AS population,
                (CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal)::BIGINT END)::DOUBLE / (1 + c_custkey % 97) AS density,

@@ -138,3 +138,34 @@ def test_axis_ties_and_sea_guard(spark):
     cells = spark.createDataFrame([(0, True)], "cell int, is_sea boolean")
     with pytest.raises(Exception, match="sea cell"):
         geo.sea_guard(geo.attach_cells(df, [45.25, 45.0], [2.0, 2.25]), cells).collect()
+
+
+def brute_pairs(pts, radius_km):
+    return {(p[0], q[0]) for p in pts for q in pts if p[0] != q[0] and distance_m(p[1:], q[1:]) <= radius_km * 1000}
+
+
+@pytest.mark.parametrize("radius, south, west, size", [(50.0, 45.0, 179.6, 0.8), (30.0, 89.2, -180.0, 0.7), (20.0, -0.2, -0.2, 0.4)])
+def test_quadtree_of_dense_squares_equals_brute_force(spark, monkeypatch, radius, south, west, size):
+    """Squares split many times, over the antimeridian, at a pole and around zero; a crowded place over many blocks."""
+    monkeypatch.setattr(geo, "PLACES_PER_SQUARE", 12)
+    monkeypatch.setattr(geo, "ROWS_PER_BLOCK", 3)
+    rng = random.Random(5)
+    wide = 360.0 if south > 80 else size
+    pts = [(i, min(90.0, south + size * rng.random()), (west + wide * rng.random() + 180) % 360 - 180) for i in range(120)]
+    pts += [(1000 + i, *pts[0][1:]) for i in range(10)] + [(2000 + i, south + 0.1, pts[1][2] + 0.02 * i) for i in range(12)]
+    pts += [(3000, 10.0, 180.0), (3001, 10.0, -180.0), (3002, -60.0, 0.0)]
+    df = spark.createDataFrame(pts, "entity long, lat double, lon double")
+    got = [(r.entity, r.neighbour) for r in geo.pairs_within(df, radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(pts, radius)
+
+
+def test_dense_square_runs_in_many_tasks(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, 45 + 0.2 * rng.random(), 2 + 0.2 * rng.random()) for i in range(3000)], "entity long, lat double, lon double")
+    per_task = geo.location_pairs(df, 50.0).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 3000 * 2999
+    assert len(per_task) == 4 and max(r["count"] for r in per_task) < 0.6 * 3000 * 2999
+
+
+def test_pairs_of_no_points(spark):
+    assert geo.pairs_within(spark.createDataFrame([], "entity long, lat double, lon double"), 50.0).collect() == []

@@ -51,3 +51,24 @@ def test_exact_quantiles_are_those_of_the_built_in_function(spark, rows):
     counted = df.groupBy("v").agg(F.count("*").alias("k"))
     assert ranks.exact_quantiles(counted, "v", probs, count="k").first().quantiles == whole
     assert ranks.exact_quantiles(df.limit(0), "v", [0.5]).first().quantiles == [None]
+
+
+def test_column_quantiles_side_by_side(spark):
+    import numpy as np
+    from panelrisk.operators.ranks import column_quantiles
+
+    rng = np.random.default_rng(4)
+    rows = [(k % 3, None if k % 7 == 0 else float(rng.normal()), int(rng.integers(0, 4)), None) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, a double, b int, c double").repartition(5)
+    whole = column_quantiles(df, ["a", "b", "c"], 0.5).first()
+    assert whole.a == np.median([r[1] for r in rows if r[1] is not None]) and whole.b == np.median([r[2] for r in rows]) and whole.c is None
+    for r in column_quantiles(df, ["a", "b"], 0.9, by=["g"]).collect():
+        assert abs(r.a - np.quantile([x[1] for x in rows if x[0] == r.g and x[1] is not None], 0.9)) < 1e-12
+    assert column_quantiles(df.limit(0), ["a"], 0.5).collect() == [(None,)]
+
+
+def test_positives_without_a_score_count(spark):
+    from panelrisk.operators.metrics import positives_rank_summary
+
+    df = spark.createDataFrame([(0.9, 1), (None, 1), (0.5, 0), (0.4, 1)] + [(0.1, 0)] * 296, "score double, y int")
+    assert tuple(positives_rank_summary(df, "score", "y").first()) == (2.0, 2 / 3, 3)
