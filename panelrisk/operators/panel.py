@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions.scalars import NO_EVENT_DAYS, SIZE_HORIZON, checked, split_label, uniform
@@ -15,7 +15,8 @@ from panelrisk.session import spread
 
 # Fixed value: share of train negatives kept by the sample.
 NEGATIVE_SHARE = 0.00189
-PACKED = "array<struct<key: date, value: struct<n: bigint, size: double>>>"
+#: An event-day with the events and sizes up to and with it.
+INDEXED = "array<struct<day: date, n: bigint, size: double, cum_n: bigint, cum_size: double>>"
 
 
 def event_days(events: DataFrame) -> DataFrame:
@@ -41,6 +42,17 @@ def day_arrays(measures: DataFrame, values: dict[str, Column], start: str, end:
     return packed.select(key, *[F.col(f"_a.{n}").alias(n) for n in values])
 
 
+def day_index(days: DataFrame) -> DataFrame:
+    """(entity, _events): the event-days of each entity in order, each with the running count and size.
+
+    At most one entry per calendar day, so a hot entity stays a bounded row.
+    """
+    past = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = days.select("entity", "day", "n", "size", F.sum("n").over(past).alias("cum_n"), F.sum("size").over(past).alias("cum_size"))
+    entry = F.struct("day", "n", "size", "cum_n", "cum_size")
+    return running.groupBy("entity").agg(F.sort_array(F.collect_list(entry)).cast(INDEXED).alias("_events"))
+
+
 def dense_panel(
     entities: DataFrame, days: DataFrame, start: str, end: str, keep: Sequence[str] = (),
     arrays: DataFrame | None = None, key: str = "cell", horizons: Sequence[int] | None = None,
@@ -52,37 +64,46 @@ def dense_panel(
     position, so that attaching a cell's measures does not shuffle the dense side either. With
     ``horizons`` each row also gets its strict-past event history, read from the packed event-days:
     a filter on the panel then runs before the history is computed.
+
+    The calendar of an entity is cut at its event-days, and each stretch is filled up with days. So a day
+    knows the last event-day up to it without a search, whatever the number of events.
     """
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
-    # At most one entry per calendar day, so a hot entity stays a bounded row.
-    packed = (
-        days.filter(F.col("day").between(F.date_sub(lo, max(horizons or [0])), hi))
-        .groupBy("entity")
-        .agg(F.map_from_entries(F.collect_list(F.struct("day", F.struct("n", "size")))).alias("_found"))
-    )
+    packed = day_index(days.filter(F.col("day").between(F.date_sub(lo, max(horizons or [0])), hi)))
     rows = entities.select("entity", *dict.fromkeys([*keep, *([key] if arrays is not None else [])]))
     if arrays is not None:
         # Joined before spreading: a crowded cell is then dealt over all tasks with its arrays.
         rows = rows.join(arrays, key)
-    rows = spread(rows, "entity").join(packed, "entity", "left")
-    dense = rows.select("*", F.explode(F.sequence(lo, hi)).alias("day"))
+    rows = spread(rows, "entity").join(packed, "entity", "left").withColumn("_events", F.coalesce("_events", F.array().cast(INDEXED)))
+    none = F.array(F.struct(F.lit(None), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0.0))).cast(INDEXED)
+    stretches = F.transform(
+        F.concat(none, "_events"),
+        lambda e, k: F.struct(
+            F.greatest(lo, e["day"]).alias("first"), F.coalesce(F.date_sub(F.get("_events", k)["day"], 1), hi).alias("last"), e.alias("event"), k.alias("place")
+        ),
+    )
+    found = F.explode(F.filter(stretches, lambda s: s["first"] <= s["last"])).alias("_s")
+    searched = [F.col(f"_events.{c}").alias(f"_{c}") for c in ("day", "cum_n", "cum_size")] if horizons else []
+    along = [c for c in rows.columns if c not in ("_events", "entity", *keep)]
+    cut = rows.select("entity", *keep, *[c for c in along if c != key], *searched, found)
+    dense = cut.select("*", F.explode(F.sequence("_s.first", "_s.last")).alias("day"))
     at = F.datediff("day", lo)
-    along = [] if arrays is None else [F.get(c, at).alias(c) for c in arrays.columns if c != key]
-    hit = F.col("_found")[F.col("day")]
-    n = F.coalesce(hit["n"], F.lit(0))
+    values = [] if arrays is None else [F.get(c, at).alias(c) for c in arrays.columns if c != key]
+    hit = F.coalesce(F.col("_s.event.day") == F.col("day"), F.lit(False))
+    n = F.when(hit, F.col("_s.event.n")).otherwise(0)
     if horizons:
-        dense = dense.withColumn("_past", packed_history(F.col("_found"), F.col("day"), horizons))
-        along += [F.col(f"_past.{c}").alias(c) for c in history_names(horizons)]
+        dense = dense.withColumn("_past", indexed_history(F.col("day"), horizons))
+        values += [F.col(f"_past.{c}").alias(c) for c in history_names(horizons)]
     return dense.select(
         "entity",
         *keep,
         "day",
         F.year("day").alias("year"),
-        (n > 0).alias("y"),
+        hit.alias("y"),
         n.alias("n_events"),
-        F.coalesce(hit["size"], F.lit(0.0)).alias("size"),
+        F.when(hit, F.col("_s.event.size")).otherwise(0.0).alias("size"),
         uniform(F.col("entity"), F.col("day")).alias("u"),
-        *along,
+        *values,
     )
 
 
@@ -90,21 +111,37 @@ def history_names(horizons: Sequence[int]) -> list[str]:
     return [*[f"events_{h}d" for h in horizons], f"size_{SIZE_HORIZON}d", "days_since_event"]
 
 
-def packed_history(found: Column, day: Column, horizons: Sequence[int]) -> Column:
-    """Struct of the history columns at ``day`` from the packed event-days of the entity."""
-    first = F.date_sub(day, max(horizons))
-    past = F.filter(F.map_entries(found), lambda e: (e["key"] < day) & (e["key"] >= first))
-    names = history_names(horizons)
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in names[:-2]], F.lit(0.0).alias(names[-2]),
-                    F.lit(NO_EVENT_DAYS).alias(names[-1]))
+def days_before(days: Column, day: Column) -> Column:
+    """How many of the sorted days lie before ``day``, by bisection."""
+    steps = F.when(F.size(days) > 0, F.sequence(F.lit(1), F.ceil(F.log2(F.size(days) + 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        right = F.coalesce(F.get(days, middle) < day, F.lit(False)) & (s["low"] < s["high"])
+        return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when(right, s["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(days).alias("high")), halve)["low"]
 
-    def add(acc: Column, e: Column) -> Column:
-        lag = F.datediff(day, e["key"])
-        counts = [(acc[f"events_{h}d"] + F.when(lag <= h, e["value"]["n"]).otherwise(0)).alias(f"events_{h}d") for h in horizons]
-        size = acc[names[-2]] + F.when(lag <= SIZE_HORIZON, e["value"]["size"]).otherwise(0.0)
-        return F.struct(*counts, size.alias(names[-2]), F.least(acc[names[-1]], lag).alias(names[-1]))
 
-    return F.aggregate(F.coalesce(past, F.array().cast(PACKED)), zero, add)
+def indexed_history(day: Column, horizons: Sequence[int]) -> Column:
+    """Struct of the history columns at ``day``: a horizon is the difference of two running totals.
+
+    The one at ``day`` is that of the stretch; the one before the horizon is found by bisection, and only if the
+    last event-day lies inside the horizon.
+    """
+    event, place = F.col("_s.event"), F.col("_s.place")
+    today = F.coalesce(event["day"] == day, F.lit(False))
+    last = F.when(today, F.get("_day", place - 2)).otherwise(event["day"])
+    upto = {c: F.when(today, event[f"cum_{c}"] - event[c]).otherwise(event[f"cum_{c}"]) for c in ("n", "size")}
+
+    def within(c: str, horizon: int, zero: Column) -> Column:
+        first = days_before(F.col("_day"), F.date_sub(day, horizon))
+        total = upto[c] - F.coalesce(F.get(f"_cum_{c}", first - 1), zero)
+        return F.when(F.datediff(day, last) <= horizon, total).otherwise(zero)
+
+    counts = [within("n", h, F.lit(0).cast("bigint")).alias(f"events_{h}d") for h in horizons]
+    since = F.when(F.datediff(day, last) <= max(horizons), F.datediff(day, last)).otherwise(F.lit(NO_EVENT_DAYS))
+    return F.struct(*counts, within("size", SIZE_HORIZON, F.lit(0.0)).alias(f"size_{SIZE_HORIZON}d"), since.alias("days_since_event"))
 
 
 def with_split(panel: DataFrame, train_end: int, val_end: int) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,33 @@ def test_t_tail_and_interpolation(spark):
     assert all(r.p == pytest.approx(0.05, abs=2e-4) for r in df.collect())
     x = spark.createDataFrame([(0.0,), (1.0,), (2.5,), (9.0,)], "x double").select(interpolate("x", [(1, 10.0), (2, 20.0), (3, 0.0)]).alias("v"))
     assert [r.v for r in x.collect()] == [10.0, 10.0, 10.0, 0.0]
+
+
+def test_event_on_every_day_of_twenty_years(spark):
+    """The running totals of a hot entity against plain sums, in a time that a scan of all its days would not meet."""
+    import time
+
+    from panelrisk.functions.scalars import NO_EVENT_DAYS
+
+    start, size = dt.date(1990, 1, 1), 20 * 365
+    rows = [(1, start + dt.timedelta(days=k), 1 + k % 3, float(k % 5)) for k in range(size)] + [(2, start + dt.timedelta(days=40), 2, 7.0)]
+    days = spark.createDataFrame(rows, "entity long, day date, n long, size double")
+    entities = spark.createDataFrame([(1,), (2,), (3,)], "entity long")
+    began = time.perf_counter()
+    dense = panel.dense_panel(entities, days, str(start), str(start + dt.timedelta(days=size - 1)), horizons=features.HORIZONS).toPandas()
+    assert time.perf_counter() - began < 60
+    assert len(dense) == 3 * size
+    for entity in (1, 2, 3):
+        own = dense[dense.entity == entity].sort_values("day").reset_index(drop=True)
+        n, sizes = np.zeros(size, int), np.zeros(size)
+        for e, d, k, s in rows:
+            if e == entity:
+                n[(d - start).days], sizes[(d - start).days] = k, s
+        before = np.r_[0, np.cumsum(n)]
+        assert own.n_events.tolist() == n.tolist() and own.y.tolist() == (n > 0).tolist()
+        for h in features.HORIZONS:
+            assert own[f"events_{h}d"].tolist() == [before[t] - before[max(0, t - h)] for t in range(size)]
+        totals = np.r_[0, np.cumsum(sizes)]
+        assert np.allclose(own.size_30d, [totals[t] - totals[max(0, t - 30)] for t in range(size)])
+        last = [max((u for u in range(max(0, t - 365), t) if n[u]), default=None) for t in range(0, size, 97)]
+        assert own.days_since_event.tolist()[::97] == [NO_EVENT_DAYS if u is None else t - u for t, u in zip(range(0, size, 97), last)]
