@@ -115,6 +115,18 @@ def interpolate(x: Column | str, anchors: Sequence[tuple[float, Column | float]]
     return out.otherwise(values[-1][1])
 
 
+def count_below(values: Column, x: Column) -> Column:
+    """How many of the sorted values of an array lie below ``x``, by bisection."""
+    steps = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        right = F.coalesce(F.get(values, middle) < x, F.lit(False)) & (s["low"] < s["high"])
+        return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when(right, s["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(values).alias("high")), halve)["low"]
+
+
 def student_t_p(t: Column | str, dof: Column | str) -> Column:
     """Two-sided p-value of Student's t for integer degrees of freedom, by the finite trigonometric sum."""
     t, nu = F.abs(col(t)), col(dof).cast("int")

@@ -40,6 +40,12 @@ def average_precision(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def with_lift(found: DataFrame) -> DataFrame:
+    """Add the base rate and how many times the average precision is above it."""
+    rate = F.col("positives") / F.col("rows")
+    return found.withColumn("rate", rate).withColumn("lift", F.col("average_precision") / F.nullif(F.col("rate"), F.lit(0.0)))
+
+
 def brier(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     s, n, p = F.col("score"), F.col("n"), F.col("pos")
     sse = p * (s - 1) * (s - 1) + (n - p) * s * s
@@ -228,6 +234,16 @@ def positives_rank_summary(df: DataFrame, score: str, y: str) -> DataFrame:
     return summed.withColumn("median_rank", median.select(F.get("quantiles", F.lit(0))).scalar()).select("median_rank", "share_in_top_1pct", "positives")
 
 
+def capture(df: DataFrame, score: str, key: str, large: str, shares: Sequence[float]) -> DataFrame:
+    """(share, taken, large, captured, capture): of the rows marked ``large`` those among the best ``share`` of all rows."""
+    ranked = ordinal_rank(df, score, key).withColumn("_n", df.agg(F.count("*").alias("c")).scalar())
+    marked = F.col(large).cast("int")
+    each = ranked.select("ordinal", "_n", marked.alias("_large"), F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    inside = F.col("ordinal") <= F.floor(F.col("_n") * F.col("share"))
+    out = each.groupBy("share").agg(F.count_if(inside).alias("taken"), F.sum("_large").alias("large"), F.sum(F.when(inside, F.col("_large")).otherwise(0)).alias("captured"))
+    return out.withColumn("capture", F.col("captured") / F.nullif(F.col("large"), F.lit(0)))
+
+
 def suspicion(ap: DataFrame, limit: float = SUSPICIOUS_AP) -> DataFrame:
     return ap.withColumn("suspicious", F.col("average_precision") > limit)
 

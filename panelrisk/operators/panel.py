@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelrisk.functions.scalars import NO_EVENT_DAYS, SIZE_HORIZON, checked, split_label, uniform
+from panelrisk.functions.scalars import NO_EVENT_DAYS, SIZE_HORIZON, checked, count_below, split_label, uniform
 from panelrisk.session import spread
 
 # Fixed value: share of train negatives kept by the sample.
@@ -111,18 +111,6 @@ def history_names(horizons: Sequence[int]) -> list[str]:
     return [*[f"events_{h}d" for h in horizons], f"size_{SIZE_HORIZON}d", "days_since_event"]
 
 
-def days_before(days: Column, day: Column) -> Column:
-    """How many of the sorted days lie before ``day``, by bisection."""
-    steps = F.when(F.size(days) > 0, F.sequence(F.lit(1), F.ceil(F.log2(F.size(days) + 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        right = F.coalesce(F.get(days, middle) < day, F.lit(False)) & (s["low"] < s["high"])
-        return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when(right, s["high"]).otherwise(middle).alias("high"))
-
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(days).alias("high")), halve)["low"]
-
-
 def indexed_history(day: Column, horizons: Sequence[int]) -> Column:
     """Struct of the history columns at ``day``: a horizon is the difference of two running totals.
 
@@ -135,7 +123,7 @@ def indexed_history(day: Column, horizons: Sequence[int]) -> Column:
     upto = {c: F.when(today, event[f"cum_{c}"] - event[c]).otherwise(event[f"cum_{c}"]) for c in ("n", "size")}
 
     def within(c: str, horizon: int, zero: Column) -> Column:
-        first = days_before(F.col("_day"), F.date_sub(day, horizon))
+        first = count_below(F.col("_day"), F.date_sub(day, horizon))
         total = upto[c] - F.coalesce(F.get(f"_cum_{c}", first - 1), zero)
         return F.when(F.datediff(day, last) <= horizon, total).otherwise(zero)
 

@@ -111,14 +111,32 @@ def watch_levels(t):
 
 @query(
     "M13",
-    "group:i average_precision:f rows:i positives:i",
+    "group:i average_precision:f rows:i positives:i rate:f lift:f",
     f"""WITH g AS (SELECT dayofmonth(day) AS "group", score_a AS score, count(*) AS n, sum(y) AS pos FROM predictions GROUP BY 1, 2)
-        SELECT * FROM {ap_sql('g', '"group"')}""",
+        SELECT *, positives::DOUBLE / rows AS rate, average_precision / nullif(positives::DOUBLE / rows, 0) AS lift FROM {ap_sql('g', '"group"')}""",
 )
 def average_precision_by_group(t):
     """Per period; the supplied events span one month, so the period is the day of the month."""
     rows = t.predictions.withColumn("group", F.dayofmonth("day"))
-    return metrics.average_precision(metrics.score_groups(rows, "score_a", "y", by=["group"]), by=["group"])
+    found = metrics.average_precision(metrics.score_groups(rows, "score_a", "y", by=["group"]), by=["group"])
+    return metrics.with_lift(found)
+
+
+@query(
+    "M16",
+    "share:f3 taken:i large:i captured:i capture:f",
+    """WITH e AS (SELECT event_id, score_b AS predicted, score_a AS size FROM predictions WHERE y = 1),
+       r AS (SELECT *, row_number() OVER (ORDER BY predicted DESC, event_id) AS r, count(*) OVER () AS n FROM e),
+       b AS (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.25::DOUBLE]) AS share)
+       SELECT share, count(*) FILTER (r <= floor(n * share)) AS taken, count(*) FILTER (size > 0.5) AS large,
+              count(*) FILTER (r <= floor(n * share) AND size > 0.5) AS captured,
+              count(*) FILTER (r <= floor(n * share) AND size > 0.5) / nullif(count(*) FILTER (size > 0.5), 0)::DOUBLE AS capture
+       FROM r, b GROUP BY share""",
+)
+def large_event_capture(t):
+    """Among events: the share of the large ones that the best scores hold."""
+    events = t.predictions.filter("y = 1").withColumn("large", (F.col("score_a") > 0.5).cast("int"))
+    return metrics.capture(events, "score_b", "event_id", "large", (0.05, 0.1, 0.25))
 
 
 @query(

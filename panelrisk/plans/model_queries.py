@@ -255,7 +255,27 @@ def calibration_methods(t):
     return metrics.calibration_summary(groups, by=["method"])
 
 
-@query("L2 J2", "cell:i rows:i missing:i")
+#: The monotone fit by its definition: the largest of the least means over stretches that begin and end around a score.
+ISOTONIC_SQL = """s AS (SELECT floor(score_a * 100) / 100 AS score, count(*) AS n, sum(y) AS pos FROM predictions GROUP BY 1),
+        c AS (SELECT score, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, n, pos FROM s WINDOW w AS (ORDER BY score)),
+        m AS (SELECT a.score AS lo, b.score AS hi, (b.cp - a.cp + a.pos)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.score <= b.score),
+        l AS (SELECT lo, hi AS score, min(mean) OVER (PARTITION BY lo ORDER BY hi DESC) AS least FROM m),
+        iso AS (SELECT score, max(least) AS value FROM l GROUP BY 1)"""
+
+
+@query("K2 K5", "score:f rows:i calibrated:f", f"WITH {ISOTONIC_SQL} SELECT score, n AS rows, value AS calibrated FROM iso JOIN s USING (score)")
+def isotonic_refit(t):
+    """Each score with the value of the monotone fit on the whole period."""
+    p = t.predictions.withColumn("score", F.floor(F.col("score_a") * 100) / 100)
+    return calibration.refitted(p, "score", "y").groupBy("score").agg(F.count("*").alias("rows"), F.max("calibrated").alias("calibrated"))
+
+
+@query(
+    "L2 J2",
+    "cell:i rows:i missing:i",
+    """SELECT m.cell, count(*) AS rows, count(*) FILTER (b.fwi IS NULL) AS missing
+       FROM measures m LEFT JOIN measures b ON b.cell = m.cell AND b.day = m.day - 1 GROUP BY 1""",
+)
 def missing_day_before(t):
     lagged = day_before(t.measures, ("fwi",))
     return lagged.groupBy("cell").agg(F.count("*").alias("rows"), F.count_if(F.col("fwi_d1").isNull()).alias("missing"))

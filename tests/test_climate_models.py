@@ -156,3 +156,46 @@ def test_a_whole_split_is_scored(spark):
     assert len(got) == len(want) and got.score.notna().all()
     assert {(r.entity, str(r.day)[:10]) for r in got.itertuples()} == {(e, str(d)) for e, d, _ in want}
     assert int(got.y.sum()) == sum(y for *_, y in want)
+
+
+def test_isotonic_steps_are_monotone_means_of_their_blocks(spark):
+    """Every block of the fit holds the mean of its rows, and the values are those of the max-min definition."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(k, rng.choice([round(rng.random(), 2), rng.random()]), int(rng.random() < 0.3)) for k in range(700)] + [(900, None, 1), (901, 0.5, None)]
+    df = spark.createDataFrame(rows, "id long, p double, y int").repartition(6)
+    steps = calibration.isotonic_steps(df, "p", "y").first()
+    groups = {}
+    for _, p, y in rows:
+        if p is not None:
+            n, s = groups.get(p, (0, 0))
+            groups[p] = n + 1, s + (y or 0)
+    scores = sorted(groups)
+    cum = [(0, 0)]
+    for p in scores:
+        cum.append((cum[-1][0] + groups[p][0], cum[-1][1] + groups[p][1]))
+    means = lambda i, j: (cum[j + 1][1] - cum[i][1]) / (cum[j + 1][0] - cum[i][0])
+    least = [[0.0] * len(scores) for _ in scores]
+    for i in range(len(scores)):
+        low = math.inf
+        for j in range(len(scores) - 1, i - 1, -1):
+            low = min(low, means(i, j))
+            least[i][j] = low
+    want = {p: max(least[i][k] for i in range(k + 1)) for k, p in enumerate(scores)}
+    out = calibration.refitted(df, "p", "y").collect()
+    assert all(r.calibrated is None if r.p is None else abs(r.calibrated - want[r.p]) < 1e-12 for r in out)
+    assert list(steps.boundaries) == sorted(steps.boundaries) and list(steps.values) == sorted(steps.values)
+    blocks = list(zip(steps.boundaries[::2], steps.boundaries[1::2], steps.values[::2]))
+    for low, high, value in blocks:
+        own = [groups[p] for p in scores if low <= p <= high]
+        assert abs(value - sum(s for _, s in own) / sum(n for n, _ in own)) < 1e-12
+    model = calibration.Isotonic(calibration.isotonic_steps(df, "p", "y"))
+    ask = [(-1.0,), (2.0,), ((blocks[1][1] + blocks[2][0]) / 2,)]
+    got = [r.calibrated for r in model.apply(spark.createDataFrame(ask, "p double").coalesce(1), "p").collect()]
+    assert got[0] == blocks[0][2] and got[1] == blocks[-1][2] and abs(got[2] - (blocks[1][2] + blocks[2][2]) / 2) < 1e-12
+
+
+def test_isotonic_of_no_rows(spark):
+    df = spark.createDataFrame([], "p double, y int")
+    assert calibration.refitted(df, "p", "y").collect() == []
