@@ -34,7 +34,7 @@ ROUNDS = 12
 SHARE = 0.6
 LEAST_VISITED = 1000
 #: Rows of a slice: enough slices for every task, each small enough to be held.
-SLICE_ROWS = (2048, 32_768)
+SLICE_ROWS = (256, 32_768)
 #: Distances that a task computes at a time.
 PAIRS = 1 << 21
 
