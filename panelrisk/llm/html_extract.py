@@ -3,13 +3,16 @@
 Every element of a page is hashed with its subtree: its tag, its text, and its children in order. Spark counts, host by host,
 on how many different pages (by their text, so that copies of a page count once) a subtree occurs; a subtree that
 recurs on many of a host's pages is part of the site's template and is deleted. Menus, adverts and the like whose
-text changes from page to page can't recur as a whole; they go by their element, role or class. Inside an article,
-running text (paragraphs, headings, lists, tables) is never taken for a template, however often a passage recurs.
+text changes from page to page can't recur as a whole; they go by their element, role or class. A class word tells
+what its own element is, not what stands in it: where no article would have text left, the longest one stays, whatever
+the classes around it say. Inside an article, running text (paragraphs, headings, lists, tables) is never taken for a
+template, however often a passage recurs.
 """
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, written
 
-#: A template's subtree is on at least so many different pages of the host, and on at least this share of them.
-MIN_PAGES, MIN_SHARE = 8, 0.2
+#: A template's subtree is on at least this share of the host's different pages, and on so many of them; a host with few
+#: pages needs this larger share instead, and always so few as evidence.
+MIN_SHARE, MIN_PAGES, FEW_SHARE, FEW_PAGES = 0.2, 8, 0.6, 4
+#: Elements nested deeper are read as text of the last one that is not (browsers stop at this depth, too).
+MAX_DEPTH = 512
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +52,10 @@ DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login menu modal nav navbar navigation "
     "newsletter notice notices pager pagination popup promo promoted related recommended share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Those of them that name small articles of their own (a reader's comment, a card of another article).
+CARDS = frozenset("ad ads advert adverts advertisement advertising adsense comment comments disqus promo promoted related recommended sponsor sponsored".split())
+#: Before such a word in the same class: the element is laid out for the thing and isn't the thing.
+QUALIFIERS = frozenset("has have no not with without hide show after before".split())
 #: Running text: never a template inside an article.
 RUNNING = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption br".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -56,38 +66,52 @@ TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.DOTALL,
 )
+#: What is left of the syntax behind the last ">" of a page.
+UNENDED = re.compile(r"<!--.*\Z|<[!?][^>]*+\Z|</([a-zA-Z][^\s/>]*+)[^>]*+\Z()()()()", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 
 class Element:
-    __slots__ = ("tag", "parts", "drop", "article", "hash")
+    """An element; ``drop``: it isn't running text, ``named``: only a class or an id says so, ``header``: only its headings count."""
 
-    def __init__(self, tag: str, drop: bool, article: bool) -> None:
+    __slots__ = ("tag", "parts", "drop", "named", "header", "article", "hash")
+
+    def __init__(self, tag: str, drop: bool = False, article: bool = False) -> None:
         self.tag, self.drop, self.article = tag, drop, article
+        self.named, self.header = False, tag == "header"
         self.parts: list[str | Element] = []  # text and elements in page order
         self.hash = 0
 
 
-def _names_boilerplate(attributes: str) -> bool:
+def _boilerplate_words(attributes: str) -> tuple[bool, set[str]]:
+    """Whether the role says that this isn't the article, and the words of classes and ids that do."""
+    role, found = False, set()
     for m in ATTRIBUTE.finditer(attributes):
-        words = references.unescape(m[2] or m[3] or m[4] or "").lower()
+        names = references.unescape(m[2] or m[3] or m[4] or "").lower().split()
         if m[1].lower() == "role":
-            if not DROPPED_ROLES.isdisjoint(words.split()):
-                return True
-        elif not DROPPED_WORDS.isdisjoint(re.split(r"[\s_-]+", words)):
-            return True
-    return False
+            role |= not DROPPED_ROLES.isdisjoint(names)
+            continue
+        for name in names:
+            words = re.split("[_-]+", name)
+            for k, word in enumerate(words):
+                if word in DROPPED_WORDS and QUALIFIERS.isdisjoint(words[:k]):
+                    found.add(word)
+    return role, found
 
 
 def parse(page: str | None) -> Element:
     """The page as a tree; unclosed and misplaced tags are put right as browsers do in the common cases."""
     page = page or ""
-    root = Element("", False, False)
-    stack, at = [root], 0
+    root = Element("")
+    stack, at, last = [root], 0, page.rfind(">")
+    opened, deeper = Counter(), Counter()  # open elements by tag, and those nested too deep to be on the stack
+    articles: list[tuple[Element, list[Element]]] = []  # with the elements around them, themselves included, that classes drop
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             done = stack.pop()
+            opened[done.tag] -= 1
+            deeper.clear()
             code = xxhash.xxh64(done.tag.encode())
             some = False
             for part in done.parts:
@@ -103,6 +127,8 @@ def parse(page: str | None) -> Element:
     def find(tags: tuple[str, ...], until: tuple[str, ...]) -> int:
         """Depth of the outermost of these open elements, below the nearest of ``until``; 0: none."""
         depth, found = len(stack) - 1, 0
+        if not any(opened[tag] for tag in tags):
+            return 0
         while depth and stack[depth].tag not in until:
             if stack[depth].tag in tags:
                 found = depth
@@ -110,28 +136,30 @@ def parse(page: str | None) -> Element:
         return found
 
     def open_p() -> int:
-        depth = len(stack) - 1
+        depth = len(stack) - 1 if opened["p"] else 0
         while depth and (stack[depth].tag in INLINE or stack[depth].tag == "p"):
             if stack[depth].tag == "p":
                 return depth
             depth -= 1
         return 0
 
-    for token in iter(lambda: TOKEN.search(page, at), None):
+    # Behind the last ">" no tag ends, so nothing is looked for there; an open comment or declaration hides what follows it.
+    for token in iter(lambda: (TOKEN if at <= last else UNENDED).search(page, at), None):
         if token.start() > at:
             stack[-1].parts.append(references.unescape(page[at : token.start()]))
         at = token.end()
         if token[1]:
             tag = token[1].lower()
-            depth = len(stack) - 1
-            while depth and stack[depth].tag != tag:
-                depth -= 1
-            if depth:
+            if deeper[tag]:
+                deeper[tag] -= 1
+                stack[-1].parts.append(Element(tag))
+            elif opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
                 close(depth)
-            elif tag == "p":
-                stack[-1].parts.append(Element("p", False, False))
-            elif tag == "br":
-                stack[-1].parts.append(Element("br", False, False))
+            elif tag in ("p", "br"):
+                stack[-1].parts.append(Element(tag))
             continue
         tag, attributes = (token[2] or token[4] or "").lower(), token[3] or token[5] or ""
         if not tag:
@@ -141,16 +169,38 @@ def parse(page: str | None) -> Element:
         if tag in CLOSES and (depth := find(*CLOSES[tag])):
             close(depth)
         inside = stack[-1].article or stack[-1].tag in ARTICLES
-        element = Element(tag, tag in DROPPED or (tag == "header" and not inside) or (tag not in ("html", "body") and _names_boilerplate(attributes)), inside)
+        element = Element(tag, tag in DROPPED or (tag == "header" and not inside), inside)
+        if attributes and tag not in ("html", "body"):
+            role, words = _boilerplate_words(attributes)
+            if inside and "header" in words:
+                words.discard("header")
+                element.header = True
+            element.named = bool(words) and not (role or element.drop)
+            element.drop |= role or element.named
+            if element.named and words & CARDS:
+                element.named = False
         stack[-1].parts.append(element)
+        if tag in ARTICLES:
+            around = [e for e in (*stack, element) if e.drop]
+            if all(e.named for e in around):
+                articles.append((element, around))
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?![a-z0-9])[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(element)
+            if len(stack) > MAX_DEPTH:
+                deeper[tag] += 1
+            else:
+                stack.append(element)
+                opened[tag] += 1
     if at < len(page):
         stack[-1].parts.append(references.unescape(page[at:]))
     close(0)
+    if any(around for _, around in articles):
+        sizes = [(sum(len(part.strip()) for part in walk(article) if isinstance(part, str)), around) for article, around in articles]
+        if not any(size and not around for size, around in sizes):
+            for element in max(sizes, key=lambda s: s[0])[1]:
+                element.drop = False
     return root
 
 
@@ -179,7 +229,7 @@ def main_text(root: Element, templates: frozenset[int] | set[int] = frozenset())
     inside: list[str] = []
     whole: list[str] = []
     run: list[str] = []
-    tags: list[str] = []
+    tags: list[tuple[str, bool]] = []
     articles = headers = headings = 0
 
     def end_block() -> None:
@@ -195,15 +245,15 @@ def main_text(root: Element, templates: frozenset[int] | set[int] = frozenset())
             if not headers or headings:
                 run.append(part)
             continue
-        tag = tags.pop() if part is None else part.tag
+        tag, header = tags.pop() if part is None else (part.tag, part.header)
         if tag not in INLINE:
             end_block()
         step = -1 if part is None else 1
         articles += step * (tag in ARTICLES)
-        headers += step * (tag == "header")
+        headers += step * header
         headings += step * (tag in HEADINGS)
         if part is not None:
-            tags.append(tag)
+            tags.append((tag, header))
     end_block()
     return " ".join(inside or whole)
 
@@ -222,7 +272,8 @@ def subtrees(root: Element) -> set[int]:
 def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, templates): the hashes of the subtrees that recur on many different pages of the host.
 
-    A subtree needs a fixed share of the host's pages, so a host has at most elements per page / MIN_SHARE of them.
+    A subtree needs a fixed share of the host's pages, so a host has at most elements per page / MIN_SHARE of them. They
+    are written, because a join is dealt anew for a hot host only where both its sides come from a shuffle as they are.
     """
 
     @F.pandas_udf("struct<content:long,subtrees:array<long>>")
@@ -237,8 +288,9 @@ def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     rows = seen.select("host", "h.content", F.explode(F.array_append("h.subtrees", F.lit(0).cast("long"))).alias("subtree"))
     counts = rows.groupBy("host", "subtree", "content").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
     totals = counts.filter("subtree = 0").select("host", F.col("n").alias("pages"))  # each page has subtree 0
-    many = counts.filter((F.col("subtree") != 0) & (F.col("n") >= MIN_PAGES)).join(totals, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    few = F.least(F.lit(float(MIN_PAGES)), F.greatest(F.lit(float(FEW_PAGES)), FEW_SHARE * F.col("pages")))
+    many = counts.filter(F.col("subtree") != 0).filter(F.col("n") >= FEW_PAGES).join(totals, "host").filter(F.col("n") >= F.greatest(few, MIN_SHARE * F.col("pages")))
+    return written(many.groupBy("host").agg(F.collect_list("subtree").alias("templates")), "html-templates")
 
 
 def host(url: str):
