@@ -4,12 +4,15 @@ A paragraph's features are its word pairs and triples that occur in the template
 regression over licence families and "unknown" is trained by gradient descent on variants of the templates,
 on near misses and on paragraphs of the corpus (a bounded sample of documents). A temperature
 fitted on variants kept from training calibrates the probabilities. A family is reported if its calibrated
-probability is high enough and one of its templates is contained in the paragraph; all else is unknown.
-A paragraph is a line, or a run of neighbouring lines over which a template is wrapped.
+probability is high enough and one of its templates is contained in the paragraph, with the words by which it differs
+from similar templates of other families and of foreign licences; all else is unknown.
+A paragraph is a line, or a run of neighbouring lines over which a template is wrapped. Each licence of an SPDX
+expression is a paragraph of its own.
 """
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,11 @@ from .common import blocks, by_text, free_name, hashed_words, shingle_hashes
 UNKNOWN = "unknown"
 #: Least calibrated probability, least share of a template's word pairs, and documents sampled for "unknown".
 LEAST_PROBABILITY, LEAST_TEMPLATE, SAMPLE_DOCS = 0.6, 0.7, 200
+#: Templates are similar if they share this part of the smaller one's word pairs; a family needs this part of the pairs
+#: that its template has and a similar one hasn't.
+SIMILAR, LEAST_DIFFERENT = 0.5, 0.5
+#: Paragraphs sampled for "unknown" at most, and their length: what reaches the driver is bounded by the product.
+SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 5_000, 2_000
 VARIANTS, STEPS, RATE, DECAY, SEED = 24, 300, 2.0, 1e-4, 23
 BLOCK_CHARS = 1_000_000
 
@@ -36,8 +44,11 @@ TEMPLATES = {
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "Released under the GNU GPL version 2.", "SPDX-License-Identifier: GPL-2.0-only",
                 "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    "LGPL": ("This work is licensed under the GNU Lesser General Public License, version 3.", "Released under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later"),
-    "AGPL": ("This work is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU Affero General Public License.", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "LGPL": ("This work is licensed under the GNU Lesser General Public License, version 3.", "Released under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "AGPL": ("This work is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU Affero General Public License.", "SPDX-License-Identifier: AGPL-3.0-only",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "BSD": ("Released under the BSD License.", "Licensed under the 3-clause BSD license.", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"),
@@ -56,7 +67,19 @@ NEAR_MISSES = (
     "The permission was granted by the king.", "All the tables are reserved for guests.", "This program is broadcast on Sunday.", "The licence of the pub was renewed.", "The public domain of the city.",
     "Terms and conditions of the sale are met.", "Creative people are common here.", "He had the right to reserve a room.", "The author waived the fee.", "The library is under a new roof.",
 )
+# Notices of licences that are no family here.
+FOREIGN = (
+    "Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "Licensed under the Common Development and Distribution License 1.0.", "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "Licensed under the European Union Public Licence, version 1.2.", "Licensed under the Artistic License 2.0.", "Released under the zlib License.", "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the Python Software Foundation License, version 2.", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Made available under the Open Database License.",
+    "Licensed under the Microsoft Public License.", "Licensed under the Academic Free License version 3.0.", "Licensed under the Common Public License 1.0.", "Licensed under the Server Side Public License, version 1.",
+    "Permission is hereby granted to use the trademark for the purpose of the agreement only.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0.",
+    "Released under the Ruby License.", "Released under the PHP License, version 3.01.", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: CDDL-1.0",
+)
 FAMILIES = (UNKNOWN, *TEMPLATES)
+_SPDX = re.compile(r"(.*SPDX-License-Identifier:)(.*)", re.IGNORECASE | re.DOTALL)
+_OPERATOR = re.compile(r"\s+(?:AND|OR)\s+", re.IGNORECASE)
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -84,13 +107,15 @@ def variants(template: str, rng: random.Random) -> list[str]:
 @dataclass
 class Model:
     """Hashes of the known features in order, their weights for each family, the bias, and the temperature; the
-    distinct word pairs of the templates."""
+    distinct word pairs of the templates, and for each template those by which it and each similar one of another family
+    or a foreign licence differ."""
 
     known: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
     templates: dict[str, list[np.ndarray]]
+    differences: dict[str, list[list[tuple[np.ndarray, np.ndarray]]]]
 
     def logits(self, features: list[np.ndarray]) -> np.ndarray:
         out = np.tile(self.bias, (len(features), 1))
@@ -119,30 +144,57 @@ class Model:
             best = int(np.argmax(p))
             family, probability, shared = FAMILIES[best], float(p[best]), 0.0
             if best:
-                shared = max(float(np.isin(t, own).mean()) for t in self.templates[family])
-                if probability < LEAST_PROBABILITY or shared < LEAST_TEMPLATE:
+                shares = [_share(t, own) for t in self.templates[family]]
+                shared = max(shares)
+                fits = (s >= LEAST_TEMPLATE and self._differs(family, k, own) for k, s in enumerate(shares))
+                if probability < LEAST_PROBABILITY or not any(fits):
                     family = UNKNOWN
             out.append((family, probability, shared))
         return out
 
+    def _differs(self, family: str, template: int, own: np.ndarray) -> bool:
+        """Whether the paragraph has what sets the template apart from each similar one, rather than the other's."""
+        for ours, theirs in self.differences[family][template]:
+            mine, other = _share(ours, own), _share(theirs, own)
+            if (mine < LEAST_DIFFERENT or mine < other) if len(ours) else other >= LEAST_DIFFERENT:
+                return False
+        return True
+
+
+def _share(pairs: np.ndarray, own: np.ndarray) -> float:
+    return float(np.isin(pairs, own).mean()) if len(pairs) else 0.0
+
+
+def _differences(templates: dict[str, list[np.ndarray]], foreign: list[np.ndarray]) -> dict[str, list[list[tuple[np.ndarray, np.ndarray]]]]:
+    """For each family and template, its pairs and the other's pairs that are not in both, for each similar one."""
+    out = {}
+    for family, own in templates.items():
+        others = [u for other, us in templates.items() if other != family for u in us] + foreign
+        out[family] = [
+            [(np.setdiff1d(t, u), np.setdiff1d(u, t)) for u in others if len(np.intersect1d(t, u)) >= SIMILAR * min(len(t), len(u))]
+            for t in own
+        ]
+    return out
+
 
 def fit(corpus: list[str]) -> Model:
     """Train on the templates' variants, the near misses and paragraphs of the corpus that hold no template."""
     rng = random.Random(SEED)
     templates = {family: [np.unique(p) for p in grams(list(texts))[0]] for family, texts in TEMPLATES.items()}
+    foreign = [np.unique(p) for p in grams(list(FOREIGN))[0]]
     every = [t for ts in templates.values() for t in ts]
     plain = [p for p, own in zip(corpus, grams(corpus)[0] if corpus else []) if not any(np.isin(t, own).mean() >= 0.4 for t in every)]
-    vocabulary = grams([t for ts in TEMPLATES.values() for t in ts] + list(NEAR_MISSES))[1]
+    vocabulary = grams([t for ts in TEMPLATES.values() for t in ts] + [*NEAR_MISSES, *FOREIGN])[1]
     known = np.unique(np.concatenate(vocabulary))
     # Paragraphs without a known feature are all the same to the model: one stands for them.
     plain = [p for p, own in zip(plain, grams(plain)[1] if plain else []) if np.isin(own, known).any()]
-    rows = [(0, text) for text in ["", *NEAR_MISSES, *plain]]
+    rows = [(0, text) for text in ["", *NEAR_MISSES, *plain]] + [(0, v) for notice in FOREIGN for v in variants(notice, rng)]
     for k, family in enumerate(FAMILIES[1:], 1):
         rows += [(k, v) for template in TEMPLATES[family] for v in variants(template, rng)]
     rng.shuffle(rows)
     labels = np.array([k for k, _ in rows])
     features = grams([text for _, text in rows])[1]
-    model = Model(known, np.zeros((len(known), len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0, templates)
+    model = Model(known, np.zeros((len(known), len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0, templates, _differences(templates, foreign))
     x = np.zeros((len(rows), len(known)))
     for k, own in enumerate(features):
         at = np.searchsorted(known, own)
@@ -174,10 +226,14 @@ def fit(corpus: list[str]) -> Model:
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Fit with the paragraphs of SAMPLE_DOCS documents, chosen by a hash of the key; the rest never leaves Spark."""
+    """Fit with paragraphs of SAMPLE_DOCS documents, chosen by a hash of the key; the rest never leaves Spark.
+
+    Of those documents' paragraphs of up to SAMPLE_CHARS characters, at most SAMPLE_PARAGRAPHS are taken, by their hash.
+    """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).filter("key is not null")
     chosen = rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE_DOCS)
-    paragraphs = rows.join(F.broadcast(chosen), "key").select(F.explode(F.split("text", "\n")).alias("p")).filter("length(p) > 0").distinct()
+    paragraphs = rows.join(F.broadcast(chosen), "key").select(F.explode(F.split("text", "\n")).alias("p")).filter(F.length("p").between(1, SAMPLE_CHARS)).distinct()
+    paragraphs = paragraphs.orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS)
     return fit(sorted(r["p"] for r in paragraphs.collect()))
 
 
@@ -222,6 +278,19 @@ def wrapped(lines: list[str], owners: list[int], model: Model) -> list[tuple[int
     return sorted(found)
 
 
+def _alternatives(line: str) -> list[tuple[str, int, int]]:
+    """(paragraph, start, end) in the line of each licence of an SPDX expression; the line itself where there is none."""
+    found = _SPDX.fullmatch(line)
+    if not found or not _OPERATOR.search(found[2]):
+        return [(line, 0, len(line))]
+    out, at = [], found.end(1)
+    for operator in [*_OPERATOR.finditer(line, at), None]:
+        end = operator.start() if operator else len(line)
+        out.append((found[1] + " " + line[at:end], at if out else 0, end))
+        at = operator.end() if operator else end
+    return out
+
+
 def scan(texts: list[str | None], model: Model) -> list[list[tuple[str, int, int, int, float, float]]]:
     """(family, paragraph, start, end, probability, template share) of the licence paragraphs of each text; the number
     of a paragraph of several lines is that of its first line. Of overlapping ones the best confirmed stays."""
@@ -238,8 +307,9 @@ def scan(texts: list[str | None], model: Model) -> list[list[tuple[str, int, int
                 owners.append((k, n, begin, begin + len(stripped)))
             start += len(line) + 1
     ranges = wrapped(paragraphs, groups, model)
-    spans = [(k, n, a, z, n) for k, n, a, z in owners] + [(*owners[i][:3], owners[j - 1][3], owners[j - 1][1]) for i, j in ranges]
-    judged = model.classify(paragraphs) + model.classify([" ".join(paragraphs[i:j]) for i, j in ranges])
+    alone = [(one, (k, n, begin + a, begin + z, n)) for line, (k, n, begin, _) in zip(paragraphs, owners) for one, a, z in _alternatives(line)]
+    spans = [span for _, span in alone] + [(*owners[i][:3], owners[j - 1][3], owners[j - 1][1]) for i, j in ranges]
+    judged = model.classify([one for one, _ in alone]) + model.classify([" ".join(paragraphs[i:j]) for i, j in ranges])
     several: list[list[tuple]] = [[] for _ in texts]
     for (k, n, a, z, last), (family, probability, shared) in zip(spans, judged):
         if family == UNKNOWN:
