@@ -9,6 +9,7 @@ characters, and don't overlap a plain one of their kind, are added; the plain on
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -96,23 +97,28 @@ _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,2}", r"\s{0,2}[\])}>]\s{0,3}"
 _AT_BOX, _DOT_BOX = f"{_OPEN}{_AT_WORD}{_CLOSE}", f"{_OPEN}{_DOT_WORD}{_CLOSE}"
 _DOT_BARE = r"\s{1,3}(?:dot|punkt|punto|point)\s{1,3}"
 _AT_BARE = r"\s{1,3}(?:at|arroba|arobase)\s{1,3}"
-_PART = r"[A-Za-z0-9_%+-]+"
-_LABEL = r"[A-Za-z0-9-]+"
-_START = r"(?<![A-Za-z0-9._%+-])"
-#: A boxed or real "at" with dots of any form, or a bare "at" with at least one dot that isn't real.
-ADDRESS = re.compile(
-    f"{_START}{_PART}(?:(?:\\.|{_DOT_BOX}){_PART})*(?:{_AT_BOX}|@){_LABEL}(?:(?:\\.|{_DOT_BOX}|{_DOT_BARE}){_LABEL})+"
-    f"|{_START}{_PART}(?:(?:\\.|{_DOT_BOX}|{_DOT_BARE}){_PART})*{_AT_BARE}{_LABEL}(?:\\.{_LABEL})*(?:{_DOT_BOX}|{_DOT_BARE}){_LABEL}(?:(?:\\.|{_DOT_BOX}|{_DOT_BARE}){_LABEL})*",
-    re.IGNORECASE,
-)
+_LABEL = r"[A-Za-z0-9-]++"
+_ANY_DOT = f"(?:\\.|{_DOT_BOX}|{_DOT_BARE})"
+_AT = re.compile(f"(?P<sure>{_AT_BOX}|@)|{_AT_BARE}", re.IGNORECASE)
+#: Behind a boxed or real "at" dots are of any form; behind a bare one there is at least one that isn't real.
+_HOST = re.compile(f"{_LABEL}(?:{_ANY_DOT}{_LABEL})+", re.IGNORECASE)
+_BARE_HOST = re.compile(f"{_LABEL}(?:\\.{_LABEL})*(?:{_DOT_BOX}|{_DOT_BARE}){_LABEL}(?:{_ANY_DOT}{_LABEL})*", re.IGNORECASE)
+_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+#: A dot that ends a piece of text; before a bare "at" a bare one, too. A disguise of a dot has at most so many characters.
+_BOX_BEFORE, _DOT_BEFORE, _LONGEST_DOT = re.compile(f"(?:\\.|{_DOT_BOX})\\Z", re.IGNORECASE), re.compile(f"{_ANY_DOT}\\Z", re.IGNORECASE), 17
 _SEPARATOR = re.compile(f"(?P<at>{_AT_BOX}|{_AT_BARE})|(?P<dot>{_DOT_BOX}|{_DOT_BARE})", re.IGNORECASE)
 _BOXED = re.compile(f"[\\[({{<]\\s{{0,2}}(?:{_AT_WORD}|{_DOT_WORD})\\s{{0,2}}[\\])}}>]", re.IGNORECASE)
 _BARE_DOT = re.compile(r"\s(?:dot|punkt|punto|point)\s", re.IGNORECASE)
 _DIGIT_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _TOKEN = f"(?:(?:{_DIGIT_WORD})(?![^\\W\\d_])|[0-9])"
 _GAP = r"(?:[\s,.()-]{0,4})"
-#: Seven digits or more in a row, words or signs; "plus" and "dot" keep their meaning.
+#: Seven digits or more in a row, words or signs (a phone or card number has ten at least); "plus" and "dot" keep their meaning.
 SPELLED = re.compile(f"(?<!\\w)(?:plus\\s{{1,3}})?{_TOKEN}(?:{_GAP}(?:(?:dot|punkt|punto|point)\\s{{1,3}})?{_TOKEN}){{6,}}", re.IGNORECASE)
+_DOT_BETWEEN = r"(?:\s{1,3}(?:dot|punkt|punto|point)\s{1,3}|\.)"
+_NUMBER = f"{_TOKEN}(?:[\\s-]{{0,3}}{_TOKEN}){{0,2}}"
+#: Numbers of up to three digits with dots between them, words or signs; four of them are an address.
+SPELLED_IP = re.compile(f"(?<![\\w.]){_NUMBER}(?:{_DOT_BETWEEN}{_NUMBER}){{3,}}(?!\\w)", re.IGNORECASE)
+_DOTS_BETWEEN = re.compile(_DOT_BETWEEN, re.IGNORECASE)
 _SPELLED_PART = re.compile(f"(?P<plus>plus\\s{{1,3}})|(?P<dot>\\s{{0,3}}\\b(?:dot|punkt|punto|point)\\s{{1,3}})|(?P<word>(?:{_DIGIT_WORD})(?![^\\W\\d_]))(?P<gap>[\\s,-]{{0,3}}(?=(?:{_DIGIT_WORD})(?![^\\W\\d_])))?", re.IGNORECASE)
 _THREE_WORDS = re.compile(f"(?<!\\w)(?:{_DIGIT_WORD})[\\s,.-]{{1,4}}(?:{_DIGIT_WORD})[\\s,.-]{{1,4}}(?:{_DIGIT_WORD})(?!\\w)", re.IGNORECASE)
 _LOOKALIKE = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
@@ -123,6 +129,7 @@ NUMBERS = re.compile(f"(?<![0-9.])[0-9]{{1,3}}(?:(?:\\.|{_DOT_BOX}|{_DOT_BARE})[
 LAST_LABELS = frozenset(
     "com org net edu gov mil int info biz name io ai co me app dev eu uk us ca au nz ie in de at ch fr be nl lu es pt it mx ar br cl pe se no dk fi pl cz ru jp cn kr za".split()
 )
+_LAST_LABEL = re.compile(r"[A-Za-z0-9-]*\Z")
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _DOT_WORDS = frozenset((b"dot", b"punkt", b"punto", b"point"))
 #: "un" is a plain word of two languages: alone it makes no number.
@@ -168,13 +175,46 @@ def _lookalike_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), LOOKALIKES[m[0]]) for m in _LOOKALIKE.finditer(text)]
 
 
+def _local(text: str, end: int, free: int, sure: bool) -> int:
+    """Where the name that ends here begins, at ``free`` or later: parts joined by dots, not right behind a real dot."""
+    begin, best = end, end
+    while True:
+        start = begin
+        while start > free and text[start - 1] in _PART:
+            start -= 1
+        if start == begin:
+            return best
+        if start == 0 or (text[start - 1] != "." and text[start - 1] not in _PART):
+            best = start
+        low = max(free, start - _LONGEST_DOT)
+        dot = (_BOX_BEFORE if sure else _DOT_BEFORE).search(text[low:start])
+        if not dot:
+            return best
+        begin = low + dot.start()
+
+
+def addresses(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Disguised and plain addresses from left to right without overlap, and whether their "at" is a bare word.
+
+    They are looked for around each "at", hosts first, so that a long row of dotted words is read once.
+    """
+    free, at = 0, _AT.search(text)
+    while at:
+        sure = at["sure"] is not None
+        host = (_HOST if sure else _BARE_HOST).match(text, at.end())
+        start = _local(text, at.start(), free, sure) if host else at.start()
+        if start < at.start():
+            yield start, host.end(), not sure
+            free = host.end()
+        at = _AT.search(text, max(at.start() + 1, free))
+
+
 def _separator_edits(text: str) -> list[tuple[int, int, str]]:
     """At and dot signs of disguised addresses. A bare "at" needs a last label that hosts end in."""
     spans = []
-    for found in ADDRESS.finditer(text):
-        bare = not re.search(f"{_AT_BOX}|@", found[0], re.IGNORECASE)
-        if not bare or re.split(r"[^A-Za-z0-9-]+", found[0])[-1].lower() in LAST_LABELS:
-            spans.append(found.span())
+    for a, z, bare in addresses(text):
+        if not bare or _LAST_LABEL.search(text, max(a, z - 8), z)[0].lower() in LAST_LABELS:
+            spans.append((a, z))
     spans += [n.span() for n in NUMBERS.finditer(text)]
     edits = {(a + s.start(), a + s.end()): "@" if s["at"] else "." for a, z in spans for s in _SEPARATOR.finditer(text[a:z])}
     out, free = [], 0
@@ -186,8 +226,12 @@ def _separator_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for found in SPELLED.finditer(text):
+    edits, free = [], 0
+    four = [m for m in SPELLED_IP.finditer(text) if sum(1 for _ in _DOTS_BETWEEN.finditer(m[0])) == 3]
+    for found in sorted([*SPELLED.finditer(text), *four], key=lambda m: (m.start(), -m.end())):
+        if found.start() < free:
+            continue
+        free = found.end()
         for part in _SPELLED_PART.finditer(found[0]):
             new = "+" if part["plus"] else "." if part["dot"] else DIGIT_WORDS[part["word"].lower()]
             edits.append((found.start() + part.start(), found.start() + part.end(), new))
@@ -221,12 +265,16 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     normal = normal_form(text)
     out = [(*span, True) for span in base]
     if normal is not None:
+        # Both plain and added spans of a kind come from left to right: only the next plain one and the last added can overlap.
         taken = {kind: [(a, z) for k, a, z in base if k == kind] for kind in KINDS}
+        ends, free = {kind: [z for _, z in own] for kind, own in taken.items()}, dict.fromkeys(KINDS, 0)
         for kind, a, z in plain_spans(normal.text):
             first, last = normal.start[a], normal.end[z - 1]
-            if True in normal.written[a:z] and not any(x < last and first < y for x, y in taken[kind]):
+            after = bisect_right(ends[kind], first)
+            plain = after < len(ends[kind]) and taken[kind][after][0] < last
+            if True in normal.written[a:z] and not plain and first >= free[kind]:
                 out.append((kind, first, last, False))
-                taken[kind].append((first, last))
+                free[kind] = last
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -74,3 +74,49 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert all(r[name] == [] for r in found.collect())
     assert sorted(map(repr, pii.with_masked(odd_docs).select(odd_docs.columns).collect())) == sorted(map(repr, odd_docs.collect()))
     assert pii.with_spans(no_docs)[0].count() == 0
+
+
+def addresses_by_pattern(text):
+    """One pattern tried at every word: quadratic, and the definition of a disguised address."""
+    part, label, start = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+", r"(?<![A-Za-z0-9._%+-])"
+    dots = (r"\.", pii._DOT_BOX, pii._DOT_BARE)
+    sure = f"{start}{part}(?:(?:{'|'.join(dots[:2])}){part})*(?:{pii._AT_BOX}|@){label}(?:(?:{'|'.join(dots)}){label})+"
+    bare = f"{start}{part}(?:(?:{'|'.join(dots)}){part})*{pii._AT_BARE}{label}(?:{dots[0]}{label})*(?:{dots[1]}|{dots[2]}){label}(?:(?:{'|'.join(dots)}){label})*"
+    return [m.span() for m in re.finditer(f"{sure}|{bare}", text, re.IGNORECASE)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_addresses_against_the_pattern(seed):
+    rng = random.Random(seed)
+    pieces = ["ab", "c-d", "x_1", "7", " ", " ", "  ", ".", "@", " at ", " dot ", "[at]", " (dot) ", "{@}", "<.>", " punto ", ",", "é", " AT ", "[ dot ]"]
+    some = 0
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        assert [(a, z) for a, z, _ in pii.addresses(text)] == addresses_by_pattern(text), text
+        some += bool(addresses_by_pattern(text))
+    assert some > 100
+
+
+@pytest.mark.parametrize("text", [
+    "a dot " * 60_000, "a at " * 60_000, "a at b dot " * 30_000, "a[at]" * 60_000, "a.b" * 100_000 + " at x", "(at) " * 60_000, "a (dot) " * 60_000 + "at b dot com", "one " * 60_000, "one dot " * 60_000, "at a.a" * 50_000, " " * 300_000 + "dot at",
+])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    start = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - start < 8
+
+
+@pytest.mark.parametrize(("text", "source"), [
+    ("dns eight dot eight dot eight dot eight!", "eight dot eight dot eight dot eight"), ("at 10 dot one dot two dot three", "10 dot one dot two dot three"), ("ip one-two punto 7 punto 0 punto un", "one-two punto 7 punto 0 punto un"),
+    ("eight.eight.eight.eight", "eight.eight.eight.eight"),
+])
+def test_spelled_addresses_of_few_digits(text, source):
+    (kind, a, z, plain), = pii.spans(text)
+    assert (kind, text[a:z], plain) == ("ip", source, False)
+
+
+@pytest.mark.parametrize("text", ["one dot two dot three", "one dot two dot three dot four dot five", "nine nine nine dot one dot two dot three", "two point five and three point one"])
+def test_spelled_numbers_that_are_no_address(text):
+    assert pii.spans(text) == []
