@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import forget, free_name, written
 
 #: A template's subtree is on at least this share of the host's different pages, and on so many of them; a host with few
 #: pages needs this larger share instead, and always so few as evidence.
@@ -287,10 +287,14 @@ def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     seen = pages.select(host(url).alias("host"), hashes.asNondeterministic()(F.col(f"`{html}`").cast("string")).alias("h")).filter("host is not null")
     rows = seen.select("host", "h.content", F.explode(F.array_append("h.subtrees", F.lit(0).cast("long"))).alias("subtree"))
     counts = rows.groupBy("host", "subtree", "content").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    # Written once, so that the pages are not parsed again for the totals; what is on fewer pages can't be a template.
+    counts = written(counts.filter((F.col("n") >= FEW_PAGES) | (F.col("subtree") == 0)), "html-counts")
     totals = counts.filter("subtree = 0").select("host", F.col("n").alias("pages"))  # each page has subtree 0
     few = F.least(F.lit(float(MIN_PAGES)), F.greatest(F.lit(float(FEW_PAGES)), FEW_SHARE * F.col("pages")))
-    many = counts.filter(F.col("subtree") != 0).filter(F.col("n") >= FEW_PAGES).join(totals, "host").filter(F.col("n") >= F.greatest(few, MIN_SHARE * F.col("pages")))
-    return written(many.groupBy("host").agg(F.collect_list("subtree").alias("templates")), "html-templates")
+    many = counts.filter(F.col("subtree") != 0).join(totals, "host").filter(F.col("n") >= F.greatest(few, MIN_SHARE * F.col("pages")))
+    found = written(many.filter(F.col("n") >= FEW_PAGES).groupBy("host").agg(F.collect_list("subtree").alias("templates")), "html-templates")
+    forget(counts)
+    return found
 
 
 def host(url: str):
