@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions.calendar import date_features
 from panelrisk.functions.scalars import split_label, threshold_class
-from panelrisk.functions.text import expand_abbreviation, search_form
+from panelrisk.functions.text import SAINT, expand_abbreviation, fold_accents, search_form
 from panelrisk.operators.features import day_before, history_at
 from panelrisk.operators.ranks import percentile_rank
 
@@ -83,6 +83,55 @@ def search(entities: DataFrame, text: str, limit: int = 12, code: str = "code",
     return rows.filter(hit).drop("_code", "_name").orderBy(F.desc("population"), F.asc("entity")).limit(limit)
 
 
+def _prefixes(codes: Sequence[str]) -> Column:
+    """The distinct prefixes of an entity's codes."""
+
+    def of(code: str) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(code)), lambda n: F.substring(F.upper(code), F.lit(1), n))
+        return F.when(F.length(code) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, codes))))
+
+
+def _pieces(text: str, width: Column) -> Column:
+    """The distinct runs of ``width`` characters of a text that has so many."""
+    starts = F.sequence(F.lit(1), F.length(text) - width + 1)
+    return F.when(F.length(text) >= width, F.array_distinct(F.transform(starts, lambda n: F.substring(F.col(text), n, width))))
+
+
+def search_all(
+    entities: DataFrame, searches: DataFrame, limit: int = 12, codes: Sequence[str] = ("postcode", "code"), name: str = "name"
+) -> DataFrame:
+    """(query_id, rank, entity, kind) of the first ``limit`` entities of every search text, all searches in one join.
+
+    ``searches`` has (query_id, text), one row each. Entities with a code that starts with the text are found; only if
+    there is none, those whose folded name contains it. The larger population comes first, among equal ones the name that
+    begins with the text, then the smaller entity. Null and blank texts find nothing. Codes are looked up by their
+    prefixes; names by the run of up to three characters of the text that the fewest names have, and then compared.
+    """
+    asked = searches.select("query_id", F.trim("text").alias("_text")).filter("_text <> ''")
+    # The abbreviation is expanded before spaces become hyphens.
+    plain = F.regexp_replace(fold_accents("_text"), SAINT.pattern, "saint$1")
+    asked = asked.select("query_id", F.upper("_text").alias("_code"), F.replace(plain, F.lit(" "), F.lit("-")).alias("_wanted"))
+    found = "query_id", "entity", "population"
+    by_code = entities.select("entity", "population", F.explode(_prefixes(codes)).alias("_code")).join(asked, "_code")
+    by_code = by_code.select(*found, F.lit("code").alias("kind"), F.lit(False).alias("_begins"))
+    names = entities.select("entity", "population", search_form(name).alias("_name"))
+    widths = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("_width")
+    postings = names.select("*", widths).select("entity", "population", "_name", F.explode(_pieces("_name", F.col("_width"))).alias("_piece"))
+    common = postings.groupBy("_piece").agg(F.count("*").alias("_n"))
+    pieces = asked.select("query_id", "_wanted", F.explode(_pieces("_wanted", F.least(F.lit(3), F.length("_wanted")))).alias("_piece"))
+    # A piece that no name has rules the text out: the left join finds it with a count of 0, and it joins no posting.
+    counted = pieces.join(common, "_piece", "left").select("query_id", "_wanted", "_piece", F.coalesce("_n", F.lit(0)).alias("_n"))
+    rarest = counted.groupBy("query_id", "_wanted").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
+    by_name = postings.join(rarest, "_piece").filter(F.contains("_name", "_wanted"))
+    by_name = by_name.select(*found, F.lit("name").alias("kind"), F.startswith("_name", "_wanted").alias("_begins"))
+    order = Window.partitionBy("query_id").orderBy("kind", F.desc("population"), F.desc("_begins"), "entity")
+    first = by_code.unionByName(by_name).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    best = F.min("kind").over(Window.partitionBy("query_id"))
+    return first.withColumn("_best", best).filter("kind = _best").select("query_id", "rank", "entity", "kind")
+
+
 def weather_export(measures: DataFrame, start: str, end: str, columns: Sequence[str]) -> DataFrame:
     """Measured weather of a period and of the day before it, in narrow types."""
     first = F.date_sub(F.lit(start).cast("date"), 1)

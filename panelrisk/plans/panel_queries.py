@@ -797,6 +797,30 @@ def entity_search(t):
     return serving.search(rows, "Customer#0000001")
 
 
+@query(
+    "V5 F1 F2",
+    "query_id:i rank:i entity:i kind:s",
+    """WITH e AS (SELECT entity, population, lpad(entity::VARCHAR, 5, '0') AS code, lpad((entity * 37 % 100000)::VARCHAR, 5, '0') AS postcode,
+            replace(lower(strip_accents(name)), ' ', '-') AS plain FROM entities WHERE population IS NOT NULL),
+       s AS (SELECT entity AS query_id, trim(CASE entity % 4 WHEN 0 THEN lpad(entity::VARCHAR, 4, '0') WHEN 1 THEN ' ' || substr(name, 1, length(name) - 1) || ' '
+            WHEN 2 THEN substr(name, 5) ELSE substr(name, length(name) - 5) END) AS text FROM entities),
+       c AS (SELECT query_id, entity, population, 'code' AS kind, false AS begins FROM s, e WHERE starts_with(code, upper(text)) OR starts_with(postcode, upper(text))),
+       n AS (SELECT query_id, entity, population, 'name' AS kind, starts_with(plain, lower(text)) AS begins FROM s, e
+            WHERE contains(plain, lower(text)) AND query_id NOT IN (SELECT query_id FROM c)),
+       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY population DESC, begins DESC, entity) AS rank FROM (SELECT * FROM c UNION ALL SELECT * FROM n))
+       SELECT query_id, rank, entity, kind FROM r WHERE rank <= 12""",
+)
+def entity_searches(t):
+    """Each entity is searched for by a piece of its code or name."""
+    key = F.col("entity").cast("string")
+    postcode = F.lpad((F.col("entity") * 37 % 100000).cast("string"), 5, "0")
+    rows = t.entities.filter("population IS NOT NULL").withColumns({"code": F.lpad(key, 5, "0"), "postcode": postcode})
+    way = F.col("entity") % 4
+    text = F.when(way == 0, F.lpad(key, 4, "0")).when(way == 1, F.expr("' ' || substr(name, 1, length(name) - 1) || ' '"))
+    text = text.when(way == 2, F.expr("substr(name, 5)")).otherwise(F.expr("substr(name, length(name) - 5)"))
+    return serving.search_all(rows, t.entities.select(F.col("entity").alias("query_id"), text.alias("text")))
+
+
 @query(
     "A31",
     "top_share:f share_of_total:f",

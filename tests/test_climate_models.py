@@ -117,6 +117,24 @@ def test_checks_catch_damage(spark):
     assert checks.pairs_symmetric(pairs).first().status == "OK" and checks.pairs_symmetric(pairs.limit(1)).first().status == "FAIL"
 
 
+def test_search_of_many_texts(spark):
+    rows = [
+        (1, "42218", "42000", "Saint-Étienne", 170), (2, "35288", "35400", "Saint-Malo", 46), (3, "2A004", "20000", "Ajaccio", 70), (4, "01001", "01400", "Mont Saint-Malo", 46),
+        (5, "02002", None, "Malo", 46), (6, "03003", "", None, 9), (7, "20004", "20001", "Sainte-Anne", 5), (8, "20004", "20001", "Älmalo", 46),
+    ]
+    df = spark.createDataFrame(rows, "entity long, code string, postcode string, name string, population long")
+    texts = {1: "st etienne", 2: "2a0", 3: "malo", 4: "354", 5: " ", 6: None, 7: "ste anne", 8: "ALM", 9: "zzz", 10: "2", 11: "a", 12: "st-malo", 13: "saint-malo x", 14: "o", 15: "20"}
+    asked = spark.createDataFrame(list(texts.items()), "query_id long, text string")
+    got = {}
+    for r in serving.search_all(df, asked, limit=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.entity, r.kind))
+    found = {q: [e for _, e, _ in own] for q, own in got.items()}
+    assert found == {1: [1], 2: [3], 3: [5, 2, 4], 4: [2], 7: [7], 8: [8], 10: [3, 8, 7], 11: [1, 3, 8], 12: [2, 4], 14: [3, 2, 4], 15: [3, 8, 7]}
+    assert all([n for n, _, _ in own] == list(range(1, len(own) + 1)) and len({k for _, _, k in own}) == 1 for own in got.values())
+    assert got[4][0][2] == "code" and got[3][0][2] == "name" and 13 not in got
+    assert serving.search_all(df, asked.limit(0)).count() == 0 and serving.search_all(df.limit(0), asked).count() == 0
+
+
 def test_search(spark):
     rows = [("42218", "Saint-Étienne", 170000), ("76575", "Saint-Étienne-du-Rouvray", 28000), ("2A004", "Ajaccio", 70000), ("10387", "Troyes", 60000)]
     df = spark.createDataFrame(rows, "code string, name string, population int").withColumn("entity", F.col("code"))
