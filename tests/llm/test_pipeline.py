@@ -17,7 +17,7 @@ def sha(text):
 
 def test_stages_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "pii", "bpe"]
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in QUERIES} and not set(ORACLE_SQL) - set(QUERIES)
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in QUERIES} and not set(ORACLE_SQL) - set(QUERIES)
 
 
 def test_run_against_brute_force(spark, sf_dir):
