@@ -127,7 +127,7 @@ class Staged(WriterCommitMessage):
 
 class ArchiveWriter(DataSourceWriter):
     """Each attempt of a task writes into a folder of its own; the archives move to their place when all tasks are done, so
-    a lost or repeated attempt leaves no archive behind. An archive of the same name is replaced."""
+    a lost or repeated attempt adds no archive. An archive of the same name is replaced."""
 
     def __init__(self, path: str):
         self.path, self.staging = path.rstrip("/"), f"{path.rstrip('/')}/_staging-{uuid4().hex}"

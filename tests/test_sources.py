@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.operators.checks import announced_counts
 from panelrisk.operators.eda import mark_duplicates
-from panelrisk.sources import readers, tables
+from panelrisk.sources import archives, documents, readers, tables
 from panelrisk.streaming import incremental
 
 HEADER = "Année;Numéro;Département;Code INSEE;Nom de la commune;Date de première alerte;Surface parcourue (m2);Surface forêt (m2);Surface maquis garrigues (m2);Type de peuplement;Nature"
@@ -17,7 +17,7 @@ def event(i, ts="2010-07-01 12:30:00", size="100"):
 
 
 @pytest.fixture(scope="module")
-def archives(tmp_path_factory):
+def exports(tmp_path_factory):
     folder = tmp_path_factory.mktemp("archives")
     for name, above, n, announced in (("a.zip", 2, 3, 3), ("b.zip", 3, 2, 2), ("c.zip", 6, 4, 5)):
         pre = ["Export", f"Nombre de la sélection : {announced}", "de : 2010-01-01 jusqu'à : 2011-01-01", '"2010 - 12 :";"lost records"', "", ""][:above]
@@ -28,8 +28,8 @@ def archives(tmp_path_factory):
     return str(folder / "*.zip")
 
 
-def test_floating_headers(spark, archives):
-    events, meta = readers.read_event_exports(spark, archives)
+def test_floating_headers(spark, exports):
+    events, meta = readers.read_event_exports(spark, exports)
     per = {r.source: (r.header_line, r.announced, r.rows, r.start) for r in meta.collect()}
     assert per == {"a.zip": (2, 3, 3, None), "b.zip": (3, 2, 2, "2010-01-01"), "c.zip": (6, 5, 4, "2010-01-01")}
     assert meta.filter("source = 'c.zip'").first().notes == ["2010 - 12 : lost records"]
@@ -108,6 +108,58 @@ def test_rings(spark, tmp_path):
         assert [r.entity for r in readers.without_ring(names, rings).collect()] == ["C"]
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_a_document_is_cut_into_ranges(spark, tmp_path, indent):
+    """Ranges of 64 bytes begin inside strings, escapes and coordinates; every feature is read once, as json reads it."""
+    names = ["plain", 'quo"te', "back\\slash", "{[", "}]", '\\"}', "end\\", "é ] , {", '"features": [', ""]
+    features = [
+        {"type": "Feature", "properties": {"code": f"{i}", "name": name, "more": {"deep": [{"a": name}, [name]]}},
+         "geometry": None if i % 5 == 0 else {"type": "Polygon", "coordinates": [[[i, 1.5], [2, 3], [4, 5], [i, 1.5]]]}}
+        for i, name in enumerate(names * 4)
+    ]
+    for n, doc in enumerate((
+        {"type": "FeatureCollection", "features": features},
+        {"crs": {"type": "name", "properties": {"name": "x"}}, "features": features[::-1], "bbox": [1, 2], "other": {"a": {"b": {}}}},
+        {"features": []},
+    )):
+        (tmp_path / f"d{n}.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=n == 0), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = documents.array_elements(spark, str(tmp_path)).collect()
+        rings = readers.read_rings(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in sorted(found, key=lambda r: (r.path, r.number)):
+        got.setdefault(r.path[-7:], []).append(json.loads(r.text))
+    assert got == {"d0.json": features, "d1.json": features[::-1]}
+    assert sorted(r.entity for r in rings) == sorted(2 * [f["properties"]["code"] for f in features if f["geometry"]])
+
+
+def test_archives_written_and_read(spark, tmp_path):
+    """Archives that Spark writes are read back whole; rows of an archive in two tasks or out of order stop the job."""
+    rows = [(f"x_{a}.zip", i, line) for a in range(5) for i, line in enumerate(["Export", f"de la sélection : {a}", HEADER, *(event(j) for j in range(a))])]
+    lines = spark.createDataFrame(rows, "archive string, line_no long, line string").repartition(7)
+    target = str(tmp_path / "out")
+    archives.write_archives(lines, target)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"x_{a}.zip" for a in range(5)]
+    back = archives.archive_lines(spark, target)
+    assert back.rdd.getNumPartitions() == 5
+    meta = {r.source: (r.announced, r.header_line, r.rows) for r in readers.event_file_meta(back).collect()}
+    assert meta == {f"x_{a}.zip": (a, 2, a) for a in range(5)}
+    some = archives.archive_lines(spark, [target + "/x_1.zip", target + "/x_[34].zip"])
+    assert {r.source for r in some.select("source").distinct().collect()} == {"x_1.zip", "x_3.zip", "x_4.zip"}
+    assert readers.parse_event_lines(back).filter("name = 'Aja;ccio'").count() == 10
+    scattered = lines.sortWithinPartitions("line_no").write.format("event_archives").mode("append")
+    with pytest.raises(Exception, match="rows of an archive"):
+        scattered.save(str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").glob("*.zip"))
+    with pytest.raises(Exception, match="no archives"):
+        archives.archive_lines(spark, str(tmp_path / "bad" / "*.zip")).count()
+
+
 def test_grids(spark):
     nan = float("nan")
     arrays = spark.createDataFrame([("2020-01-01", [1.0, nan, 3.0, nan], [5.0, nan, 6.0, nan]), ("2020-01-02", [2.0, nan, nan, nan], [7.0, nan, nan, nan])], "day string, fwi array<double>, ffmc array<double>")
