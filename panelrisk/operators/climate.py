@@ -172,3 +172,10 @@ def transfer_summary(transfer: DataFrame) -> DataFrame:
         F.avg("risk_future").alias("mean_future"),
         F.avg((F.col("risk_future") > F.col("risk_now")).cast("double")).alias("rising_share"),
     )
+
+
+def largest_shifts(transfer: DataFrame, key: str, k: int) -> DataFrame:
+    """The k entities that change their cluster with the largest gain in risk; equal gains by key."""
+    moved = transfer.filter(F.col("cluster") != F.col("cluster_future"))
+    # Rates are sums in any order: gains equal but for rounding are one gain.
+    return moved.orderBy(F.round("gain", 9).desc(), F.col(key)).limit(k)

@@ -308,6 +308,33 @@ def day_kpis(scored: DataFrame, score: str, key: str, danger: int = 5) -> DataFr
     )
 
 
+def compare_days(a: DataFrame, b: DataFrame, key: str, score: str, measure: str, danger: int = 3) -> DataFrame:
+    """The second of two days against the first, over the entities of both: means, entities in danger, entities whose
+    measure rises, and the median ratio of the scores (ratios to a score of zero are left out)."""
+    both = paired_days(a, b, key, score, measure)
+    before, after = F.count_if(F.col("class_a") >= danger), F.count_if(F.col("class_b") >= danger)
+    rise = F.col("change") > 0
+    out = both.agg(
+        F.avg("measure_b").alias("mean"),
+        (F.avg("measure_b") - F.avg("measure_a")).alias("mean_change"),
+        after.alias("in_danger"),
+        (after - before).alias("in_danger_change"),
+        F.count_if(rise).alias("rising"),
+        F.avg(rise.cast("double")).alias("rising_share"),
+    )
+    ratio = exact_quantiles(both.withColumn("ratio", F.try_divide("score_b", "score_a")), "ratio", [0.5])
+    return out.withColumn("median_ratio", ratio.select(F.get("quantiles", F.lit(0))).scalar())
+
+
+def paired_days(a: DataFrame, b: DataFrame, key: str, score: str, measure: str) -> DataFrame:
+    """(key, measure, score and danger class of both days, change of the measure) of the entities of both days."""
+    sides = [
+        d.select(key, F.col(measure).alias(f"measure_{n}"), F.col(score).alias(f"score_{n}"), F.col("danger_class").alias(f"class_{n}"))
+        for n, d in (("a", a), ("b", b))
+    ]
+    return sides[0].join(sides[1], key).withColumn("change", F.col("measure_b") - F.col("measure_a"))
+
+
 def decade_profile(measures: DataFrame, x: str = "fwi") -> DataFrame:
     decade = (F.floor(F.year("day") / 10) * 10).cast("int").alias("decade")
     return measures.groupBy(decade, F.dayofyear("day").alias("doy")).agg(F.avg(x).alias("mean"))
@@ -334,6 +361,13 @@ def category_fill(events: DataFrame, column: str) -> DataFrame:
     )
 
 
+def category_counts(events: DataFrame, column: str) -> DataFrame:
+    """Rows of each value and year, rows without a value included, and their share of the year."""
+    counts = events.groupBy(F.year("day").alias("year"), F.col(column).alias("category")).agg(F.count("*").alias("events"))
+    total = F.sum("events").over(Window.partitionBy("year"))
+    return counts.withColumn("share", F.col("events") / total)
+
+
 def summer_means(measures: DataFrame, months: tuple[int, int] = (6, 9), x: str = "fwi") -> DataFrame:
     """Summer mean per cell and decade: months first averaged within the year, then over years."""
     year = F.year("day")

@@ -6,6 +6,7 @@ from panelrisk.plans import (  # noqa: F401
     metric_queries,
     model_queries,
     panel_queries,
+    source_queries,
 )
 from panelrisk.plans.registry import REGISTRY
 

@@ -10,6 +10,7 @@ from panelrisk.plans.metric_queries import rates
 from panelrisk.plans.panel_queries import SITES_SQL, _sites
 from panelrisk.plans.registry import query
 from panelrisk.plans.roles import END, FIT_END, INDICES, JUDGE_YEAR, START, TRAIN_STOP
+from panelrisk.session import cut_lineage
 
 PERIODS = ((1995, 1996), (1997, 1999), (2000, 2001))
 ANCHORS = (2038, 2058, 2092)
@@ -400,10 +401,36 @@ def serving_table(t):
               avg((t.cluster_rate > n.cluster_rate)::INT) AS rising_share FROM a JOIN k n ON n.cluster = a.cluster JOIN k t ON t.cluster = a.f GROUP BY 1""",
 )
 def risk_transfer(t):
+    return climate.transfer_summary(transferred(t))
+
+
+def transferred(t):
     """Risk carried over when the southern entities of the high scenario take the last cluster."""
     clusters = smoothing.with_fallback_cluster(t.counts, t.clusters)
     k = rates(t).filter("excluded_year = 0").select("cluster", "cluster_rate").distinct()
     last = clusters.agg(F.max("cluster").alias("m")).scalar()
     rows = replicate(clusters.join(t.entities.select("entity", "lat"), "entity"), "scenario", SCENARIOS)
     moved = F.when((F.col("scenario") == "high") & (F.col("lat") < 44), last).otherwise(F.col("cluster"))
-    return climate.transfer_summary(climate.risk_transfer(rows.withColumn("cluster_future", moved), k))
+    return climate.risk_transfer(rows.withColumn("cluster_future", moved), k)
+
+
+@query(
+    "CL7",
+    "entity:i cluster:i cluster_future:i risk_now:f9 risk_future:f9 gain:f",
+    """WITH k AS (SELECT DISTINCT cluster, cluster_rate FROM rates WHERE excluded_year = 0),
+       a AS (SELECT c.entity, c.cluster, (SELECT max(cluster) FROM k) AS cluster_future FROM all_clusters c JOIN entities e USING (entity) WHERE e.lat < 44)
+       SELECT a.entity, a.cluster, a.cluster_future, n.cluster_rate AS risk_now, t.cluster_rate AS risk_future, t.cluster_rate / n.cluster_rate AS gain
+       FROM a JOIN k n ON n.cluster = a.cluster JOIN k t ON t.cluster = a.cluster_future WHERE a.cluster <> a.cluster_future
+       ORDER BY round(t.cluster_rate / n.cluster_rate, 9) DESC, a.entity LIMIT 8""",
+)
+def largest_shifts(t):
+    return climate.largest_shifts(transferred(t).filter("scenario = 'high'"), "entity", 8)
+
+
+@query("TS4 TS6", "lag:i acf:f band:f pacf:f significant:b")
+def residual_autocorrelation(t):
+    """Autocorrelation of what the harmonics leave of the event series, to lag 12."""
+    left = cut_lineage(series.deseasonalise(daily(t), "events").select(F.lit("residual").alias("series"), "day", "residual"))
+    own = series.acf(left, "residual", lags=12, by=["series"])
+    partial = series.pacf(own).select("lag", "pacf")
+    return own.join(partial, "lag").withColumn("significant", F.abs("pacf") > F.col("band"))

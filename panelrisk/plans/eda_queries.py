@@ -123,6 +123,26 @@ def weekday_signature(t):
     return eda.signature(t.table("events"), F.weekday("ts"), "weekday")
 
 
+@query(
+    "A23",
+    "hour:i events:i deviation_pct:f",
+    """WITH c AS (SELECT hour(ts) AS hour, count(*) AS events FROM events GROUP BY 1)
+       SELECT *, 100.0::DOUBLE * (events - (SELECT avg(events) FROM c)) / (SELECT avg(events) FROM c) AS deviation_pct FROM c""",
+)
+def hour_signature(t):
+    return eda.signature(t.table("events"), F.hour("ts"), "hour")
+
+
+@query(
+    "A23",
+    "monthday:i events:i deviation_pct:f",
+    """WITH c AS (SELECT dayofmonth(ts) AS monthday, count(*) AS events FROM events GROUP BY 1)
+       SELECT *, 100.0::DOUBLE * (events - (SELECT avg(events) FROM c)) / (SELECT avg(events) FROM c) AS deviation_pct FROM c""",
+)
+def monthday_signature(t):
+    return eda.signature(t.table("events"), F.dayofmonth("ts"), "monthday")
+
+
 @query(
     "A23",
     "midnight_share:f max_weekday_pct:f first_day_ratio:f daily_grain_valid:b",
@@ -347,10 +367,48 @@ def fixed_bands(t):
        SELECT avg(score) AS mean_score, max(score) AS max_score, count(*) FILTER (k >= 5) AS in_danger, count(*) // 10 AS decile_size, arg_max(entity, (score, -entity)) AS top_entity FROM d""",
 )
 def day_indicators(t):
-    day = t.measures.filter(F.col("day") == F.lit("1999-08-02").cast("date"))
+    return eda.day_kpis(scored_day(t, "1999-08-02"), "score", "entity")
+
+
+def scored_day(t, date):
+    """Every entity with the measure of its cell on a day, as a score and as a danger class."""
+    day = t.measures.filter(F.col("day") == F.lit(date).cast("date"))
     rows = t.entities.select("entity", "cell").join(day, "cell")
-    scored = rows.withColumns({"score": F.col("fwi") / 51, "danger_class": threshold_class("fwi")})
-    return eda.day_kpis(scored, "score", "entity")
+    return rows.withColumns({"score": F.col("fwi") / 51, "danger_class": threshold_class("fwi")})
+
+
+def two_days(t):
+    """A summer day and the same day two years later; entities differ in area, so their scores do too."""
+    areas = t.entities.select("entity", "area_km2")
+    for date in ("1997-08-02", "1999-08-02"):
+        yield scored_day(t, date).join(areas, "entity").withColumn("score", F.col("fwi") * F.month(F.lit(date)) / (F.col("area_km2") + F.col("ffmc")))
+
+
+TWO_DAYS_SQL = """d AS (SELECT e.entity, m.day, m.fwi, m.fwi * 8 / (e.area_km2 + m.ffmc) AS score,
+        CASE WHEN m.fwi < 5.2 THEN 1 WHEN m.fwi < 11.2 THEN 2 WHEN m.fwi < 21.3 THEN 3 WHEN m.fwi < 38 THEN 4 WHEN m.fwi < 50 THEN 5 ELSE 6 END AS k
+        FROM entities e JOIN measures m ON m.cell = e.cell AND m.day IN (DATE '1997-08-02', DATE '1999-08-02')),
+    j AS (SELECT a.entity, a.fwi AS measure_a, b.fwi AS measure_b, b.fwi - a.fwi AS change, a.k AS ka, b.k AS kb, b.score / nullif(a.score, 0) AS ratio
+          FROM d a JOIN d b USING (entity) WHERE a.day < b.day)"""
+
+
+@query(
+    "A47",
+    "mean:f mean_change:f in_danger:i in_danger_change:i rising:i rising_share:f median_ratio:f",
+    f"""WITH {TWO_DAYS_SQL} SELECT avg(measure_b) AS mean, avg(measure_b) - avg(measure_a) AS mean_change, count(*) FILTER (kb >= 3) AS in_danger,
+        count(*) FILTER (kb >= 3) - count(*) FILTER (ka >= 3) AS in_danger_change, count(*) FILTER (change > 0) AS rising,
+        avg((change > 0)::INT) AS rising_share, quantile_cont(ratio, 0.5) AS median_ratio FROM j""",
+)
+def day_deltas(t):
+    return eda.compare_days(*two_days(t), "entity", "score", "fwi")
+
+
+@query(
+    "A47",
+    "entity:i measure_a:f measure_b:f change:f",
+    f"WITH {TWO_DAYS_SQL} SELECT entity, measure_a, measure_b, change FROM j ORDER BY change DESC, entity LIMIT 10",
+)
+def steepest_rises(t):
+    return eda.top_k(eda.paired_days(*two_days(t), "entity", "score", "fwi"), "change", "entity", 10)
 
 
 @query(
@@ -393,6 +451,16 @@ def cause_fill(t):
     return eda.category_fill(t.events.withColumn("cause", F.nullif("cause", F.lit("P"))), "cause")
 
 
+@query(
+    "A53",
+    "year:i category:s events:i share:f",
+    """WITH c AS (SELECT year(day) AS year, nullif(cause, 'P') AS category, count(*) AS events FROM fires GROUP BY 1, 2)
+       SELECT *, events / sum(events) OVER (PARTITION BY year) AS share FROM c""",
+)
+def cause_counts(t):
+    return eda.category_counts(t.events.withColumn("cause", F.nullif("cause", F.lit("P"))), "cause")
+
+
 @query(
     "A54",
     "cell:i decade:i summer_mean:f",

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelrisk.session import shuffle_width
+
 
 def append_by_name(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Append the named columns, in this order, to a Parquet table."""
@@ -37,6 +39,15 @@ def save_aggregate(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int | None = None) -> None:
+    """Keep a frame as a managed table whose rows lie in sorted buckets of their keys, so joins and groupings on these keys
+    need no shuffle. Buckets are as many as the session's shuffle partitions: tables of one session fit each other."""
+    n = buckets or shuffle_width(df)
+    # One task writes a bucket, so it is one file.
+    rows = df.repartition(n, *keys)
+    rows.write.mode("overwrite").format("parquet").option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+
+
 def run_template(spark: SparkSession, query: str, **args) -> DataFrame:
     """A query with ``:name`` markers bound as typed literals, never by text replacement."""
     return spark.sql(query, args=args)

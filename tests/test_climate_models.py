@@ -217,3 +217,29 @@ def test_isotonic_steps_are_monotone_means_of_their_blocks(spark):
 def test_isotonic_of_no_rows(spark):
     df = spark.createDataFrame([], "p double, y int")
     assert calibration.refitted(df, "p", "y").collect() == []
+
+
+def test_residual_autocorrelation_equals_numpy(spark):
+    """Harmonics by least squares, autocorrelation of the rest, and partial ones by solving the Yule-Walker equations."""
+    import os
+
+    import numpy as np
+    import pytest as test
+
+    from panelrisk.plans.catalogue import REGISTRY
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        test.skip("supplied tables are absent")
+    left = {np.datetime64(r.day): r.residual for r in REGISTRY["deseasonalised"].run(spark, folder).collect()}
+    mean = sum(left.values()) / len(left)
+    # Days without a measure are holes of the series: a lag is one of the calendar.
+    acf = np.array([sum((x - mean) * (left[d - k] - mean) for d, x in left.items() if d - k in left) for k in range(13)])
+    acf /= acf[0]
+    got = {r.lag: r for r in REGISTRY["residual_autocorrelation"].run(spark, folder).collect()}
+    assert sorted(got) == list(range(1, 13))
+    for k in range(1, 13):
+        square = np.array([[acf[abs(i - j)] for j in range(k)] for i in range(k)])
+        assert got[k].acf == test.approx(acf[k], abs=2e-6)
+        assert got[k].pacf == test.approx(np.linalg.solve(square, acf[1 : k + 1])[-1], abs=2e-5)
+        assert got[k].significant == (abs(got[k].pacf) > got[k].band)

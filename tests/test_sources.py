@@ -1,14 +1,18 @@
 import json
+import os
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from panelrisk.operators.checks import announced_counts
 from panelrisk.operators.eda import mark_duplicates
+from panelrisk.plans.roles import Roles
 from panelrisk.sources import archives, documents, readers, tables
 from panelrisk.streaming import incremental
 
+FOLDER = "/root/testdata/sf0.001"
 HEADER = "Année;Numéro;Département;Code INSEE;Nom de la commune;Date de première alerte;Surface parcourue (m2);Surface forêt (m2);Surface maquis garrigues (m2);Type de peuplement;Nature"
 
 
@@ -201,3 +205,28 @@ def test_years_from_file_names(spark, tmp_path):
     for name in ("measures_2006.nc", "measures_2019.nc", "notes.txt"):
         (tmp_path / name).write_text("x")
     assert {r.year for r in readers.years_available(spark, str(tmp_path)).collect()} == {2006, 2019}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables are absent")
+def test_buckets_are_joined_without_a_shuffle(spark):
+    from panelrisk.plans.source_queries import bucketed_join
+
+    joined, names = bucketed_join(Roles(spark, FOLDER))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    # One file a bucket, so its rows need no sort either.
+    assert joined.count() == spark.table(names[1]).count()
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_tables_are_written_with_zstd(spark, tmp_path):
+    df = spark.range(10).selectExpr("id AS entity", "CAST(2006 AS INT) AS year")
+    tables.append_by_name(df, str(tmp_path / "a"), ["entity", "year"])
+    tables.replace_table(df, str(tmp_path / "r"), ["year"])
+    incremental.rebuild_years(df, str(tmp_path / "y"))
+    files = list(tmp_path.glob("**/*.parquet"))
+    assert len({f.relative_to(tmp_path).parts[0] for f in files}) == 3
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        assert {meta.row_group(g).column(c).compression for g in range(meta.num_row_groups) for c in range(meta.num_columns)} <= {"ZSTD"}
