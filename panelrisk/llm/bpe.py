@@ -11,6 +11,7 @@ pieces with a word-end sign, and decoding as the tokens joined by spaces.
 """
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import mmap
@@ -20,6 +21,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, pairwise
 
@@ -291,6 +293,18 @@ class Lexicon:
         return out
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: lists of ids form none, and each search would visit all that are remembered."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 @lru_cache(maxsize=2)
 def _vocabulary(content: str) -> Vocabulary:
     return Vocabulary(content)
@@ -366,9 +380,10 @@ def frequent_pieces(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
                 if t:
                     chunks.update(own.chunks(t))
             found: Counter[str] = Counter()
-            for chunk, n in chunks.items():
-                for piece in own.pieces(chunk):
-                    found[piece] += n
+            with uncollected():
+                for chunk, n in chunks.items():
+                    for piece in own.pieces(chunk):
+                        found[piece] += n
             kept = [(p, n) for p, n in found.items() if len(p.encode()) <= LEXICON_BYTES and p not in own.special]
             yield pd.DataFrame(kept, columns=["piece", "n"]).astype({"piece": object, "n": "int64"})
 
@@ -417,10 +432,11 @@ def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: s
         for batch in batches:
             lengths = pa.compute.fill_null(pa.compute.binary_length(batch), 0).to_pylist()
             for a, b in blocks(lengths, BLOCK_CHARS):
-                ids = encoder.encode_many([t or "" for t in batch[a:b].to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, count=int(ends[-1])))
-                decoded = pa.array(list(map(vocabulary.decode, ids)), pa.string())
+                with uncollected():
+                    ids = encoder.encode_many([t or "" for t in batch[a:b].to_pylist()])
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, count=int(ends[-1])))
+                    decoded = pa.array(list(map(vocabulary.decode, ids)), pa.string())
                 yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), flat), decoded], ["ids", "decoded"])
 
     return df.withColumn(name, encode(F.col(f"`{text}`").cast("string"))), name
