@@ -1,5 +1,6 @@
 import math
 import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,36 @@ def test_dense_square_runs_in_many_tasks(spark):
 
 def test_pairs_of_no_points(spark):
     assert geo.pairs_within(spark.createDataFrame([], "entity long, lat double, lon double"), 50.0).collect() == []
+
+
+def test_neighbour_features_shuffle_neither_pairs_nor_days(spark):
+    """Before, every (place, event of a neighbour) and every day on which an entity's values change was shuffled."""
+    points = spark.createDataFrame([(i, 45 + i / 100, 2.0) for i in range(20)], "entity long, lat double, lon double")
+    days = spark.createDataFrame([(3, "2008-01-02", 2)], "entity long, d string, n long").select("entity", F.to_date("d").alias("day"), "n")
+    above = geo.neighbour_features(days, points, 50.0)._jdf.queryExecution().executedPlan().toString().partition("MapInPandas")
+    assert above[1] and "Exchange" not in above[0] and "Window" not in above[0]
+
+
+def test_neighbour_features_of_repeated_and_missing_keys(spark, monkeypatch):
+    """Entities listed twice, at two places, without key or without place; blocks of few entities."""
+    monkeypatch.setattr(geo, "HISTORY_BLOCK", 2)
+    monkeypatch.setattr(geo, "HISTORY_CELLS", 8)
+    pts = [(1, 45.0, 2.0), (1, 45.0, 2.0), (2, 45.05, 2.0), (2, 45.2, 2.0), (3, 45.1, 2.0), (4, 45.0, 2.0), (None, 45.0, 2.0), (5, None, 2.0), (6, 45.3, 2.0)]
+    ev = [(1, date(2008, 1, 1), 2), (2, date(2008, 1, 20), 1), (2, date(2008, 2, 3), 5), (4, date(2008, 1, 1), 3), (5, date(2008, 1, 1), 7), (3, None, 4)]
+    got = geo.neighbour_features(
+        spark.createDataFrame(ev, "entity long, day date, n long"), spark.createDataFrame(pts, "entity long, lat double, lon double"), 50.0
+    )
+    want = {}
+    for e, lat, lon in pts:
+        for f, day, n in ev:
+            for at in [p[1:] for p in pts if p[0] == f and None not in (lat, *p[1:]) and day]:
+                d = distance_m((lat, lon), at)
+                for k in range(1, 31 if d <= 50000 else 1):
+                    own = want.setdefault((e, day + timedelta(days=k)), [0, 0, 0, 0.0])
+                    own[:] = [own[0] + n * (d < 10000), own[1] + n * (d < 20000), own[2] + n, own[3] + n / (d / 1000 + 1)]
+    for f, day, n in ev:  # the entity's own events, once
+        for k in range(1, 31 if day else 1):
+            own = want.setdefault((f, day + timedelta(days=k)), [0, 0, 0, 0.0])
+            own[:] = [v - n for v in own]
+    want = {k: (*v[:3], round(v[3], 6)) for k, v in want.items() if v[2] > 0}
+    assert {(r.entity, r.day): (*tuple(r)[2:5], round(r[5], 6) + 0.0) for r in got.collect()} == want
