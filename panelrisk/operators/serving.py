@@ -11,6 +11,12 @@ from panelrisk.functions.scalars import split_label, threshold_class
 from panelrisk.functions.text import SAINT, expand_abbreviation, fold_accents, search_form
 from panelrisk.operators.features import day_before, history_at
 from panelrisk.operators.ranks import percentile_rank
+from panelrisk.session import spread
+
+#: Entities of a cell that are joined as a block.
+ENTITIES_PER_BLOCK = 1024
+#: Lengths of the pieces by which names are found: a text is looked up by the longest that it has.
+PIECES = (1, 2, 3, 6)
 
 
 def measures_on(
@@ -61,9 +67,18 @@ def trajectory(
     long = factors.select("cell", "year", "scenario", F.explode(band).alias("_v"))
     observed = F.col("year") <= last_observed
     long = long.filter(~observed | (F.col("_v.variant") == "centre"))
-    out = long.join(base, "cell").join(entities.select("entity", "cell"), "cell")
     scaled = [(F.col(c) * F.col("_v.k")).alias(c) for c in columns]
-    out = out.select("entity", "year", "scenario", F.col("_v.variant").alias("variant"), observed.alias("observed"), *scaled)
+    rows = long.join(base, "cell").select("cell", "year", "scenario", F.col("_v.variant").alias("variant"), observed.alias("observed"), *scaled)
+    values = [c for c in rows.columns if c != "cell"]
+    # A cell's rows are one array for each block of its entities: a crowded cell is dealt over many tasks, and its
+    # entities are moved before they grow.
+    located = entities.select("entity", "cell")
+    blocks = located.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(ENTITIES_PER_BLOCK)).cast("int").alias("_blocks"))
+    packed = rows.groupBy("cell").agg(F.collect_list(F.struct(*values)).alias("_rows")).join(blocks, "cell")
+    packed = packed.select("cell", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "_rows")
+    located = located.join(blocks, "cell").select("entity", "cell", F.pmod(F.xxhash64("entity"), F.col("_blocks")).cast("int").alias("_block"))
+    out = spread(located, "cell", "_block").join(spread(packed, "cell", "_block"), ["cell", "_block"])
+    out = out.select("entity", F.explode("_rows").alias("_r")).select("entity", *[F.col(f"_r.{c}").alias(c) for c in values])
     return out.withColumn("danger_class", threshold_class("fwi"))
 
 

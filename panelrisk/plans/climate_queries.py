@@ -117,7 +117,8 @@ RATIO_SQL = f"""{SITES_SQL}, {MAPS_SQL}, {CELLS_SQL},
 
 
 def _ratios(t):
-    return climate.delta_ratios(_cells(t), climate.mean_maps(_maps(t)), _sites(t))
+    # Read three times: written once, a row for each site and scenario.
+    return climate.delta_ratios(_cells(t), cut_lineage(climate.mean_maps(_maps(t))), _sites(t))
 
 
 @query("CL2 J18", "cell:i scenario:s k:f dist_deg:f", f"WITH {RATIO_SQL} SELECT * FROM ra")
@@ -154,7 +155,7 @@ def _factors(t):
     steps = F.array(*[F.struct(F.lit(a).alias("horizon"), F.lit(w).alias("w")) for a, w in zip(ANCHORS, (0.5, 1.0, 1.5))])
     spread = ratios.select("cell", "scenario", "k", F.explode(steps).alias("s"))
     spread = spread.select("cell", "scenario", F.col("s.horizon").alias("horizon"), (F.lit(1.0) + (F.col("k") - 1) * F.col("s.w")).alias("k"))
-    observed = climate.observed_factors(t.measures, START, TRAIN_STOP)
+    observed = cut_lineage(climate.observed_factors(t.written_measures, START, TRAIN_STOP))
     return climate.level_factors(observed, spread, ANCHORS, SCENARIOS, (1997, 2001), 2002, 2100)
 
 
@@ -356,7 +357,7 @@ def ranked_day(t):
 )
 def entity_trajectories(t):
     """Trajectories of all entities on 15 August."""
-    return serving.trajectory(t.entities, climate.climatology(t.measures, INDICES), _factors(t), 227, ("fwi",), 2001)
+    return serving.trajectory(t.entities, climate.climatology(t.written_measures, INDICES), _factors(t), 227, ("fwi",), 2001)
 
 
 @query(
