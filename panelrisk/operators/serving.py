@@ -122,27 +122,45 @@ def search_all(
     ``searches`` has (query_id, text), one row each. Entities with a code that starts with the text are found; only if
     there is none, those whose folded name contains it. The larger population comes first, among equal ones the name that
     begins with the text, then the smaller entity. Null and blank texts find nothing. Codes are looked up by their
-    prefixes; names by the run of up to three characters of the text that the fewest names have, and then compared.
+    prefixes; names by the run of ``PIECES`` characters of the text that the fewest names have, and then compared.
+    Equal texts are searched once, and of equal names and prefixes only the first ``limit`` entities are joined.
     """
-    asked = searches.select("query_id", F.trim("text").alias("_text")).filter("_text <> ''")
+    texts = searches.select("query_id", F.trim("text").alias("_text")).filter("_text <> ''")
     # The abbreviation is expanded before spaces become hyphens.
     plain = F.regexp_replace(fold_accents("_text"), SAINT.pattern, "saint$1")
-    asked = asked.select("query_id", F.upper("_text").alias("_code"), F.replace(plain, F.lit(" "), F.lit("-")).alias("_wanted"))
-    found = "query_id", "entity", "population"
-    by_code = entities.select("entity", "population", F.explode(_prefixes(codes)).alias("_code")).join(asked, "_code")
+    asked = texts.select("_text").distinct()
+    asked = asked.select("_text", F.upper("_text").alias("_code"), F.replace(plain, F.lit(" "), F.lit("-")).alias("_wanted"))
+    found = "_text", "entity", "population"
+    largest = F.desc("population"), F.asc("entity")
+
+    def first_of(rows: DataFrame, *keys: str) -> DataFrame:
+        """Entities that share a prefix or a name are alike to every text: the first ``limit`` of them are enough."""
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*largest))
+        return rows.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+
+    prefixes = entities.select("entity", "population", F.explode(_prefixes(codes)).alias("_code"))
+    by_code = first_of(prefixes, "_code").join(asked, "_code")
     by_code = by_code.select(*found, F.lit("code").alias("kind"), F.lit(False).alias("_begins"))
-    names = entities.select("entity", "population", search_form(name).alias("_name"))
-    widths = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("_width")
-    postings = names.select("*", widths).select("entity", "population", "_name", F.explode(_pieces("_name", F.col("_width"))).alias("_piece"))
+    named = first_of(entities.select("entity", "population", search_form(name).alias("_name")).filter("_name IS NOT NULL"), "_name")
+    names = named.select("_name").distinct()
+    widths = F.explode(F.array(*map(F.lit, PIECES))).alias("_width")
+    postings = names.select("*", widths).select("_name", F.explode(_pieces("_name", F.col("_width"))).alias("_piece"))
     common = postings.groupBy("_piece").agg(F.count("*").alias("_n"))
-    pieces = asked.select("query_id", "_wanted", F.explode(_pieces("_wanted", F.least(F.lit(3), F.length("_wanted")))).alias("_piece"))
+    longest = F.greatest(*[F.when(F.length("_wanted") >= w, F.lit(w)) for w in PIECES], F.lit(0))
+    pieces = asked.select("_text", "_wanted", F.explode(_pieces("_wanted", longest)).alias("_piece"))
     # A piece that no name has rules the text out: the left join finds it with a count of 0, and it joins no posting.
-    counted = pieces.join(common, "_piece", "left").select("query_id", "_wanted", "_piece", F.coalesce("_n", F.lit(0)).alias("_n"))
-    rarest = counted.groupBy("query_id", "_wanted").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
-    by_name = postings.join(rarest, "_piece").filter(F.contains("_name", "_wanted"))
-    by_name = by_name.select(*found, F.lit("name").alias("kind"), F.startswith("_name", "_wanted").alias("_begins"))
-    order = Window.partitionBy("query_id").orderBy("kind", F.desc("population"), F.desc("_begins"), "entity")
-    first = by_code.unionByName(by_name).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    counted = pieces.join(common, "_piece", "left").select("_text", "_wanted", "_piece", F.coalesce("_n", F.lit(0)).alias("_n"))
+    rarest = counted.groupBy("_text", "_wanted").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
+    matched = postings.join(rarest, "_piece").filter(F.contains("_name", "_wanted"))
+    by_name = matched.select("_text", "_name", F.startswith("_name", "_wanted").alias("_begins")).join(named, "_name")
+    by_name = by_name.select(*found, F.lit("name").alias("kind"), "_begins")
+    order = "kind", F.desc("population"), F.desc("_begins"), "entity"
+
+    def ranked(rows: DataFrame, key: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= limit)
+
+    answers = ranked(by_code.unionByName(by_name), "_text").drop("rank")
+    first = ranked(texts.join(answers, "_text"), "query_id")
     best = F.min("kind").over(Window.partitionBy("query_id"))
     return first.withColumn("_best", best).filter("kind = _best").select("query_id", "rank", "entity", "kind")
 

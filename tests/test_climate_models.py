@@ -243,3 +243,29 @@ def test_residual_autocorrelation_equals_numpy(spark):
         assert got[k].acf == test.approx(acf[k], abs=2e-6)
         assert got[k].pacf == test.approx(np.linalg.solve(square, acf[1 : k + 1])[-1], abs=2e-5)
         assert got[k].significant == (abs(got[k].pacf) > got[k].band)
+
+
+def test_equal_names_and_texts_are_searched_once(spark):
+    """Before, each search of a text met each entity of a name: as many rows as both together squared."""
+    df = spark.range(400).select(F.col("id").alias("entity"), F.lit("Saint-Ouen").alias("name"), (F.col("id") % 50).alias("population"), F.lit("93400").alias("code"))
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.when(F.col("id") < 150, "t-Ouen").otherwise("934").alias("text"))
+    found = serving.search_all(df, asked, limit=2, codes=("code",))
+    assert {tuple(r) for r in found.filter("query_id IN (3, 200)").collect()} == {(q, r, e, k) for q, k in ((3, "name"), (200, "code")) for r, e in ((1, 49), (2, 99))}
+    assert found.count() == 600
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window [row_number()") >= 4, text  # entities of a name and of a prefix, of a text, of a query
+
+
+def test_trajectories_of_a_crowded_cell_are_dealt(spark):
+    """Before, all entities of a cell were one key, or one task where the join was a broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entities = spark.range(9000).select(F.col("id").alias("entity"), (F.col("id") % 1 + 1).alias("cell"))
+        climate = spark.createDataFrame([(1, 227, 10.0)], "cell int, doy int, fwi double")
+        factors = spark.createDataFrame([(1, y, "low", 1.0 + y / 10000, None, None) for y in (2001, 2002)], "cell int, year int, scenario string, k double, k_low double, k_high double")
+        out = serving.trajectory(entities, climate, factors, 227, ("fwi",), 2001)
+        per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(per_task) == 36000 and max(per_task) < 30000
+        assert out.filter("entity = 7").count() == 4 and out.filter("entity = 7 AND observed").first()["fwi"] == pytest.approx(12.001)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
