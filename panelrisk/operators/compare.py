@@ -102,15 +102,19 @@ def _slices(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.Da
 
 #: Rows of one score in a batch from which their weights are added up before they are dealt.
 TIED = 16
-_DEALT = "model string, _range int, score double, n long, pos long, _w array<tinyint>, _n array<long>, _pos array<long>"
+_DEALT = "model string, _range int, score double, n long, pos long, _w binary, _n array<long>, _pos array<long>"
 
 
 def _weighted(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and positives of each row in each replica, as whole numbers; added-up rows bring theirs along."""
+    """Rows and positives of each row in each replica, as whole numbers; added-up rows bring theirs along.
+
+    The weights of a row are one byte for each replica: a batch of them is read as one array, not row by row.
+    """
     added = part["_w"].map(len).to_numpy() == 0
     if added.all():
         return tuple(np.stack(part[c].to_numpy()).astype(np.int64) for c in ("_n", "_pos"))
-    weights = np.stack(part["_w"].to_numpy()[~added]).astype(np.int64)
+    rows = part["_w"].to_numpy()[~added]
+    weights = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1).astype(np.int64)
     out = []
     for own, sums in (("n", "_n"), ("pos", "_pos")):
         values = np.empty((len(part), weights.shape[1]), np.int64)
@@ -138,7 +142,7 @@ def _tied_added_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts = np.flatnonzero((rows[["model", "score"]] != rows[["model", "score"]].shift()).any(axis=1).to_numpy())
         n, pos = (np.add.reduceat(x, starts, axis=0) for x in _weighted(rows.assign(_n=None, _pos=None)))
         first = rows.iloc[starts][["model", "_range", "score"]]
-        yield first.assign(n=0, pos=0, _w=[np.zeros(0, np.int8)] * len(first), _n=list(n), _pos=list(pos))
+        yield first.assign(n=0, pos=0, _w=[b""] * len(first), _n=list(n), _pos=list(pos))
 
 
 def _range_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +228,7 @@ def bootstrap_scores(
     )
     # The uniforms are bound first, so each is hashed once and not at every step of its inversion.
     uniforms = F.transform(F.sequence(F.lit(1), F.lit(replicas)), lambda r: bootstrap_uniform(F.col("_unit"), r, seed))
-    draw = F.transform(uniforms, lambda u: poisson_weight(u).cast("tinyint"))
+    draw = F.unhex(F.array_join(F.transform(uniforms, lambda u: F.concat(F.lit("0"), poisson_weight(u).cast("string"))), ""))
     weights = spread(aligned.select(F.col(unit).alias("_unit")).distinct(), "_unit").withColumn("_w", draw)
     ranged = range_index(groups, "score").join(weights, F.col(unit) == F.col("_unit"))
     ranged = ranged.select("model", F.col("_range").cast("int").alias("_range"), "score", "n", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), "_w")

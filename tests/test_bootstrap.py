@@ -75,3 +75,10 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "id long, unit long, y int, a double, b double").write.parquet(f"{tmp_path}/aligned")
     aligned = spark.read.parquet(f"{tmp_path}/aligned")
     assert compare.bootstrap_scores(aligned, ["a", "b"], "unit", 3).collect() == []
+
+
+def test_weights_are_one_byte_for_each_replica():
+    """Before, a row's weights were an array, which was taken apart and put together row by row."""
+    part = frame([("m", 0, 0.5, 2, 1, bytes([0, 1, 9]), [], []), ("m", 0, 0.4, 0, 0, b"", [3, 4, 5], [1, 0, 2])])
+    n, pos = compare._weighted(part)
+    assert n.tolist() == [[0, 2, 18], [3, 4, 5]] and pos.tolist() == [[0, 1, 9], [1, 0, 2]]
