@@ -128,9 +128,8 @@ def search_all(
     texts = searches.select("query_id", F.trim("text").alias("_text")).filter("_text <> ''")
     # The abbreviation is expanded before spaces become hyphens.
     plain = F.regexp_replace(fold_accents("_text"), SAINT.pattern, "saint$1")
-    asked = texts.select("_text").distinct()
-    asked = asked.select("_text", F.upper("_text").alias("_code"), F.replace(plain, F.lit(" "), F.lit("-")).alias("_wanted"))
-    found = "_text", "entity", "population"
+    texts = texts.select("query_id", F.upper("_text").alias("_code"), F.replace(plain, F.lit(" "), F.lit("-")).alias("_wanted"))
+    found = "entity", "population"
     largest = F.desc("population"), F.asc("entity")
 
     def first_of(rows: DataFrame, *keys: str) -> DataFrame:
@@ -139,28 +138,30 @@ def search_all(
         return rows.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
     prefixes = entities.select("entity", "population", F.explode(_prefixes(codes)).alias("_code"))
-    by_code = first_of(prefixes, "_code").join(asked, "_code")
-    by_code = by_code.select(*found, F.lit("code").alias("kind"), F.lit(False).alias("_begins"))
+    by_code = first_of(prefixes, "_code").join(texts.select("_code").distinct(), "_code")
+    by_code = by_code.select("_code", *found, F.lit("code").alias("kind"), F.lit(False).alias("_begins"))
     named = first_of(entities.select("entity", "population", search_form(name).alias("_name")).filter("_name IS NOT NULL"), "_name")
     names = named.select("_name").distinct()
     widths = F.explode(F.array(*map(F.lit, PIECES))).alias("_width")
     postings = names.select("*", widths).select("_name", F.explode(_pieces("_name", F.col("_width"))).alias("_piece"))
     common = postings.groupBy("_piece").agg(F.count("*").alias("_n"))
     longest = F.greatest(*[F.when(F.length("_wanted") >= w, F.lit(w)) for w in PIECES], F.lit(0))
-    pieces = asked.select("_text", "_wanted", F.explode(_pieces("_wanted", longest)).alias("_piece"))
+    pieces = texts.select("_wanted").distinct().select("_wanted", F.explode(_pieces("_wanted", longest)).alias("_piece"))
     # A piece that no name has rules the text out: the left join finds it with a count of 0, and it joins no posting.
-    counted = pieces.join(common, "_piece", "left").select("_text", "_wanted", "_piece", F.coalesce("_n", F.lit(0)).alias("_n"))
-    rarest = counted.groupBy("_text", "_wanted").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
+    counted = pieces.join(common, "_piece", "left").select("_wanted", "_piece", F.coalesce("_n", F.lit(0)).alias("_n"))
+    rarest = counted.groupBy("_wanted").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
     matched = postings.join(rarest, "_piece").filter(F.contains("_name", "_wanted"))
-    by_name = matched.select("_text", "_name", F.startswith("_name", "_wanted").alias("_begins")).join(named, "_name")
-    by_name = by_name.select(*found, F.lit("name").alias("kind"), "_begins")
+    by_name = matched.select("_wanted", "_name", F.startswith("_name", "_wanted").alias("_begins")).join(named, "_name")
+    by_name = by_name.select("_wanted", *found, F.lit("name").alias("kind"), "_begins")
     order = "kind", F.desc("population"), F.desc("_begins"), "entity"
 
     def ranked(rows: DataFrame, key: str) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= limit)
 
-    answers = ranked(by_code.unionByName(by_name), "_text").drop("rank")
-    first = ranked(texts.join(answers, "_text"), "query_id")
+    # A query that is listed twice with one text finds the names once.
+    coded = texts.select("query_id", "_code").join(ranked(by_code, "_code").drop("rank"), "_code").drop("_code")
+    named = texts.select("query_id", "_wanted").distinct().join(ranked(by_name, "_wanted").drop("rank"), "_wanted").drop("_wanted")
+    first = ranked(coded.unionByName(named), "query_id")
     best = F.min("kind").over(Window.partitionBy("query_id"))
     return first.withColumn("_best", best).filter("kind = _best").select("query_id", "rank", "entity", "kind")
 
