@@ -101,3 +101,36 @@ def test_pairs_without_mirror_are_counted(spark):
     assert checks.pairs_symmetric(pairs).collect()[0]["value"] == 3
     assert checks.pairs_symmetric(pairs.limit(0)).collect()[0]["value"] == 0
     assert "Join" not in plan_of(checks.pairs_symmetric(pairs))
+
+
+def test_sample_is_drawn_before_rows_are_made(spark):
+    """Before, every day of every entity was a row that a filter dropped."""
+    entities = spark.createDataFrame([(1,), (23,), (23,), (None,)], "entity long")
+    events = [(1, date(1994, 12, 30), 1, 2.0), (1, date(1995, 1, 3), 2, 5.0), (1, date(1995, 1, 4), 1, 1.0), (23, date(1996, 12, 31), 1, 0.5), (None, date(1995, 2, 1), 1, 1.0)]
+    days = spark.createDataFrame(events, "entity long, day date, n long, size double")
+    for horizons in (None, (7, 30)):
+        period = ("1995-01-01", "1996-12-31")
+        whole = panel.dense_panel(entities, days, *period, horizons=horizons).filter("y OR u < 0.02")
+        drawn = panel.dense_panel(entities, days, *period, horizons=horizons, share=0.02)
+        assert drawn.dtypes == whole.dtypes
+        assert sorted(map(repr, drawn.collect())) == sorted(map(repr, whole.collect()))
+        assert "sequence(" not in plan_of(drawn.select("entity", "day"))
+
+
+def test_features_of_a_date_are_found_per_cell_and_day(spark):
+    """Before, Easter, the weekday and the cyclic encodings were computed for each row of the panel."""
+    entities = spark.createDataFrame(
+        [(k, 1, 2, 10 + k, 1.5, 2.0, 3.0, 1.0, 5.0, 1, 45.0, 2.0) for k in range(2)],
+        "entity long, cell long, dep long, population long, density double, area_km2 double, alt_mean double, alt_min double, alt_max double, density_grid long, lat double, lon double",
+    )
+    measures = spark.createDataFrame([(1, date(1995, 7, d), float(d), 1.0, 1.0, 1.0) for d in (13, 14, 15)], "cell long, day date, fwi double, ffmc double, dmc double, dc double")
+    shares = spark.createDataFrame([(2, 1995, 0.5)], "dep long, vintage int, share_s double")
+    none = spark.createDataFrame([], "entity long, day date, n long, size double")
+    rows = panel.with_split(panel.dense_panel(entities, none, "1995-07-13", "1995-07-15", horizons=features.HORIZONS), 1998, 1999)
+    matrix = features.feature_matrix(rows, entities, measures, None, shares, ("fwi", "ffmc"))
+    assert [(r.entity, r.day.day, r.is_july_14, r.is_weekend, r.year) for r in matrix.orderBy("entity", "day").collect()] == [
+        (e, d, int(d == 14), int(d == 15), 1995) for e in range(2) for d in (13, 14, 15)
+    ]
+    plan = matrix._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = min(i for i, line in enumerate(plan) if "Join" in line)
+    assert not any("weekday(" in line for line in plan[:first])
