@@ -1,16 +1,18 @@
 """Spark ML learners on the feature matrix, scoring with keys, temporal and spatial folds."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
     GBTClassifier,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,24 @@ from panelrisk.session import cut_lineage
 LARGE_HA = 5.0
 
 
+def filled(columns: Sequence[str], medians: Sequence[float | None]) -> Column:
+    """The columns as one array with NULL replaced by the medians, a batch of rows at a time: dozens of columns, each with
+    its own case, are a method that the virtual machine never compiles. A value that stays unknown stops the job."""
+    known = np.array([np.nan if m is None else m for m in medians], float)
+
+    @F.arrow_udf("array<double>")
+    def fill(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat = batch.flatten()
+            missing = flat.is_null().to_numpy(zero_copy_only=False)
+            values = np.where(missing, np.tile(known, len(batch)), flat.to_numpy(zero_copy_only=False))
+            if np.isnan(values).any():
+                raise ValueError("a feature is neither a number nor has a median")
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(known)), pa.array(values))
+
+    return fill(F.array(*[F.col(c).cast("double") for c in columns]))
+
+
 class Model:
     """A fitted learner with its own column list, medians and scaler, so it can only be served its own inputs."""
 
@@ -35,9 +55,9 @@ class Model:
         self.learner, self.features, self.medians, self.scaler = learner, list(features), medians, scaler
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        out = impute(df, self.medians, self.features)
-        if self.scaler is not None:
-            out = standardise(out, self.features, self.scaler, weights={})
+        if self.scaler is None:
+            return df.withColumn("features", array_to_vector(filled(self.features, self.medians.first())))
+        out = standardise(impute(df, self.medians, self.features), self.features, self.scaler, weights={})
         return VectorAssembler(inputCols=self.features, outputCol="features").transform(out)
 
 
@@ -59,6 +79,8 @@ def train(
 ) -> Model:
     """Fit on train rows: medians first (they refuse other splits), then the learner."""
     medians = fit_medians(df, features, "split" if "split" in df.columns else None)
+    # One row, found once: every score of the model reads it.
+    medians = df.sparkSession.createDataFrame([tuple(medians.first())], medians.schema)
     scaler = None
     if kind == "neural":
         scaler = fit_scaler(impute(df, medians, features), features)

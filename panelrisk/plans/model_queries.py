@@ -62,7 +62,7 @@ def split_matrix(t, year):
     measures = cells.join(t.measures, ["cell", "day"], "left").unionByName(t.measures.filter(F.col("day") < F.lit(start).cast("date")))
     rows = features.feature_matrix(t.panel(start, stop, horizons=features.HORIZONS), t.entities, measures, None, t.shares, INDICES, last_year=int(END[:4]))
     rates = smoothing.smooth_rates(t.counts, smoothing.with_fallback_cluster(t.counts, t.clusters))
-    return smoothing.apply_rates(rows, rates)
+    return smoothing.apply_rates(rows, rates, exclude_own_year=False)
 
 
 @query(
