@@ -269,3 +269,17 @@ def test_trajectories_of_a_crowded_cell_are_dealt(spark):
         assert out.filter("entity = 7").count() == 4 and out.filter("entity = 7 AND observed").first()["fwi"] == pytest.approx(12.001)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vectors_are_filled_in_batches(spark):
+    """Before, each column was its own case in one method; a value without a median still stops the job."""
+    from panelrisk.operators import models
+
+    rows = spark.createDataFrame([(1.0, None, 3), (None, 5.0, None), (float("inf"), -0.0, 7)], "a double, b double, c int")
+    medians = spark.createDataFrame([(2.5, 4.5, 6.5)], "a double, b double, c double")
+    prepared = models.Model(None, ["a", "b", "c"], medians).prepare(rows)
+    assert [list(r.features) for r in prepared.collect()] == [[1.0, 4.5, 3.0], [2.5, 5.0, 6.5], [float("inf"), 0.0, 7.0]]
+    assert "coalesce" not in prepared._jdf.queryExecution().optimizedPlan().toString()
+    unknown = spark.createDataFrame([(2.5, None, 6.5)], "a double, b double, c double")
+    with pytest.raises(Exception, match="neither a number nor has a median"):
+        models.Model(None, ["a", "b", "c"], unknown).prepare(rows).collect()
