@@ -163,11 +163,12 @@ def parameter_choice(t):
 @query("ML5", "setting:s average_precision:f rows:i positives:i")
 def cluster_configurations(t):
     def with_clusters(k):
-        labels = clustering.cluster(scaled_profile(t), PROFILE_COLUMNS, k=k)[0].select("entity", "cluster")
-        full = smoothing.with_fallback_cluster(t.counts, labels)
-        return cut_lineage(smoothing.apply_rates(base, smoothing.smooth_rates(t.counts, full)))
+        labels = cut_lineage(clustering.cluster(scaled, PROFILE_COLUMNS, k=k)[0].select("entity", "cluster"))
+        full = smoothing.with_fallback_cluster(counts, labels)
+        return cut_lineage(smoothing.apply_rates(base, smoothing.smooth_rates(counts, full)))
 
-    base = cut_lineage(matrix(t))
+    # Written once: each configuration reads them several times.
+    base, scaled, counts = cut_lineage(matrix(t)), cut_lineage(scaled_profile(t)), cut_lineage(t.counts)
     builds = {"none": lambda: base} | {f"k={k}": lambda k=k: with_clusters(k) for k in (10, 30, 60, 120)}
     return models.compare_configurations(builds, feature_columns, fit_years(), judge_years())
 
