@@ -2,6 +2,7 @@ import math
 import random
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,47 @@ def test_neighbour_features_of_repeated_and_missing_keys(spark, monkeypatch):
             own[:] = [v - n for v in own]
     want = {k: (*v[:3], round(v[3], 6)) for k, v in want.items() if v[2] > 0}
     assert {(r.entity, r.day): (*tuple(r)[2:5], round(r[5], 6) + 0.0) for r in got.collect()} == want
+
+@pytest.mark.parametrize("points, lines", [(4, 8), (64, 4), (8192, 16384)])
+def test_lines_of_tiles_equal_brute_force(spark, monkeypatch, points, lines):
+    """Crowded tiles, blocks and parts, far points, copies, odd rows; no point meets all lines."""
+    for name, value in (("TILE_POINTS", points), ("TILE_LINES", lines), ("TOGETHER", 2)):
+        monkeypatch.setattr(geo, name, value)
+    rng = random.Random(points)
+    pts = [(i, 40 + 10 * rng.random(), 10 * rng.random()) for i in range(300)]
+    pts += [(300 + i, 45 + 0.01 * rng.random(), 5 + 0.01 * rng.random()) for i in range(60)] + [(360 + i, 45.0, 5.0) for i in range(20)]
+    pts += [(400, -30.0, 150.0), (401, 89.9, -179.0), (402, 0.0, 0.0), (403, -0.1, 359.0), (0, 44.0, 4.0)]
+    segments = []
+    for _ in range(150):
+        lat, lon = 40 + 10 * rng.random(), 10 * rng.random()
+        segments.append((lat, lon, lat + rng.uniform(-3, 3), lon + rng.uniform(-3, 3)))
+    segments += [(45.002, 5.001, 45.002, 5.001), segments[0], (-31.0, 149.0, -29.0, 152.0)]
+    odd = [(500, None, 3.0), (None, 44.0, 4.0), (0, None, None)]
+    p = spark.createDataFrame(pts + odd + pts[:5], "entity long, lat double, lon double")
+    s = spark.createDataFrame(segments + [(None, 1.0, 2.0, 3.0)], "lat1 double, lon1 double, lat2 double, lon2 double")
+    lat, lon, seg = np.array([r[1] for r in pts]), np.array([r[2] for r in pts]), np.array(segments).T
+    k = np.maximum(np.cos(np.radians(lat)), 0.01)[:, None]
+    ax, ay = (seg[1] - lon[:, None]) * k, seg[0] - lat[:, None]
+    bx, by = (seg[3] - lon[:, None]) * k, seg[2] - lat[:, None]
+    size = (bx - ax) ** 2 + (by - ay) ** 2
+    t = np.clip(-(ax * (bx - ax) + ay * (by - ay)) / np.where(size > 0, size, 1), 0, 1)
+    want = {}
+    for (e, *_), d in zip(pts, (np.hypot(ax + t * (bx - ax), ay + t * (by - ay)) * geo.KM_PER_DEGREE).min(axis=1)):
+        want[e] = min(want.get(e, math.inf), d)
+    got = {r.entity: r.distance_km for r in geo.distance_to_lines(p, s).collect()}
+    assert set(got) == set(want) and all(got[e] == pytest.approx(d, rel=1e-7, abs=1e-9) for e, d in want.items())
+    assert geo.distance_to_lines(p, s.limit(0)).isEmpty() and geo.distance_to_lines(p.limit(0), s).isEmpty()
+
+
+def test_points_meet_fewer_lines_than_there_are(monkeypatch):
+    """100 times the lines and points: each point meets less than 100 times as many lines."""
+    met = []
+    inner = geo._degrees_to_lines
+    monkeypatch.setattr(geo, "_degrees_to_lines", lambda lat, lon, k, lines: met.append(np.size(lat) * lines.shape[1]) or inner(lat, lon, k, lines))
+    rng, cost = np.random.default_rng(1), []
+    for n in (200, 20000):
+        a, step = rng.uniform((40, 0), (50, 10), (n // 20, 2)), rng.uniform(-5, 5, (n // 20, 2))
+        met.clear()
+        geo._closest_line(*rng.uniform((40, 0), (50, 10), (n, 2)).T, np.c_[a, a + step].T)
+        cost.append(sum(met))
+    assert cost[1] < 1000 * cost[0]  # all pairs are 10,000 times as many
