@@ -12,10 +12,12 @@ from panelrisk.plans.climate_queries import _ratios
 from panelrisk.plans.panel_queries import INDICES, matrix
 from panelrisk.plans.registry import query
 from panelrisk.plans.roles import END, FIT_END, JUDGE_YEAR, START, TRAIN_STOP, VAL_END
-from panelrisk.session import cut_lineage
+from panelrisk.session import cut_lineage, dealt
 
 #: Clusters of entities, and the positives of the judged years below which a region is not judged at this size.
 CLUSTERS, LEAST_POSITIVES = 30, 2
+#: Rows of the profile that a task reads.
+PROFILE_ROWS = 50_000
 LIGHT = {"maxIter": 5, "maxDepth": 3}
 PROFILE_SHARES = ("share_standard", "share_economy", "share_promo")
 PROFILE_COLUMNS = (
@@ -32,8 +34,13 @@ def judge_years():
 
 
 def profile(t):
-    """One row per entity, written once: medians, scaler and every K-means pass read it."""
-    return cut_lineage(clustering.static_profile(t.entities, t.shares, t.measures, PROFILE_SHARES, 1995, START, TRAIN_STOP))
+    """One row per entity, written once: medians, scaler and every K-means pass read it.
+
+    Neither the files of the entities nor the few cells and departments that they are joined by say how many tasks read
+    it: more than ``PROFILE_ROWS`` rows are dealt evenly. Fewer stay as they come, for K-means starts from their order.
+    """
+    rows = clustering.static_profile(t.entities, t.shares, t.measures, PROFILE_SHARES, 1995, START, TRAIN_STOP)
+    return cut_lineage(dealt(rows, t.entities.count(), PROFILE_ROWS))
 
 
 def scaled_profile(t):

@@ -283,3 +283,23 @@ def test_vectors_are_filled_in_batches(spark):
     unknown = spark.createDataFrame([(2.5, None, 6.5)], "a double, b double, c double")
     with pytest.raises(Exception, match="neither a number nor has a median"):
         models.Model(None, ["a", "b", "c"], unknown).prepare(rows).collect()
+
+
+@pytest.mark.parametrize("most, tasks", [(10, 5), (50_000, None)])
+def test_profile_is_dealt_to_many_tasks(spark, monkeypatch, most, tasks):
+    """Entities of one cell and department, in one partition: each task that reads the profile gets few of them."""
+    from types import SimpleNamespace
+
+    from panelrisk.plans import model_queries as mq
+
+    monkeypatch.setattr(mq, "PROFILE_ROWS", most, raising=False)
+    entities = spark.range(50).coalesce(1).selectExpr(
+        "id AS entity", "1 AS dep", "2 AS cell", "id * 1D AS alt_mean", "0 AS alt_min", "id AS alt_max", "1D + id AS area_km2", "1D AS density",
+        "1 AS density_grid", "40D + id AS lat", "2D AS lon",
+    )
+    shares = spark.sql("SELECT 1 AS dep, 1995 AS vintage, 0.1D AS share_standard, 0.2D AS share_economy, 0.3D AS share_promo")
+    measures = spark.sql("SELECT 2 AS cell, DATE '1996-05-01' AS day, 30D AS fwi")
+    found = mq.profile(SimpleNamespace(entities=entities, shares=shares, measures=measures))
+    sizes = [n for n in found.rdd.glom().map(len).collect() if n]
+    assert sum(sizes) == 50 and found.select("entity").distinct().count() == 50
+    assert len(sizes) == (tasks or len(sizes)) and (tasks is None or max(sizes) <= 2 * most)
