@@ -99,3 +99,23 @@ def test_mirrors_far_apart_and_in_any_batch(monkeypatch, held, size):
 def test_symmetry_of_no_pairs(spark):
     none = spark.createDataFrame([], "tile long, entity long, neighbour long")
     assert checks.pairs_symmetric(none).first()["value"] == 0
+
+
+def test_only_places_with_events_visit_and_nine_squares_at_most(spark):
+    """Before, dense squares were split, so a place with its events was moved to more of them the denser they were."""
+    rng = random.Random(4)
+    points = spark.createDataFrame([(k, 45 + rng.random() / 5, 2 + rng.random() / 5) for k in range(6000)], "entity long, lat double, lon double")
+    days = spark.range(50).selectExpr("id AS entity", "DATE '2008-01-02' AS day", "2L AS n")
+    moved = []
+    inner = geo.spread
+
+    def counted(df, *keys):
+        if "_home" in df.columns:
+            moved.append({r["_home"]: r["count"] for r in df.groupBy("_home").count().collect()})
+        return inner(df, *keys)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(geo, "spread", counted)
+        geo.neighbour_features(days, points, 50.0)
+    [rows] = moved
+    assert rows[True] == 6000 and 0 < rows[False] <= 9 * 50
